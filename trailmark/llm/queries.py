@@ -4,27 +4,69 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import decontam, mixing, quality, sharding, simhash
+from .common import remainder, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document, and when it reads it."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.placed(docs)
+    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+
+
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document after an append and a compaction."""
+    rows = sharding.shard(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
+    return rows.select("doc_id", "n_chars", F.col("_shard").alias("shard"), F.col("_tier").alias("tier"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.exact_plan())
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark words and items found in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.with_hits(docs, table(spark, sf_dir, "benchmark")).select("doc_id", *decontam.digest())
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), may_learn=remainder("doc_id", 4) != 2)
+    rows = docs.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), quality.score_column(docs, model).alias("score"))
+    return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of ``corpus_pipeline`` over the documents."""
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_mixing": op2_mixing,
+        "op3_sharding": op3_sharding,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op9_decontamination": op9_decontamination,
+        "op10_quality": op10_quality,
+        "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    sql = {"op2_mixing": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
+    if corpus_pipeline.ORACLE_SQL:
+        sql["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return sql
