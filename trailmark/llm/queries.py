@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding, simhash
+from . import ann, decontam, html_crf, langid, line_dedup, mixing, pylm, quality, sharding, simhash
 from .common import remainder, scratch_path
 
 
@@ -16,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth one."""
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, and when it reads it."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
@@ -29,12 +34,41 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_chars", F.col("_shard").alias("shard"), F.col("_tier").alias("tier"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The article of every page."""
+    pages = html_crf.with_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "main.text", "main.n_chars")
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without cross-site boilerplate lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    n_lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0))
+    rows = line_dedup.without_boilerplate(docs.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n_lines).cast("long")))
+    return rows.select("doc_id", "n_lines", F.col("removed_lines").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = langid.train(docs, may_learn=~held_out)
+    rows = langid.with_language(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", held_out.alias("held_out"), F.col("prediction.lang").alias("lang_pred"), F.col("prediction.score").alias("score"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.exact_plan())
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op8_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the language model."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pylm.score(docs, remainder("doc_id", 7) == 2)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words and items found in every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -56,9 +90,14 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
         "op2_mixing": op2_mixing,
         "op3_sharding": op3_sharding,
+        "op4_html_extraction": op4_html_extraction,
+        "op5_line_dedup": op5_line_dedup,
+        "op6_language_id": op6_language_id,
         "op7_simhash_near_dedup": op7_simhash_near_dedup,
+        "op8_pitman_yor": op8_pitman_yor,
         "op9_decontamination": op9_decontamination,
         "op10_quality": op10_quality,
         "pipeline": pipeline,
@@ -66,7 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_mixing": mixing.ORACLE, "op9_decontamination": decontam.ORACLE}
+    sql = {"op2_mixing": mixing.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontam.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
