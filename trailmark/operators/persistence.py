@@ -47,40 +47,51 @@ def owning_package(path: Column) -> Column:
     return F.when(name != "", name)
 
 
-def read_tree(spark: SparkSession, root: str, consent: bool) -> tuple[DataFrame, dict[str, object]]:
+def read_tree(spark: SparkSession, root: str, consent: bool, indicators: tuple[Indicator, ...] = CATALOGUE) -> tuple[DataFrame, dict[str, object]]:
     """Files of a local tree for which the user gave consent, and what the
     walk left out.  The root must be an absolute folder, neither the file
-    system's root nor a home; links out of the root are not followed.
+    system's root nor a home; links out of the root are not followed.  Only
+    files whose path some indicator asks for are opened, and the bounds above
+    keep what is read small.  (Spark's own file sources skip hidden files,
+    which are what a scan looks for.)
     """
     if not consent:
         raise PermissionError("a scan needs consent")
     real = os.path.realpath(root)
     if not os.path.isabs(root) or real == os.path.sep or real == os.path.realpath(os.path.expanduser("~")) or not os.path.isdir(real):
         raise ValueError("the root must be an absolute folder within the file system, and no home")
-    paths: list[tuple[str, int]] = []
-    seen: dict[str, object] = {"outside": 0, "unreadable": 0, "truncated": None}
+    gate = re.compile("|".join(f"(?:{glob_regex(p)[4:]})" for i in indicators for p in i.paths), re.IGNORECASE)
+    rows: list[tuple[str, bytearray]] = []
+    seen: dict[str, object] = {"outside": 0, "unreadable": 0, "truncated": None, "files": 0, "bytes": 0}
     for folder, folders, names in os.walk(real):
         rel = os.path.relpath(folder, real)
-        depth = 0 if rel == "." else rel.count(os.sep) + 1
-        if depth > MAX_DEPTH:
+        if (0 if rel == "." else rel.count(os.sep) + 1) > MAX_DEPTH:
             seen["truncated"] = "depth_cap"
             folders[:] = []
             continue
         folders[:] = sorted(d for d in folders if os.path.normpath(os.path.join(rel, d)) not in SKIPPED)
         for n in sorted(names):
             full = os.path.join(folder, n)
+            path = os.path.relpath(full, real)
             if os.path.commonpath((os.path.realpath(full), real)) != real:
                 seen["outside"] += 1
-            elif len(paths) >= MAX_FILES:
+            elif seen["files"] >= MAX_FILES:
                 seen["truncated"] = "file_cap"
-            elif os.access(full, os.R_OK):
-                paths.append((os.path.relpath(full, real), os.path.getsize(full)))
+            elif seen["bytes"] >= MAX_TOTAL_BYTES:
+                seen["truncated"] = "byte_cap"
             else:
-                seen["unreadable"] += 1
-    listed = spark.createDataFrame(paths, "path string, size long")
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{real}")
-    rel = F.regexp_replace(F.col("path"), "^file:/*" + re.escape(real.lstrip("/")) + "/", "")
-    return content.select(rel.alias("path"), "content").join(F.broadcast(listed), "path"), seen  # at most MAX_FILES paths
+                seen["files"] += 1
+                if not gate.search(path):
+                    continue
+                try:
+                    with open(full, "rb") as f:
+                        head = f.read(MAX_FILE_BYTES)
+                except OSError:
+                    seen["unreadable"] += 1
+                    continue
+                seen["bytes"] += len(head)
+                rows.append((path, bytearray(head)))
+    return spark.createDataFrame(rows, "path string, content binary"), seen
 
 
 def _first_line(lines: Column, patterns: tuple[str, ...]) -> Column:
@@ -130,9 +141,9 @@ def capped_findings(found: DataFrame, most: int = MAX_FINDINGS) -> DataFrame:
     return found.dropDuplicates(["path", "indicator_id"]).orderBy(*display_order()).limit(most)
 
 
-def scan_answer(found: DataFrame, seen: dict[str, object], total_bytes: int = 0) -> DataFrame:
+def scan_answer(found: DataFrame, seen: dict[str, object]) -> DataFrame:
     """One row: counts by severity, a verdict and the limits of the walk."""
-    cut_short = seen.get("truncated") or ("byte_cap" if total_bytes > MAX_TOTAL_BYTES else None)
+    cut_short = seen.get("truncated")
     lost = int(seen.get("outside", 0)) + int(seen.get("unreadable", 0))
     own = verdict.limits(
         (F.lit(cut_short is not None), verdict.limit("budget_rejected", operation=cut_short or "")),

@@ -34,7 +34,7 @@ def pack_issues(packs: DataFrame) -> DataFrame:
         F.when(F.exists("timeline", lambda t: (t["atMs"] < F.col("windowStartMs")) | (t["atMs"] > F.col("windowEndMs"))), "a timeline entry is outside the window"),
         F.when(F.size(F.array_except(affected, known)) > 0, F.concat(F.lit("no compromised version explains "), F.array_join(F.array_except(affected, known), ", "))),
         F.when(F.size(F.array_distinct(services)) < F.size(services), "a service key is used twice"),
-        F.when(F.size(F.coalesce("compromisedVersions", F.array().cast("array<string>"))) == 0, "no version is compromised"),
+        F.when(F.coalesce(F.size("compromisedVersions"), F.lit(0)) <= 0, "no version is compromised"),
     )
     return packs.select("slug", F.explode(F.filter(issues, lambda i: i.isNotNull())).alias("issue"))
 
