@@ -26,13 +26,16 @@ from .common import written
 class IvfPlan:
     """``train_rows`` distinct vectors, by hash, fit the centroids and
     codebooks.  There are about sqrt(rows) cells, ``max_cells`` at most; a
-    query visits ``probes`` of them and reranks ``rerank`` vectors of each
+    query visits so many that ``recall`` of the sample's own neighbours lie in
+    them, ``min_probes`` at least, and reranks ``rerank`` vectors of each
     block.  ``sub`` dimensions share a codebook of ``codes`` entries.
     """
 
     train_rows: int = 20_000
     max_cells: int = 4096
-    probes: int = 48
+    recall: float = 0.98
+    min_probes: int = 8
+    calibration: int = 400
     rerank: int = 64
     sub: int = 4
     codes: int = 256
@@ -86,6 +89,28 @@ def fit(sample: np.ndarray, n_cells: int, plan: IvfPlan) -> Quantiser:
     return Quantiser(centroids, groups, [kmeans(rest[:, g], plan.codes, seed=plan.seed + 1 + i) for i, g in enumerate(groups)])
 
 
+def calibrated_probes(sample: np.ndarray, q: Quantiser, k: int, plan: IvfPlan) -> int:
+    """How many of a query's nearest cells hold ``recall`` of its ``k`` nearest
+    vectors, measured by brute force within the sample.  The sample is sparser
+    than the whole, so its neighbours lie farther off and the count errs high.
+    """
+    rng = np.random.default_rng(plan.seed)
+    at = rng.choice(len(sample), min(plan.calibration, len(sample)), replace=False)
+    cell, half, norms = _nearest(sample, q.centroids), (q.centroids**2).sum(axis=1) / 2, (sample**2).sum(axis=1) / 2
+    k, ranks = min(k, len(sample) - 1), []
+    for i in range(0, len(at) if k else 0, 100):
+        x = sample[at[i : i + 100]]
+        far = norms - x @ sample.T
+        far[np.arange(len(x)), at[i : i + 100]] = np.inf
+        near = np.argpartition(far, k - 1, axis=1)[:, :k]
+        order = np.argsort(half - x @ q.centroids.T, axis=1)
+        rank = np.empty_like(order)
+        np.put_along_axis(rank, order, np.arange(len(q.centroids))[None], 1)
+        ranks.append(np.take_along_axis(rank, cell[near], 1).ravel())
+    needed = int(np.quantile(np.concatenate(ranks), plan.recall)) + 1 if ranks else 1
+    return min(len(q.centroids), max(plan.min_probes, needed))
+
+
 def usable(vector: Column) -> Column:
     """Not null, no null or non-finite component, not all zero."""
     finite = F.forall(vector, lambda v: F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False)))
@@ -123,9 +148,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, plan: IvfPlan | N
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("_v"), "node").limit(plan.train_rows).select("_v").toPandas()["_v"]
     n_cells = max(1, min(plan.max_cells, round(n**0.5)))
-    quantiser = fit(_matrix(sample, d), n_cells, plan)
+    sample = _matrix(sample, d)
+    quantiser = fit(sample, n_cells, plan)
     held = spark.sparkContext.broadcast(quantiser)
-    probes = min(plan.probes, len(quantiser.centroids))
+    probes = calibrated_probes(sample, quantiser, k, plan)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

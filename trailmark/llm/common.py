@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,20 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared one that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files of jobs that are done, which it does
+    once the driver has collected their handles.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def text_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound what one Arrow batch of texts holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

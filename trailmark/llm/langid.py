@@ -28,7 +28,7 @@ MAX_TRAIN = 8000
 #: Words whose probabilities a worker keeps.
 CACHE_WORDS = 400_000
 #: Characters of words that one forward pass handles.
-PASS_CHARS = 1 << 16
+PASS_CHARS = 1 << 18
 LETTER = re.compile(r"[^\W\d_]")
 START = "▁"
 #: What is left for each character that no piece covers.
@@ -61,26 +61,33 @@ class Lattice:
     def __init__(self, pieces: list[str]) -> None:
         self.ids = {p: i for i, p in enumerate(pieces) if p}
         self.longest = max(map(len, self.ids), default=1)
+        self.starts = {p[:k] for p in self.ids for k in range(2, len(p) + 1)}
 
     def arcs(self, words: list[str]) -> tuple[int, dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]]:
-        get, longest = self.ids.get, self.longest
+        get, starts = self.ids.get, self.starts
         found: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
         most = 0
         for n, word in enumerate(words):
             s = START + word
-            most = max(most, len(s))
-            for end in range(1, len(s) + 1):
-                for start in range(max(0, end - longest), end):
-                    piece = get(s[start:end])
-                    if piece is None:
-                        if start < end - 1:
-                            continue
-                        piece = 0
-                    at = found.get((end, end - start))
-                    if at is None:
-                        at = found[end, end - start] = ([], [])
-                    at[0].append(n)
-                    at[1].append(piece)
+            size = len(s)
+            most = max(most, size)
+            for start in range(size):
+                piece, end = get(s[start], 0), start + 1
+                while True:
+                    if piece is not None:
+                        key = (end, end - start)
+                        at = found.get(key)
+                        if at is None:
+                            at = found[key] = ([], [])
+                        at[0].append(n)
+                        at[1].append(piece)
+                    end += 1
+                    if end > size:
+                        break
+                    part = s[start:end]
+                    if part not in starts:  # no piece goes on like this
+                        break
+                    piece = get(part)
         return most, {k: (np.array(w), np.array(p)) for k, (w, p) in found.items()}
 
     def passes(self, words: list[str]) -> Iterator[np.ndarray]:

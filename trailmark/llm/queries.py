@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, html_crf, langid, line_dedup, mixing, pylm, quality, sharding, simhash
-from .common import remainder, scratch_path
+from .common import cut, remainder, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +23,8 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document, and when it reads it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    rows = mixing.placed(docs)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    rows = mixing.placed(cut(docs), size_col="size")
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
