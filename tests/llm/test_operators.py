@@ -92,6 +92,35 @@ def test_near_copies_go(spark):
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()) == list(range(0, n, 4))
 
 
+def test_near_copies_by_exact_similarity(spark):
+    """Planted pairs just above and below 0.8: all of the former link, none of
+    the latter, also in chunks of a few texts."""
+    rng = np.random.default_rng(8)
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    rows, gone, levels = [], [], set()
+    for k in range(300):
+        size = (40, 150, 600)[k % 3]
+        a = [f"w{k}x{i}" for i in range(size)]
+        s = 0.75 + 0.1 * k / 299
+        b, at = list(a), -3  # a changed word costs the five shingles around it
+        while len(grams(a) & grams(b)) > s * len(grams(a) | grams(b)) and at + 7 < size:
+            at += int(rng.integers(5, 8))
+            b[min(at, size - 1)] += "y"
+        level = len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+        levels.add(round(level, 2))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        gone += [2 * k + 1] if level >= 0.8 else []
+    assert {0.76, 0.79, 0.8, 0.81} <= levels and 50 < len(gone) < 250
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()} == set(range(600)) - set(gone)
+    # a chain in one component: each text is near the next one only
+    chain = [(i, " ".join(f"w{j}" for j in range(6 * i, 6 * i + 64))) for i in range(40)]
+    df = spark.createDataFrame(chain, "doc_id long, text string").repartition(3)
+    for chunk in (4, 1024):
+        keepers = simhash.similar_texts(df, chunk=chunk)[1].collect()
+        assert len(keepers) == 40 and {r["keeper"] for r in keepers} == {0}
+
+
 def test_simhash_odd(odd, none):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()

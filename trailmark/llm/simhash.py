@@ -6,6 +6,9 @@ blocks.  Every key's rows are compared in bounded chunks and each task emits a
 spanning forest of the links it found instead of the links themselves, so a
 large group of near copies costs rows in proportion to its members.  Links are
 then closed over by alternating large-star and small-star steps.
+
+``drop_near_duplicates`` goes by the similarity of shingle sets instead: bands
+of min-hashes propose what to compare, and each link is verified exactly.
 """
 
 from __future__ import annotations
@@ -57,31 +60,6 @@ def exact_plan(shingle: int = 3, bits: int = 64, max_distance: int = 3, blocks:
     return SimHashPlan(shingle, bits, max_distance, tuple(sum(c, ()) for c in chosen))
 
 
-def similarity_plan(shingle: int = 5, bits: int = 256, max_distance: int = 48, block_bits: int = 4, blocks_per_key: int = 4, n_keys: int = 48) -> SimHashPlan:
-    """Keys for a Jaccard similarity of 0.8 or more of the shingle sets.
-
-    A similarity of 0.8 is a cosine of about 0.89, so about 15 % of the bits
-    differ (39 of 256, standard deviation 6); 48 admits 95 in a hundred such
-    pairs and few below 0.65, while unrelated texts differ in 128.  With that
-    many differing bits no choice of blocks is sure to be spared, so keys are
-    many small choices of blocks; a pair is missed only if all are spoilt:
-    three in a hundred at 0.8, one in a thousand at 0.88.
-
-    Keys of 16 bits suit up to some 10^8 texts, where comparisons within keys
-    begin to weigh more than the texts; beyond, take 6 blocks and 150 keys
-    (10^10 texts) for the same recall.
-    """
-    parts = [tuple(range(i, i + block_bits)) for i in range(0, bits, block_bits)]
-    rng = np.random.default_rng(20)
-    order: list[int] = []
-    keys = []
-    for _ in range(n_keys):
-        if len(order) < blocks_per_key:
-            order = rng.permutation(len(parts)).tolist()
-        keys.append(tuple(sorted(sum((parts[order.pop()] for _ in range(blocks_per_key)), ()))))
-    return SimHashPlan(shingle, bits, max_distance, tuple(keys))
-
-
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """XXH64 of each ``size``-word shingle of a text, repeats included."""
     words = text.lower().split()
@@ -268,17 +246,157 @@ def near_duplicates(docs: DataFrame, plan: SimHashPlan | None = None, id_col: st
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, plan: SimHashPlan | None = None) -> DataFrame:
+#: Min-hashes of a set are cut into bands; sets meet if they agree on a band.
+BANDS, BAND_ROWS = 40, 6
+MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key for each band of the min-hashes of a set; an empty set has none.
+
+    Sets of similarity s agree on a band with probability s^6, so of pairs at
+    0.8 five in a million share none of the 40.
+    """
+    if not len(h):
+        return np.empty(0, np.int64)
+    low = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1024):
+        np.minimum(low, (h[at : at + 1024, None] * MULTIPLIERS).min(axis=0), out=low)
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for column in low.reshape(BANDS, BAND_ROWS).T:
+        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
+def similar_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same sets as all pairs with a Jaccard similarity
+    of ``least`` or more do.
+
+    A set not reached yet is compared with all others; once each is reached,
+    only those outside the largest component can add a link.
+    """
+    sizes = np.array([len(x) for x in sets])
+    words, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    seen = np.zeros(len(words), bool)
+    label = np.arange(len(sets))
+    done = np.zeros(len(sets), bool)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+
+    def compare(i: int) -> None:
+        own = flat[starts[i] : starts[i] + sizes[i]]
+        seen[own] = True
+        both = np.add.reduceat(seen[flat], starts, dtype=np.int64)
+        seen[own] = False
+        near = np.flatnonzero(both >= least * (sizes + sizes[i] - both))
+        near = near[near != i]
+        done[i] = True
+        if len(near):
+            a.append(np.full(len(near), node[i]))
+            b.append(node[near])
+            label[np.isin(label, label[near])] = label[i]
+
+    for i in range(len(sets)):
+        if label[i] == i and (label == i).sum() == 1:
+            compare(i)
+    names, members = np.unique(label, return_counts=True)
+    if len(names) > 1:
+        for i in np.flatnonzero((label != names[members.argmax()]) & ~done).tolist():
+            compare(i)
+    return spanning_forest(np.concatenate(a), np.concatenate(b))
+
+
+def _set_of(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
+    """The shingle set of a text and a number that names the set."""
+    h = np.unique(shingle_hashes(text or b"", shingle))
+    return h, int(np.array(xxhash.xxh64_intdigest(h.tobytes(), SEED), np.uint64).view(np.int64))
+
+
+def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, chunk: int = 1024, chunk_hashes: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, node)`` of every row and ``(node, keeper)`` of every set of
+    shingles: the smallest doc_id among the sets that it is connected with by
+    links of an exact Jaccard similarity of ``least`` or more.
+
+    Bands of min-hashes only propose which sets to compare.  Proposals are
+    closed over, and all pairs within one such component are compared; one
+    with more than ``chunk`` sets or ``chunk_hashes`` shingles is cut into
+    chunks, and each pair of chunks is compared on its own.
+    """
+    text_batches(docs.sparkSession)
+
+    @F.pandas_udf("node long, n int, keys binary")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for text in texts:
+            h, node = _set_of(text, shingle)
+            rows.append((node, len(h), band_keys(h).tobytes()))
+        return pd.DataFrame(rows, columns=["node", "n", "keys"])
+
+    marked = cut(docs.select("doc_id", described(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.node", "s.n", "s.keys"))
+    classes = cut(marked.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
+
+    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = [np.frombuffer(k, np.int64) for k in pdf["keys"]]
+            yield pd.DataFrame({"key": np.concatenate([*keys, np.empty(0, np.int64)]), "node": np.repeat(pdf["node"].to_numpy(), [len(k) for k in keys])})
+
+    rows = classes.select("node", "keys").mapInPandas(keyed, "key long, node long")
+    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+    proposed = rows.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    members = cut(connected_components(proposed).join(classes.select("node", "first", "n"), "node"))
+    parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / chunk_hashes)).cast("int")
+    members = members.join(members.groupBy("component").agg(parts.alias("chunks")), "component").select("component", "chunks", F.col("node").alias("expected"), "first")
+    wanted = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(members, F.col("doc_id") == F.col("first"))
+
+    def with_set(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            sets = [_set_of(t, shingle) for t in pdf["text"]]
+            out = pd.DataFrame({"component": pdf["component"], "chunks": pdf["chunks"], "node": pdf["expected"], "hashes": [h.tobytes() for h, _ in sets]})
+            yield out[np.array([n for _, n in sets], np.int64) == pdf["expected"].to_numpy()]  # a doc_id may have several texts
+
+    sets = wanted.select("component", "chunks", "expected", "text").mapInPandas(with_set, "component long, chunks int, node long, hashes binary")
+    sets = sets.withColumn("own", F.pmod(F.xxhash64("node"), "chunks").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sets = sets.select("component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "hashes")
+    sets = sets.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
+
+    def compared(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def out(pdf: pd.DataFrame) -> pd.DataFrame:
+            ids = pdf[["component", "i", "j"]].to_numpy()
+            edges = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1), [True])))
+            node, hashes = pdf["node"].to_numpy(), [np.frombuffer(h, np.uint64) for h in pdf["hashes"]]
+            found = [similar_links(node[x:y], hashes[x:y], least) for x, y in itertools.pairwise(edges.tolist())]
+            return pd.DataFrame({"a": np.concatenate([x for x, _ in found]), "b": np.concatenate([y for _, y in found])})
+
+        for pdf in batches:
+            pdf = pdf if rest is None else pd.concat((rest, pdf), ignore_index=True)
+            last = (pdf[["component", "i", "j"]] == pdf[["component", "i", "j"]].iloc[-1]).all(axis=1)
+            rest = pdf[last]
+            if len(rest) < len(pdf):
+                yield out(pdf[~last])
+        if rest is not None:
+            yield out(rest)
+
+    closed = connected_components(sets.mapInPandas(compared, "a long, b long"))
+    joined = cut(classes.select("node", "first").join(closed, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
+    keepers = joined.groupBy("component").agg(F.min("first").alias("keeper"))
+    return marked.select("doc_id", "node"), joined.join(keepers, "component").select("node", "keeper")
+
+
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with
-    the smallest doc_id.  Texts link at about 0.8 of their five-word shingles.
+    the smallest doc_id.  Texts link if ``least`` or more of the five-word
+    shingles that either has are in both.
 
     Rows without a doc_id stay; a doc_id that repeats keeps one of its rows.
     """
-    plan = plan or similarity_plan()
-    marked = cut(near_duplicates(docs, plan).select("doc_id", "component_id"))
-    gone = marked.where("doc_id <> component_id").select("doc_id").distinct()
+    rows, keepers = similar_texts(docs, least=least)
+    marked = cut(rows.where("doc_id IS NOT NULL").join(keepers, "node").select("doc_id", "keeper"))
+    gone = marked.where("doc_id <> keeper").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut(marked.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    repeated = cut(marked.where("doc_id = keeper").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
