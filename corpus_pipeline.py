@@ -34,9 +34,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard that holds each row of the mix."""
-    rows = sharding.shard(docs, scratch_path(spark, "shards"))
-    return rows.select("doc_id", "lang", "source", "n_chars", F.col("_shard").alias("shard"), F.col("_tier").alias("tier"))
+    """The shard that holds each row of the mix, and its position in the order
+    of reading; merged shards are sorted by it.
+    """
+    rows = sharding.shard(mixing.with_position(docs), scratch_path(spark, "shards"), order_col="position")
+    return rows.select("doc_id", "lang", "source", "n_chars", F.col("_shard").alias("shard"), F.col("_tier").alias("tier"), "position")
 
 
 STAGES = [

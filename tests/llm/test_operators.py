@@ -169,6 +169,31 @@ def test_mixing_targets(spark, odd, none):
     assert mixed.columns == odd.columns and {0, 1, 2}.isdisjoint({r["doc_id"] for r in mixed.collect()})
 
 
+def test_order_is_returned(spark, sf, docs, tmp_path):
+    """Positions are the ranks of the moments, and sharding keeps them."""
+    import corpus_pipeline as p
+
+    got = queries.op2_order(spark, sf).orderBy("position").toPandas()
+    assert got.position.tolist() == list(range(len(got))) and got.moment.is_monotonic_increasing and set(got["pass"]) == {0, 1}
+    mixed = mixing.mix(docs.select("doc_id", "lang", "source", "text", "n_chars"))
+    order = [r["doc_id"] for r in mixed.select("doc_id").collect()]
+    assert got.doc_id.tolist() == order
+    first = {}
+    for i, d in enumerate(order):
+        first.setdefault(d, i)
+    rows = [r["doc_id"] for r in queries.op2_mixing(spark, sf).collect()]
+    assert [d for d in rows if d in first] == sorted(first, key=first.get)
+    mixed.write.parquet(f"{tmp_path}/m")
+    last = p.write_shards(spark, spark.read.parquet(f"{tmp_path}/m"), sf)
+    assert [r["doc_id"] for r in last.orderBy("position").collect()] == order
+    tiers = sharding.Tiers(target_bytes=40_000, small_bytes=1000, fanout=2, arrival_rows=20)
+    rows = sharding.shard(mixing.with_position(spark.read.parquet(f"{tmp_path}/m")), f"file://{tmp_path}/s", tiers, "position")
+    merged = rows.where("_shard LIKE 'merge%'").toPandas()
+    assert len(merged) > 1 and rows.count() == len(order)
+    for f in (tmp_path / "s/data").glob("merge*/*.parquet"):
+        assert pd.read_parquet(f).position.is_monotonic_increasing
+
+
 def test_schedule_is_inverted(spark):
     s = mixing.Schedule(((0.0, 0.25), (0.5, 0.75), (1.0, 2.25)))
     plan = mixing.Curriculum((s,))

@@ -17,10 +17,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut
+from .common import WORD_PATTERN, cut, written
 
 #: Documents to a hash bucket, on average.
 BUCKET_DOCS = 512
@@ -150,21 +151,52 @@ def placed(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id",
     return out.drop("source_size", "target", "kind", "docs", "_number", "_order", "_bucket", "_before")
 
 
-def mix(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The mix itself: the columns of ``docs``, a row for each time that a
-    document is read, range-sorted by the moment of reading.
+def first_moment(plan: Curriculum = DEFAULT) -> Column:
+    """Of rows of ``placed``: when the document is first read, or null."""
+    middle = F.col("_offset") + F.col("_size") / 2
+    return F.when((F.col("_size") > 0) & (middle <= F.col("_target")), moment(F.col("_kind"), middle / F.col("_target"), plan))
+
+
+def readings(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text", size_col: str | None = None) -> DataFrame:
+    """``placed`` with a row for each time that a document is read: ``_pass``
+    from 0 and ``_moment``.
 
     Documents are whole here: one is read in a pass if its middle word lies
     within the target.  Documents without words are not read.
     """
+    rows = placed(docs, plan, id_col, source_col, text_col, size_col)
+    middle = F.transform(F.sequence(F.lit(0), F.lit(plan.max_repeat - 1)), lambda p: F.struct(p.alias("pass"), (p * F.col("_source_size") + F.col("_offset") + F.col("_size") / 2).alias("middle")))
+    rows = rows.where("_size > 0").withColumn("_read", F.explode(F.filter(middle, lambda m: m["middle"] <= F.col("_target"))))
+    return rows.withColumns({"_pass": F.col("_read.pass"), "_moment": moment(F.col("_kind"), F.col("_read.middle") / F.col("_target"), plan)}).drop("_read")
+
+
+def mix(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each time that a
+    document is read, range-sorted by the moment of reading.
+    """
     mine = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no clash with columns made here
-    rows = placed(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()]), plan, mine[id_col], mine[source_col], mine[text_col])
-    middle = F.transform(F.sequence(F.lit(0), F.lit(plan.max_repeat - 1)), lambda p: p * F.col("_source_size") + F.col("_offset") + F.col("_size") / 2)
-    rows = rows.where("_size > 0").withColumn("_middle", F.explode(F.filter(middle, lambda m: m <= F.col("_target"))))
-    rows = rows.withColumn("_moment", moment(F.col("_kind"), F.col("_middle") / F.col("_target"), plan))
+    rows = readings(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()]), plan, mine[id_col], mine[source_col], mine[text_col])
     return rows.orderBy("_moment", mine[id_col]).select(*[F.col(n).alias(c) for c, n in mine.items()])
 
 
+def with_position(rows: DataFrame, tag: str = "ordered") -> DataFrame:
+    """``rows`` with ``position``, the global rank from 0 in the order in which
+    they were written as Parquet; rows that aren't read from files are written
+    first.  A sorted frame is written range by range, so a row's rank is its
+    place in its file plus the rows of the files before.
+    """
+    try:
+        rows.select("_metadata.row_index")
+    except AnalysisException:
+        rows = written(rows, tag)
+    name = F.col("_metadata.file_name")
+    file = F.concat_ws("/", *[F.lpad(F.regexp_extract(name, pattern, 1), 20, "0") for pattern in (r"^part-(\d+)", r"-c(\d+)\.[^/]*$")])
+    rows = rows.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = rows.groupBy("_file").agg(F.count("*").alias("_n")).select(F.col("_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return rows.join(F.broadcast(files), "_file").withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+
+
 #: The same as ``placed`` with the default plan, by DuckDB.
 ORACLE = r"""
 WITH sized AS (

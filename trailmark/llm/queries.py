@@ -21,13 +21,24 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
 
 
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document, and when it reads it."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
-    rows = mixing.placed(cut(docs), size_col="size")
+    """How many words the mix takes of every document, range-sorted by the
+    moment at which it is first read; those never read as a whole come last.
+    """
+    rows = mixing.placed(_sized(spark, sf_dir), size_col="size").orderBy(mixing.first_moment().asc_nulls_last(), "doc_id")
     return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
 
 
+def op2_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each reading of a document: its pass, moment and position in the mix."""
+    rows = mixing.readings(_sized(spark, sf_dir), size_col="size").orderBy("_moment", "doc_id")
+    return mixing.with_position(rows.select("doc_id", F.col("_pass").alias("pass"), F.col("_moment").alias("moment")), "order")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shard of every document after an append and a compaction."""
     rows = sharding.shard(table(spark, sf_dir, "documents"), scratch_path(spark, "shards"))
@@ -92,6 +103,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
         "op2_mixing": op2_mixing,
+        "op2_order": op2_order,
         "op3_sharding": op3_sharding,
         "op4_html_extraction": op4_html_extraction,
         "op5_line_dedup": op5_line_dedup,

@@ -46,11 +46,11 @@ class ConflictError(RuntimeError):
 
 class ShardStore:
     """A versioned table of documents under ``root``, a path that driver and
-    executors share.
+    executors share.  Merged shards are sorted by ``order_col`` if it is given.
     """
 
-    def __init__(self, spark: SparkSession, root: str, tiers: Tiers | None = None) -> None:
-        self.spark, self.root, self.tiers = spark, root.rstrip("/"), tiers or Tiers()
+    def __init__(self, spark: SparkSession, root: str, tiers: Tiers | None = None, order_col: str | None = None) -> None:
+        self.spark, self.root, self.tiers, self.order_col = spark, root.rstrip("/"), tiers or Tiers(), order_col
         self._jvm = spark._jvm
         path = self._jvm.org.apache.hadoop.fs.Path(self.root)
         self._conf = spark._jsc.hadoopConfiguration()
@@ -161,6 +161,8 @@ class ShardStore:
             moved = plan.select(F.col("shard").alias("_shard"), F.col("grp").alias("_grp"))
             rows = self._read(batches, schema).join(moved, "_shard")
             rows = rows.repartitionById(groups + 1, F.col("_grp")).select(*schema.names)
+            if self.order_col:
+                rows = rows.sortWithinPartitions(self.order_col)
             rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}")
             kept = manifest.join(plan, "shard", "left_anti")
             self._commit(kept.unionByName(self._listed(batch).where("n_rows > 0")), version + 1)
@@ -194,17 +196,18 @@ class ShardStore:
         return gone
 
 
-def shard(docs: DataFrame, root: str, tiers: Tiers | None = None) -> DataFrame:
+def shard(docs: DataFrame, root: str, tiers: Tiers | None = None, order_col: str | None = None) -> DataFrame:
     """Append ``docs`` to a store at ``root``, compact it, and return each
     document's row with ``_shard`` and ``_tier`` as the last version has it.
 
     Every row is kept as it is, nulls, repeats and other columns included;
     columns of that name in ``docs`` are refused.  An empty frame has no rows.
+    Shards that are merged are sorted by ``order_col`` if it is given.
     """
     clash = {"_shard", "_tier", "_batch", "_bytes", "_grp"} & set(docs.columns)
     if clash:
         raise ValueError(f"reserved column names: {sorted(clash)}")
-    store = ShardStore(docs.sparkSession, root, tiers)
+    store = ShardStore(docs.sparkSession, root, tiers, order_col)
     store.append(docs)
     store.compact()
     store.expire()
