@@ -1,6 +1,7 @@
 import pytest
 
-DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, hits string, _size long, cell int"
+DOC = "doc_id long, text string, lang string, source string, n_chars long, score double, hits string, _size long, cell int, `a.b` string, docs long, target double, _tier int, _shard string, _hits string, _step int, node long, position long"
+REST = ("x", 1, 2.0, 3, "s", "y", 4, 5, 6)
 BASE = "the quick brown fox jumps over the lazy dog while seven wise owls watch from an old oak tree by the river and count the stars "
 
 
@@ -10,8 +11,8 @@ def odd_rows():
     """
     long = " ".join(f"w{i % 997}x{i % 13}" for i in range(30_000))
     texts = [None, "", " \n\t ", BASE, BASE, BASE + "again", BASE.upper(), long, "ünïcödé 文字 слово " * 5, "one", "one two", "a\nb\n\na", "\0nul", "x" * 5000]
-    rows = [(i, t, ("en", "de", None)[i % 3], ("a", "b", None)[i % 3], i, 0.5, "h", 7, 1) for i, t in enumerate(texts)]
-    return [*rows, rows[3], rows[3], (None, BASE, "en", "a", 1, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    rows = [(i, t, ("en", "de", None)[i % 3], ("a", "b", None)[i % 3], i, 0.5, "h", 7, 1, *REST) for i, t in enumerate(texts)]
+    return [*rows, rows[3], rows[3], (11, "another text of one id", "de", "b", 1, 0.5, "h", 7, 1, *REST), (None, BASE, "en", "a", 1, *[None] * 13), (None,) * 18]
 
 
 @pytest.fixture(scope="session")

@@ -6,7 +6,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space of the word rule ``[^\x20\x09-\x0D]+``; the same set that
@@ -18,11 +18,14 @@ def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset
-    (tests on one machine) a temporary folder is made and used instead.
+    and everything runs on one machine (tests) a temporary folder is made and
+    used instead.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="trailmark-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="trailmark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -60,9 +63,38 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def text_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound what one Arrow batch of texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of texts that one Arrow batch may hold in a Python worker.
+BATCH_BYTES = 32 << 20
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Bound what an Arrow batch of texts holds, by bytes: always the same
+    value, so plans made before or after run alike.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+class Masked:
+    """A frame whose columns are called ``_c0``, ``_c1`` and so on, so that
+    names that an operator makes up can't clash with any of a user's.
+    """
+
+    def __init__(self, df: DataFrame) -> None:
+        self.columns = df.columns
+        self.names = {c: f"_c{i}" for i, c in enumerate(df.columns)}
+        self.df = df.select(*[quoted(c).alias(n) for c, n in self.names.items()])
+
+    def __getitem__(self, column: str) -> str:
+        return self.names[column]
+
+    def restored(self) -> list[Column]:
+        """Columns to select for the original ones."""
+        return [F.col(n).alias(c) for c, n in self.names.items()]
+
+
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots included."""
+    return F.col(f"`{name.replace('`', '``')}`")
 
 
 def remainder(id_col: str, n: int):

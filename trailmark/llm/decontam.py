@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches, written
+from .common import Masked, text_batches, written
 
 WINDOW = 10
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -100,19 +100,20 @@ def with_hits(docs: DataFrame, items: DataFrame, n: int = WINDOW, text_col: str
     spark = docs.sparkSession
     text_batches(spark)
     windows = window_table(items, n).persist()
+    masked = Masked(docs)
     try:
         slices = max(1, -(-windows.count() // max_windows))
         slice_of = F.pmod(F.xxhash64("win"), F.lit(slices))
-        out = docs.drop(hits)
+        out = masked.df
         for k in range(slices):
             held = spark.sparkContext.broadcast(WindowSet([tuple(r) for r in windows.where(slice_of == k).toLocalIterator()]))
-            out = _scanned(out, held, text_col, hits, first=k == 0)
+            out = _scanned(out, held, masked[text_col], "_hits", first=k == 0)
             if k + 1 < slices:
                 out = written(out, "decontam")
                 held.unpersist()
     finally:
         windows.unpersist()
-    return out
+    return out.select(*[F.col(m).alias(c) for c, m in masked.names.items() if c != hits], F.col("_hits").alias(hits))
 
 
 def _scanned(docs: DataFrame, held, text_col: str, hits: str, first: bool) -> DataFrame:
@@ -146,19 +147,20 @@ def decontaminate(docs: DataFrame, items: DataFrame, n: int = WINDOW, remove: st
 
     ``remove="documents"`` drops documents with any hit; ``"spans"`` cuts the
     hit words, and what stands between them, out of the text.  Columns stay as
-    they are; documents with a null or empty text stay.
+    they are, whatever their names; documents with a null or empty text stay.
     """
-    own = "_decontam_hits"
-    found = with_hits(docs, items, n, text_col, hits=own)
+    masked = Masked(docs)
+    text = masked[text_col]
+    found = with_hits(masked.df, items, n, text, hits="_hits")
     if remove == "documents":
-        return found.where(F.size(f"{own}.spans") == 0).select(*docs.columns)
+        return found.where(F.size("_hits.spans") == 0).select(*masked.restored())
 
     @F.pandas_udf("string")
     def without(texts: pd.Series, hits: pd.DataFrame) -> pd.Series:
         return pd.Series([t if not len(s) else _cut_out(t, s) for t, s in zip(texts, hits["spans"], strict=True)], dtype=object)
 
-    cleaned = F.when(F.size(f"{own}.spans") > 0, without(F.col(text_col).cast("binary"), own)).otherwise(F.col(text_col))
-    return found.withColumn(text_col, cleaned).select(*docs.columns)
+    cleaned = F.when(F.size("_hits.spans") > 0, without(F.col(text).cast("binary"), "_hits")).otherwise(F.col(text))
+    return found.withColumn(text, cleaned).select(*masked.restored())
 
 
 def _cut_out(text: bytes, spans) -> bytes:

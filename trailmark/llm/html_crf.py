@@ -12,7 +12,8 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterable
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,16 +23,21 @@ from pyspark.sql import functions as F
 
 from .common import text_batches
 
-# Element names of HTML.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+# Element names of HTML, and of MathML and SVG where they stand in a line.
+INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr
+    math mi mn mo ms mtext mrow msub msup msubsup mfrac msqrt mroot mover munder munderover mspace mstyle semantics svg g text tspan""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea select xmp".split())
+#: Elements that are cut out whole: scripts, styles and what forms hold.
+CUT = frozenset("script style template select textarea".split())
 #: An opening tag of the key closes an open element of these names, up to one of the fences.
 CLOSES = {
     "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
     "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
 }
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.DOTALL)
+#: Open elements that a missing end tag is looked for in, and that a block has features of.
+NEAREST = 64
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[>\"']")
 NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -55,14 +61,78 @@ def _name_words(attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
+class Tags:
+    """Cuts a page into texts and tags in one pass.
+
+    A ``>`` within quotes belongs to an attribute.  Once a quote turns out to
+    be open to the end of the page, quotes count for nothing from there on, so
+    no character is looked at again and again.
+    """
+
+    def __init__(self, page: str) -> None:
+        self.page, self.last, self.quotes = page, page.rfind(">"), True
+
+    def end(self, at: int) -> int:
+        """Where the tag ends whose name ends at ``at``."""
+        page = self.page
+        if self.quotes:
+            k = at
+            while True:
+                m = STOP.search(page, k)
+                if m is None:
+                    break
+                if m[0] == ">":
+                    return m.start()
+                k = page.find(m[0], m.end()) + 1
+                if not k:
+                    break
+            self.quotes = False
+        return page.find(">", at)
+
+    def __iter__(self) -> Iterator[tuple[str, str, bool, str]]:
+        """``(text before, name in lower case, whether it ends, attributes)``;
+        the name is empty where only text or a comment stands.
+        """
+        page, at, kept = self.page, 0, 0
+        while True:
+            at = page.find("<", at)
+            if at < 0 or at > self.last and not page.startswith("<!--", at):
+                yield page[kept:], "", False, ""
+                return
+            if page.startswith("<!--", at):
+                stop = page.find("-->", at + 4)
+                yield page[kept:at], "", False, ""
+                at = kept = stop + 3 if stop >= 0 else len(page)
+                continue
+            if page[at + 1] in "!?":
+                yield page[kept:at], "", False, ""
+                at = kept = page.find(">", at) + 1
+                continue
+            m = TAG_NAME.match(page, at + 1)
+            stop = self.end(m.end()) if m else -1
+            if stop < 0:  # a bare sign
+                at += 1
+                continue
+            yield page[kept:at], m[2].lower(), bool(m[1]), page[m.end() : stop]
+            at = kept = stop + 1
+            if not m[1] and m[2].lower() in CUT and page[stop - 1] != "/":
+                found = CLOSING[m[2].lower()].search(page, at)
+                at = kept = found.end() if found else len(page)
+
+
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in CUT}
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """Leaf blocks with text, in page order; none of a null or empty page."""
     if not page:
         return []
     blocks: list[Block] = []
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    stack: list[tuple[str, frozenset[str]]] = []  # open elements with their own features
+    above: list[frozenset[str]] = []  # what blocks at the current place are in
+    open_: Counter = Counter()
     parts: list[str] = []
-    linked = in_link = at = 0
+    linked = in_link = 0
 
     def end_block() -> None:
         nonlocal linked
@@ -70,32 +140,35 @@ def leaf_blocks(page: str | None) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                blocks.append(Block(text, stack[-1][1], stack[-1][0], linked))
+                if not above:
+                    above.append(frozenset().union(*(own for _, own in stack[-NEAREST:])))
+                blocks.append(Block(text, above[0], stack[-1][0] if stack else "", linked))
             parts.clear()
         linked = 0
 
-    def close(names: tuple[str, ...], fences: tuple[str, ...] = ()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
+    def pop(to: int) -> None:
+        for name, _ in stack[to:]:
+            open_[name] -= 1
+        del stack[to:]
+        above.clear()
+
+    def close(names: tuple[str, ...], fences: tuple[str, ...] = (), most: int | None = None) -> None:
+        if not any(open_[n] for n in names):
+            return
+        for k in range(len(stack) - 1, -1 if most is None else max(-1, len(stack) - 1 - most), -1):
             if stack[k][0] in names:
-                del stack[k:]
+                pop(k)
                 return
             if stack[k][0] in fences:
                 return
 
-    while True:
-        m = TAG.search(page, at)
-        if m is None or m.start() > at:
-            text = page[at : m.start() if m else len(page)]
+    for text, name, ends, attributes in Tags(page):
+        if text:
             parts.append(text)
             if in_link:
                 linked += len(text)
-        if m is None:
-            break
-        at = m.end()
-        ends, name, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
-        if not name:
+        if not name or name in CUT:
             continue
-        name = name.lower()
         if name in INLINE:
             if name == "a":
                 in_link = 0 if ends else 1
@@ -107,22 +180,19 @@ def leaf_blocks(page: str | None) -> list[Block]:
             if name == "hr":
                 end_block()
             continue
-        if name in RAW and not ends:
-            stop = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            if not attributes.endswith("/"):
-                at = stop.end() if stop else len(page)
-            continue
         end_block()
         in_link = 0
         if ends:
             close((name,))
             continue
         if name in CLOSES:
-            close(*CLOSES[name])
-        elif stack[-1][0] == "p":
-            stack.pop()
-        above = stack[-1][1] | {"t:" + name}
-        stack.append((name, above | _name_words(attributes) if attributes else above))
+            close(*CLOSES[name], NEAREST)
+        elif stack and stack[-1][0] == "p":
+            pop(len(stack) - 1)
+        own = frozenset(("t:" + name,))
+        stack.append((name, own | _name_words(attributes) if attributes else own))
+        open_[name] += 1
+        above.clear()
     end_block()
     return blocks
 
@@ -302,7 +372,7 @@ class PageMaker:
         if kind < 0.28:
             return f"<table><tr><td>{self.body(self.words(1, 5))}</td><td>{self.body(self.words(1, 5))}</td></tr></table>"
         if kind < 0.33:
-            return f"<div>{text}</div>"
+            return self.pick(f"<div>{text}</div>", f"<div>{text}</div>", f"<noscript><p>{text}</p></noscript>", f"<figure><figcaption>{text}</figcaption></figure>")
         if kind < 0.43:
             return f"<p><b>{text}<br>"
         return f"<p>{text}{self.pick('</p>', '</p>', '</p>', '')}"
@@ -360,7 +430,7 @@ def with_main_text(pages: DataFrame, field: ChainField | None = None, html_col:
     Null and empty pages, and pages without an article, have an empty text.
     Without ``field`` one is trained on made pages first.
     """
-    text_batches(pages.sparkSession, 500)
+    text_batches(pages.sparkSession)
     held = pages.sparkSession.sparkContext.broadcast(field or train(labelled_pages()))
 
     @F.pandas_udf("text string, n_chars long")

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, text_batches
 
-#: Documents that training takes, in expectation, by hash of their id.
+#: Documents that training takes, in expectation, of all languages together.
 MAX_TRAIN = 8000
 #: Words whose probabilities a worker keeps.
 CACHE_WORDS = 400_000
@@ -135,27 +135,39 @@ class Lattice:
     def expected(self, words: list[str], counts: np.ndarray, langs: np.ndarray, p: np.ndarray) -> np.ndarray:
         """(pieces, languages): expected uses of each piece over all cuts of
         words that are each of one language.
+
+        Both passes keep logarithms per position, so words may be of any
+        length; within a position only ratios to the one beside it are used.
         """
-        out = np.zeros_like(p)
+        out = np.zeros(p.size)
         for at in self.passes(words):
             part, lang, n = [words[i] for i in at], langs[at], counts[at]
             most, arcs = self.arcs(part)
             ends = np.array([len(w) + 1 for w in part])
-            f, b = np.zeros((most + 1, len(part))), np.zeros((most + 1, len(part)))
-            f[0] = 1.0
-            steps = sorted(arcs)
-            for end, length in steps:
-                w, piece = arcs[end, length]
-                f[end, w] += f[end - length, w] * p[piece, lang[w]]
-            b[ends, np.arange(len(part))] = 1.0
-            total = f[ends, np.arange(len(part))]
-            share = np.where(total > 0, n / np.where(total > 0, total, 1), 0.0)
-            for end, length in reversed(steps):
-                w, piece = arcs[end, length]
-                use = p[piece, lang[w]] * b[end, w]
-                b[end - length, w] += use
-                np.add.at(out, (piece, lang[w]), f[end - length, w] * use * share[w])
-        return out
+            ahead, back = np.zeros((most + 1, len(part))), np.zeros((most + 1, len(part)))
+            weight = {k: p[piece, lang[w]] for k, (w, piece) in arcs.items()}
+            for end in range(1, most + 1):
+                now = np.zeros(len(part))
+                for length in range(1, min(self.longest, end) + 1):
+                    if (end, length) in arcs:
+                        w = arcs[end, length][0]
+                        now[w] += weight[end, length] * np.exp(ahead[end - length, w] - ahead[end - 1, w])
+                ahead[end] = ahead[end - 1] + np.log(np.where(now > 0, now, 1.0))
+            for start in range(most - 1, -1, -1):
+                now = np.zeros(len(part))
+                for length in range(1, min(self.longest, most - start) + 1):
+                    if (start + length, length) in arcs:
+                        w = arcs[start + length, length][0]
+                        now[w] += weight[start + length, length] * np.exp(back[start + length, w] - back[start + 1, w])
+                back[start] = back[start + 1] + np.log(np.where(now > 0, now, 1.0))
+            total = ahead[ends, np.arange(len(part))]
+            cells, uses = [], []
+            for (end, length), (w, piece) in arcs.items():
+                cells.append(piece * p.shape[1] + lang[w])
+                uses.append(weight[end, length] * np.exp(ahead[end - length, w] + back[end, w] - total[w]) * n[w])
+            if cells:
+                out += np.bincount(np.concatenate(cells), np.concatenate(uses), minlength=p.size)
+        return out.reshape(p.shape)
 
 
 @dataclass(frozen=True)
@@ -180,32 +192,33 @@ def normal_words(text: str) -> list[str]:
     return text.lower().split()
 
 
-def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", may_learn: Column | None = None, vocabulary: str | None = None, max_train: int = MAX_TRAIN, rounds: int = 3, longest_word: int = 32) -> LanguageModel:
+def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", may_learn: Column | None = None, vocabulary: str | None = None, max_train: int = MAX_TRAIN, rounds: int = 3) -> LanguageModel:
     """Fit on documents with a language and a text for which ``may_learn`` holds.
 
-    Of more than ``max_train`` such documents about that many are taken, by
-    hash of their id.  Words longer than ``longest_word`` teach nothing.
-    Without documents there are no languages.
+    Each language has an equal part of ``max_train``; of one with more
+    documents about that many are taken, by hash of id and text, of one with
+    fewer all.  Without documents there are no languages.
     """
     spark = docs.sparkSession
     text_batches(spark)
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if may_learn is not None:
         known = known.where(may_learn)
-    languages = tuple(r[0] for r in known.groupBy(lang_col).agg(F.count("*")).select(lang_col).toLocalIterator())
+    known = known.select(id_col, lang_col, text_col)
+    sizes = known.groupBy(lang_col).agg(F.count("*").alias("_n"))  # a row per language
+    languages = tuple(sorted(r[0] for r in sizes.select(lang_col).toLocalIterator()))
     pieces = read_pieces(vocabulary or default_vocabulary())
-    languages = tuple(sorted(languages))
     if not languages:
         return LanguageModel((), pieces, np.zeros((len(pieces), 0)))
-    share = max_train / max(1, known.count())
-    if share < 1:
-        known = known.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1_000_000)) < int(share * 1_000_000))
+    part = -(-max_train // len(languages))
+    draw = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(2**63 - 1)) / F.lit(float(2**63))
+    known = known.join(F.broadcast(sizes), lang_col).where(draw * F.col("_n") < part)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for pdf in batches:
             for lang, text in zip(pdf["lang"], pdf["text"], strict=True):
-                total.update((lang, w) for w in normal_words(text) if len(w) <= longest_word)
+                total.update((lang, w) for w in normal_words(text))
             if len(total) > 500_000:
                 yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["lang", "word", "n"])
                 total.clear()
@@ -282,7 +295,7 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
     every text if no language was learned.  Ties go to the first language in
     code point order.  Only the text is read.
     """
-    text_batches(docs.sparkSession, 500)
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     scorers: list[Scorer] = []
 

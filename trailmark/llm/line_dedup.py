@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches, written
+from .common import Masked, cut, quoted, text_batches, written
 
 #: A line on this many sites is boilerplate.
 MIN_SITES = 5
@@ -31,7 +31,7 @@ def line_hashes(docs: DataFrame, site_col: str, text_col: str) -> DataFrame:
     """``(h, site)`` of every line that isn't blank; spaces around it are
     ignored.
     """
-    lines = docs.select(F.col(site_col).cast("string").alias("site"), F.explode(F.split(F.col(text_col), "\n")).alias("line"))
+    lines = docs.select(quoted(site_col).cast("string").alias("site"), F.explode(F.split(quoted(text_col), "\n")).alias("line"))
     return lines.select(F.xxhash64(F.trim("line")).alias("h"), "site", F.trim("line").alias("line")).where("line <> ''").drop("line")
 
 
@@ -80,17 +80,17 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site_col: s
     found = boilerplate(docs, min_sites, site_col, text_col).select("h")
     slices = max(1, -(-found.count() // max_set))
     text_batches(spark)
-    out = docs.withColumn(removed, F.lit(0).cast("long"))
+    masked = Masked(docs)
+    text = masked[text_col]
+    out = masked.df.withColumn("_removed", F.lit(0).cast("long"))
     for k in range(slices):
         hashes = np.array([r[0] for r in found.where(F.pmod("h", F.lit(slices)) == k).toLocalIterator()], np.int64)
         held = spark.sparkContext.broadcast(np.sort(hashes))
-
-        step = "_line_dedup_step"
-        out = out.withColumn(step, _cleaner(held)(F.col(text_col).cast("binary")))
-        out = out.withColumns({text_col: F.when(F.col(f"{step}.n") > 0, F.col(f"{step}.text")).otherwise(F.col(text_col)), removed: F.col(removed) + F.col(f"{step}.n")}).drop(step)
+        out = out.withColumn("_step", _cleaner(held)(F.col(text).cast("binary")))
+        out = out.withColumns({text: F.when(F.col("_step.n") > 0, F.col("_step.text")).otherwise(F.col(text)), "_removed": F.col("_removed") + F.col("_step.n")}).drop("_step")
         if k + 1 < slices:
             out = written(out, "line-dedup")
-    return out
+    return out.select(*[F.col(n).alias(c) for c, n in masked.names.items() if c != removed], F.col("_removed").alias(removed))
 
 
 #: The query over ``documents`` with the default threshold, by DuckDB.

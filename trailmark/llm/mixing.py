@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, cut, written
+from .common import WORD_PATTERN, Masked, cut, quoted, written
 
 #: Documents to a hash bucket, on average.
 BUCKET_DOCS = 512
@@ -114,20 +114,33 @@ def moment(kind: Column, share: Column, plan: Curriculum) -> Column:
     return reduce(lambda out, k: F.when(kind == k, solved(plan.schedules[k])).otherwise(out), range(1, len(plan.schedules)), solved(plan.schedules[0]))
 
 
+OWN = ["_size", "_source_size", "_target", "_offset", "_kind", "_source_number", "_taken"]
+
+
 def placed(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text", size_col: str | None = None) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target``, ``_offset`` (words
-    of the source before it), ``_kind`` and ``_taken``: words that the mix takes of
-    the document, repeats counted.  Each source's taken words sum to its target,
-    rounded down; the document at the end of it may be taken in part.
-
-    Documents of a source are ordered by the MD5 of their id (null: empty), id
-    and size, so that reruns agree.  Null and empty texts have size 0 and are
-    never taken.  Repeated rows each count.  Columns named with ``_`` as above
-    are replaced.
+    """``docs`` with the columns ``OWN``: the words of the document, of its
+    source, and of the source's target; the words of the source before it; its
+    schedule and source by number; and the words that the mix takes of it,
+    repeats counted.  Each source's taken words sum to its target, rounded
+    down; the document at the end of it may be taken in part.
+
+    Documents of a source are ordered by the MD5 of their id (of size and
+    text where it is null), id and size, so that reruns agree.  Null and empty
+    texts have size 0 and are never taken.  Repeated rows each count.  Columns
+    named as in ``OWN`` are replaced.
     """
-    size = F.col(size_col).cast("long") if size_col else n_words(F.col(text_col))
-    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
-    rows = docs.withColumns({"_size": size, "_source": F.col(source_col), "_order": digest})
+    masked = Masked(docs)
+    size = F.col(masked[size_col]).cast("long") if size_col else n_words(F.col(masked[text_col]))
+    rows = masked.df.withColumns({"_size": size, "_source": F.col(masked[source_col])})
+    out = _placed(rows, plan, masked[id_col], masked.names.get(text_col))
+    return out.select(*[F.col(n).alias(c) for c, n in masked.names.items() if c not in OWN], *OWN)
+
+
+def _placed(rows: DataFrame, plan: Curriculum, id_col: str, text_col: str | None) -> DataFrame:
+    """``placed`` for rows with ``_size`` and ``_source`` already."""
+    nameless = F.concat_ws(" ", F.lit("size"), F.col("_size").cast("string"), *([F.hex(F.xxhash64(text_col))] if text_col else []))
+    digest = F.md5(F.coalesce(F.col(id_col).cast("string"), nameless).cast("binary"))
+    rows = rows.withColumn("_order", digest)
     narrow = cut(rows.select("_size", "_source", F.substring("_order", 1, 8).alias("_order")))
     targets = cut(source_targets(narrow, plan).withColumnRenamed("_source", "_of"))
     if targets.count() <= BROADCAST_SOURCES:
@@ -147,36 +160,53 @@ def placed(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id",
     rows = rows.withColumn("_offset", F.col("_before") + F.coalesce(F.sum("_size").over(inner), F.lit(0)))
     most = F.floor("target").cast("long")
     taken = reduce(lambda a, b: a + b, (F.least(F.col("_size"), F.greatest(most - F.col("source_size") * p - F.col("_offset"), F.lit(0))) for p in range(plan.max_repeat)))
-    out = rows.withColumns({"_source_size": F.col("source_size"), "_target": F.col("target"), "_kind": F.col("kind"), "_taken": taken})
-    return out.drop("source_size", "target", "kind", "docs", "_number", "_order", "_bucket", "_before")
-
+    return rows.withColumns({"_source_size": F.col("source_size"), "_target": F.col("target"), "_kind": F.col("kind"), "_source_number": F.col("_number"), "_taken": taken})
 
-def first_moment(plan: Curriculum = DEFAULT) -> Column:
-    """Of rows of ``placed``: when the document is first read, or null."""
-    middle = F.col("_offset") + F.col("_size") / 2
-    return F.when((F.col("_size") > 0) & (middle <= F.col("_target")), moment(F.col("_kind"), middle / F.col("_target"), plan))
 
-
-def readings(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id", source_col: str = "source", text_col: str | None = "text", size_col: str | None = None) -> DataFrame:
-    """``placed`` with a row for each time that a document is read: ``_pass``
-    from 0 and ``_moment``.
+def passes(plan: Curriculum = DEFAULT) -> Column:
+    """Of rows of ``placed``: ``array<struct<pass, moment>>`` of the passes in
+    which the document is read, and when.
 
     Documents are whole here: one is read in a pass if its middle word lies
     within the target.  Documents without words are not read.
     """
-    rows = placed(docs, plan, id_col, source_col, text_col, size_col)
     middle = F.transform(F.sequence(F.lit(0), F.lit(plan.max_repeat - 1)), lambda p: F.struct(p.alias("pass"), (p * F.col("_source_size") + F.col("_offset") + F.col("_size") / 2).alias("middle")))
-    rows = rows.where("_size > 0").withColumn("_read", F.explode(F.filter(middle, lambda m: m["middle"] <= F.col("_target"))))
-    return rows.withColumns({"_pass": F.col("_read.pass"), "_moment": moment(F.col("_kind"), F.col("_read.middle") / F.col("_target"), plan)}).drop("_read")
+    read = F.filter(middle, lambda m: (m["middle"] <= F.col("_target")) & (F.col("_size") > 0))
+    return F.transform(read, lambda m: F.struct(m["pass"].alias("pass"), moment(F.col("_kind"), m["middle"] / F.col("_target"), plan).alias("moment")))
+
+
+def readings(rows: DataFrame, plan: Curriculum = DEFAULT) -> DataFrame:
+    """Rows of ``placed`` with one for each time that a document is read:
+    ``_pass`` from 0 and ``_moment``.
+    """
+    return rows.withColumn("_read", F.explode(passes(plan))).withColumns({"_pass": F.col("_read.pass"), "_moment": F.col("_read.moment")}).drop("_read")
 
 
 def mix(docs: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time that a
     document is read, range-sorted by the moment of reading.
+
+    Columns may have any names.  Rows without words are left out, for they
+    hold nothing to read; no rows give no rows.
+    """
+    masked = Masked(docs)
+    rows = readings(placed(masked.df, plan, masked[id_col], masked[source_col], masked[text_col]), plan)
+    return rows.orderBy("_moment", masked[id_col], "_pass").select(*masked.restored())
+
+
+def timetable(rows: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id") -> DataFrame:
+    """Rows of ``placed`` with ``moments`` and ``positions``: when the mix reads
+    the document, and its ranks from 0 among all readings, which are
+    range-sorted by moment.  Both are empty for a document never read.
     """
-    mine = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no clash with columns made here
-    rows = readings(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in mine.items()]), plan, mine[id_col], mine[source_col], mine[text_col])
-    return rows.orderBy("_moment", mine[id_col]).select(*[F.col(n).alias(c) for c, n in mine.items()])
+    kept = cut(rows)
+    order = readings(kept, plan).select("_source_number", "_offset", "_pass", "_moment", F.col(id_col).alias("_id")).orderBy("_moment", "_id", "_pass")
+    placed_at = with_position(order.select("_source_number", "_offset", "_moment"), "order")
+    # documents with words of one source have distinct offsets
+    per = placed_at.groupBy("_source_number", "_offset").agg(F.array_sort(F.collect_list(F.struct("position", "_moment"))).alias("_at"))  # max_repeat at most
+    read = kept.where("_size > 0").join(per, ["_source_number", "_offset"], "left").unionByName(kept.where("_size <= 0").withColumn("_at", F.lit(None).cast("array<struct<position:bigint,_moment:double>>")))
+    at = F.coalesce("_at", F.array().cast("array<struct<position:bigint,_moment:double>>"))
+    return read.withColumns({"moments": F.transform(at, lambda x: x["_moment"]), "positions": F.transform(at, lambda x: x["position"])}).drop("_at")
 
 
 def with_position(rows: DataFrame, tag: str = "ordered") -> DataFrame:
@@ -191,20 +221,23 @@ def with_position(rows: DataFrame, tag: str = "ordered") -> DataFrame:
         rows = written(rows, tag)
     name = F.col("_metadata.file_name")
     file = F.concat_ws("/", *[F.lpad(F.regexp_extract(name, pattern, 1), 20, "0") for pattern in (r"^part-(\d+)", r"-c(\d+)\.[^/]*$")])
-    rows = rows.select("*", file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    mine = {c: f"_c{i}" for i, c in enumerate(rows.columns)}
+    rows = rows.select(*[quoted(c).alias(n) for c, n in mine.items()], file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
     before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     files = rows.groupBy("_file").agg(F.count("*").alias("_n")).select(F.col("_file"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return rows.join(F.broadcast(files), "_file").withColumn("position", F.col("_before") + F.col("_row")).drop("_file", "_row", "_before")
+    rows = rows.join(F.broadcast(files), "_file")
+    return rows.select(*[F.col(n).alias(c) for c, n in mine.items() if c != "position"], (F.col("_before") + F.col("_row")).alias("position"))
 
 
-#: The same as ``placed`` with the default plan, by DuckDB.
-ORACLE = r"""
+#: What ``placed`` and ``timetable`` make of ``documents`` by the default plan, in
+#: DuckDB: one table of documents, one of readings.
+TABLES = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o,
+  SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), 'size ' || coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0))) AS o,
     CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 per AS (
-  SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+  SELECT source, sum(size)::BIGINT AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS kind, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
   FROM sized GROUP BY source),
 level AS (
   SELECT *, 2 * source_size AS cap,
@@ -212,13 +245,30 @@ level AS (
     / sum(weight) OVER (ORDER BY 2 * source_size / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv
   FROM per),
 tgt AS (
-  SELECT source, source_size, CASE WHEN cap / weight < lv THEN cap::DOUBLE
+  SELECT source, source_size, kind, CASE WHEN cap / weight < lv THEN cap::DOUBLE
     ELSE weight * max(CASE WHEN NOT cap / weight < lv THEN lv END) OVER () END AS target
   FROM level),
 offs AS (
   SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY o, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
-  FROM sized)
-SELECT d.doc_id, d.size, t.source_size, t.target,
-  (least(d.size, greatest(floor(t.target)::BIGINT - off, 0)) + least(d.size, greatest(floor(t.target)::BIGINT - t.source_size - off, 0)))::BIGINT AS taken
-FROM offs d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source
+  FROM sized),
+docs AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, t.source, t.kind, d.off,
+    (least(d.size, greatest(floor(t.target)::BIGINT - off, 0)) + least(d.size, greatest(floor(t.target)::BIGINT - t.source_size - off, 0)))::BIGINT AS taken
+  FROM offs d JOIN tgt t ON d.source IS NOT DISTINCT FROM t.source),
+shares AS (
+  SELECT doc_id, source, kind, off, pass, (pass * source_size + off + size / 2) / target AS x
+  FROM docs, (VALUES (0), (1)) p(pass) WHERE size > 0 AND pass * source_size + off + size / 2 <= target),
+moments AS (
+  SELECT *, CASE kind WHEN 0 THEN 2 * (x * 5.0::DOUBLE) / (7 + sqrt(49 - 8 * (x * 5.0::DOUBLE)))
+    WHEN 1 THEN 2 * (x * 2.0::DOUBLE) / 4
+    ELSE CASE WHEN x >= 0.25::DOUBLE THEN 0.5::DOUBLE + 2 * (x - 0.25::DOUBLE) / (0.75::DOUBLE + sqrt(0.5625::DOUBLE + 6 * (x - 0.25::DOUBLE)))
+      ELSE 2 * x / (0.25::DOUBLE + sqrt(0.0625::DOUBLE + 2 * x)) END END AS moment
+  FROM shares),
+readings AS (SELECT *, row_number() OVER (ORDER BY moment, doc_id, pass) - 1 AS position FROM moments)
+"""
+ORACLE = TABLES + """
+SELECT d.doc_id, d.size, d.source_size, d.target, d.taken, round(a.moment, 9) AS moment, a.position, round(b.moment, 9) AS moment_again, b.position AS position_again
+FROM docs d LEFT JOIN readings a ON a.pass = 0 AND d.size > 0 AND a.off = d.off AND a.source IS NOT DISTINCT FROM d.source
+LEFT JOIN readings b ON b.pass = 1 AND d.size > 0 AND b.off = d.off AND b.source IS NOT DISTINCT FROM d.source
 """
+ORDER_ORACLE = TABLES + "SELECT doc_id, pass, round(moment, 9) AS moment, position FROM readings"

@@ -217,6 +217,11 @@ def score_column(docs: DataFrame, model: NbSvm, text_col: str = "text") -> Colum
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
-    """``docs`` whose score reaches ``threshold``; columns stay as they are."""
+    """``docs`` whose score reaches ``threshold``; columns stay as they are.
+
+    Null and empty texts stay if the score for no features reaches it.  Equal
+    texts share one fate.  Without labels every score is 0.5; an empty frame
+    stays empty.
+    """
     model = train(docs, labels, **how)
     return docs.where(score_column(docs, model, how.get("text_col", "text")) >= threshold)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontam, html_crf, langid, line_dedup, mixing, pylm, quality, sharding, simhash
-from .common import cut, remainder, scratch_path
+from .common import remainder, scratch_path
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,22 +21,28 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
 
 
-def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut(table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+def _placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words(F.col("text")).alias("size"))
+    return mixing.placed(sized, size_col="size")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many words the mix takes of every document, range-sorted by the
-    moment at which it is first read; those never read as a whole come last.
+    """How many words the mix takes of every document, when it reads it, and
+    at which position in the order of reading, for the first and second time.
     """
-    rows = mixing.placed(_sized(spark, sf_dir), size_col="size").orderBy(mixing.first_moment().asc_nulls_last(), "doc_id")
-    return rows.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"))
+    rows = mixing.timetable(_placed(spark, sf_dir))
+    at = lambda c, k: F.try_element_at(c, F.lit(k))
+    return rows.select(
+        "doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), F.col("_taken").alias("taken"),
+        F.round(at("moments", 1), 9).alias("moment"), at("positions", 1).alias("position"), F.round(at("moments", 2), 9).alias("moment_again"), at("positions", 2).alias("position_again"),
+    )
 
 
 def op2_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each reading of a document: its pass, moment and position in the mix."""
-    rows = mixing.readings(_sized(spark, sf_dir), size_col="size").orderBy("_moment", "doc_id")
-    return mixing.with_position(rows.select("doc_id", F.col("_pass").alias("pass"), F.col("_moment").alias("moment")), "order")
+    rows = mixing.readings(_placed(spark, sf_dir)).orderBy("_moment", "doc_id", "_pass")
+    rows = mixing.with_position(rows.select("doc_id", F.col("_pass").alias("pass"), F.col("_moment").alias("moment")), "order")
+    return rows.withColumn("moment", F.round("moment", 9))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,7 +76,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), simhash.exact_plan())
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
@@ -117,7 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_mixing": mixing.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontam.ORACLE}
+    sql = {"op2_mixing": mixing.ORACLE, "op2_order": mixing.ORDER_ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontam.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql

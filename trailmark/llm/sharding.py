@@ -19,6 +19,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import quoted
+
 #: Columns of a manifest.
 MANIFEST = "shard string, batch string, tier int, n_rows long, bytes long"
 
@@ -107,11 +109,18 @@ class ShardStore:
         return F.concat(batch, F.lit("/part-"), name, F.lit("-"), piece)
 
     def _read(self, batches: list[str], schema) -> DataFrame:
-        """Rows of whole batches with ``_shard``, ``_batch`` and ``_bytes``."""
+        """Rows of whole batches with ``_shard``, ``_batch`` and ``_bytes``;
+        columns are called ``_c0`` and so on here, so that names can't clash.
+        """
         rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{b}" for b in batches])
         path = F.col("_metadata.file_path")
         batch = F.regexp_extract(path, r"/data/([^/]+)/[^/]*$", 1)
-        return rows.select("*", self._shard(path, batch).alias("_shard"), batch.alias("_batch"), F.col("_metadata.file_size").alias("_bytes"))
+        return rows.select(*[quoted(c).alias(f"_c{i}") for i, c in enumerate(schema.names)], self._shard(path, batch).alias("_shard"), batch.alias("_batch"), F.col("_metadata.file_size").alias("_bytes"))
+
+    @staticmethod
+    def _named(schema, *without: str) -> list[Column]:
+        """The columns of ``_read`` by their own names."""
+        return [F.col(f"_c{i}").alias(c) for i, c in enumerate(schema.names) if c not in without]
 
     def _listed(self, batch: str) -> DataFrame:
         """Manifest rows of a batch, read from its files' footers."""
@@ -143,11 +152,11 @@ class ShardStore:
         runs = runs.withColumn("grp", (F.row_number().over(Window.orderBy("tier", "lane", "run")) - 1).cast("int"))
         return open_.join(runs, ["tier", "lane", "run"]).select("shard", "batch", "grp")
 
-    def compact(self, max_rounds: int = 16) -> int:
+    def compact(self) -> int:
         """Merge until no tier has a group worth merging; one commit a round.
-        Returns the version.
+        Every round leaves fewer shards, so it ends.  Returns the version.
         """
-        for _ in range(max_rounds):
+        while True:
             version = self.version()
             manifest = self.manifest(version)
             plan = self.plan(manifest).persist()
@@ -160,17 +169,18 @@ class ShardStore:
             schema = self.spark.read.parquet(f"{self.root}/data/{batches[0]}").schema
             moved = plan.select(F.col("shard").alias("_shard"), F.col("grp").alias("_grp"))
             rows = self._read(batches, schema).join(moved, "_shard")
-            rows = rows.repartitionById(groups + 1, F.col("_grp")).select(*schema.names)
+            rows = rows.repartitionById(groups + 1, F.col("_grp")).select(*self._named(schema))
             if self.order_col:
-                rows = rows.sortWithinPartitions(self.order_col)
+                rows = rows.sortWithinPartitions(quoted(self.order_col))
             rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}")
             kept = manifest.join(plan, "shard", "left_anti")
             self._commit(kept.unionByName(self._listed(batch).where("n_rows > 0")), version + 1)
             plan.unpersist()
-        return self.version()
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """Documents of a version, with ``_shard`` and ``_tier``."""
+        """Documents of a version, with ``_shard`` and ``_tier``; columns of
+        theirs with such a name are left out.
+        """
         version = self.version() if version is None else version
         manifest = self.manifest(version)
         batches = [r[0] for r in manifest.select("batch").distinct().collect()]
@@ -178,7 +188,7 @@ class ShardStore:
             raise LookupError("the store has no documents")
         schema = self.spark.read.parquet(f"{self.root}/data/{batches[0]}").schema
         live = manifest.select(F.col("shard").alias("_shard"), F.col("tier").alias("_tier"))
-        return self._read(batches, schema).join(live, "_shard").select(*schema.names, "_shard", "_tier")
+        return self._read(batches, schema).join(live, "_shard").select(*self._named(schema, "_shard", "_tier"), "_shard", "_tier")
 
     def expire(self, keep: int = 1) -> list[str]:
         """Forget all but the last ``keep`` versions and delete the batches
@@ -200,17 +210,16 @@ def shard(docs: DataFrame, root: str, tiers: Tiers | None = None, order_col: str
     """Append ``docs`` to a store at ``root``, compact it, and return each
     document's row with ``_shard`` and ``_tier`` as the last version has it.
 
-    Every row is kept as it is, nulls, repeats and other columns included;
-    columns of that name in ``docs`` are refused.  An empty frame has no rows.
-    Shards that are merged are sorted by ``order_col`` if it is given.
+    Every row is kept as it is, nulls, repeats and other columns included,
+    whatever their names; ``_shard`` and ``_tier`` of ``docs`` itself are
+    stored but replaced in the result.  An empty frame has no rows.  Shards
+    that are merged are sorted by ``order_col`` if it is given.
     """
-    clash = {"_shard", "_tier", "_batch", "_bytes", "_grp"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"reserved column names: {sorted(clash)}")
     store = ShardStore(docs.sparkSession, root, tiers, order_col)
     store.append(docs)
     store.compact()
     store.expire()
     if store.manifest().isEmpty():
-        return docs.limit(0).withColumns({"_shard": F.lit(""), "_tier": F.lit(0)})
+        kept = [quoted(c) for c in docs.columns if c not in ("_shard", "_tier")]
+        return docs.limit(0).select(*kept, F.lit("").alias("_shard"), F.lit(0).alias("_tier"))
     return store.rows()

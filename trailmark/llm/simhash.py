@@ -7,13 +7,15 @@ spanning forest of the links it found instead of the links themselves, so a
 large group of near copies costs rows in proportion to its members.  Links are
 then closed over by alternating large-star and small-star steps.
 
-``drop_near_duplicates`` goes by the similarity of shingle sets instead: bands
-of min-hashes propose what to compare, and each link is verified exactly.
+``drop_near_duplicates`` goes by the similarity of shingle sets: wider
+fingerprints of these sets propose in the same way what to compare, and each
+link is verified exactly.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import Masked, cut, quoted, text_batches
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds the memory of a long text.
@@ -60,6 +62,56 @@ def exact_plan(shingle: int = 3, bits: int = 64, max_distance: int = 3, blocks:
     return SimHashPlan(shingle, bits, max_distance, tuple(sum(c, ()) for c in chosen))
 
 
+#: Fingerprints that share a key by chance, on average, at most.
+KEY_ROWS = 32
+
+
+def plan_for(n: int, **how) -> SimHashPlan:
+    """The exact plan with the fewest keys that are wide enough for ``n``
+    fingerprints: more rows get more blocks, of which more must agree.
+    """
+    for blocks in range(4, 9):
+        plan = exact_plan(blocks=blocks, **how)
+        if n <= KEY_ROWS << min(map(len, plan.keys)):
+            break
+    return plan
+
+
+#: The same where a fingerprint has hundreds of keys.
+PROPOSING_ROWS = 256
+#: Bits of the fingerprints that propose which sets to compare.
+WIDE_BITS = 512
+#: Of two sets at the similarity sought, this share may agree on no key.
+LOSS = 1e-3
+
+
+def proposing_plan(n: int, least: float, shingle: int, seed: int = 20) -> SimHashPlan:
+    """Keys for pairs of sets with a Jaccard similarity of ``least``.
+
+    Such a pair differs in a share p = arccos(2s / (1 + s)) / pi of its bits,
+    binomially, which is far too many for blocks that lose nothing.  Keys are
+    drawn at random instead, wide enough that ``n`` fingerprints fall apart,
+    and as many as leave ``LOSS`` of the pairs without a common one.
+    """
+    p = math.acos(2 * least / (1 + least)) / math.pi
+    width = max(12, math.ceil(math.log2(max(n, 1) / PROPOSING_ROWS)))
+    d = np.arange(WIDE_BITS + 1)
+    log_pmf = np.array([math.lgamma(WIDE_BITS + 1) - math.lgamma(k + 1) - math.lgamma(WIDE_BITS - k + 1) for k in d]) + d * math.log(p) + (WIDE_BITS - d) * math.log1p(-p)
+    agree = (1 - d / WIDE_BITS) ** width
+    count = 8
+    while (np.exp(log_pmf) * (1 - agree) ** count).sum() > LOSS:
+        count += max(1, count // 8)
+    rng = np.random.default_rng(seed)
+    # the distance is taken over the first words of a fingerprint, 4.5 deviations above its mean
+    held = PROBE_BYTES * 8
+    most = math.ceil(held * p + 4.5 * math.sqrt(held * p * (1 - p)))
+    return SimHashPlan(shingle, WIDE_BITS, most, tuple(tuple(rng.choice(WIDE_BITS, width, replace=False).tolist()) for _ in range(count)))
+
+
+#: Bytes of a fingerprint that go with its keys to be compared.
+PROBE_BYTES = 16
+
+
 def shingle_hashes(text: bytes, size: int) -> np.ndarray:
     """XXH64 of each ``size``-word shingle of a text, repeats included."""
     words = text.lower().split()
@@ -88,7 +140,10 @@ def _widened(h: np.ndarray, words: int) -> np.ndarray:
 
 def fingerprint(text: bytes | None, plan: SimHashPlan) -> bytes:
     """Big-endian fingerprint; a bit is 1 if set in over half the hashes."""
-    h = shingle_hashes(text or b"", plan.shingle)
+    return fingerprint_of(shingle_hashes(text or b"", plan.shingle), plan)
+
+
+def fingerprint_of(h: np.ndarray, plan: SimHashPlan) -> bytes:
     ones = np.zeros(plan.bits, np.int64)
     for at in range(0, len(h), COUNT_CHUNK):
         part = _widened(h[at : at + COUNT_CHUNK], plan.words).astype(">u8").view(np.uint8)
@@ -104,7 +159,7 @@ def with_fingerprint(docs: DataFrame, plan: SimHashPlan, id_col: str = "doc_id",
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, plan) for t in texts], dtype=object)
 
-    return docs.select(F.col(id_col).alias("doc_id"), fp(F.col(text_col).cast("binary")).alias("fp"))
+    return docs.select(quoted(id_col).alias("doc_id"), fp(quoted(text_col).cast("binary")).alias("fp"))
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,18 +204,19 @@ def fingerprint_links(classes: DataFrame, plan: SimHashPlan, chunk: int = 1024,
 
     ``classes`` is ``(node LONG, fp BINARY)``, one row per distinct
     fingerprint.  A key with more than ``chunk`` fingerprints is cut into
-    chunks by hash, and each pair of chunks is compared on its own.
+    chunks by hash, and each pair of chunks is compared on its own.  Of
+    fingerprints over PROBE_BYTES the distance is that of their first bytes.
     """
-    spark = classes.sparkSession
     picks = [np.array(bits) for bits in plan.keys]
-    width = plan.bits // 8
+    width = min(plan.bits // 8, PROBE_BYTES)
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            bits = np.unpackbits(np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, width), axis=1).astype(np.int64)
+            bits = np.unpackbits(np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(-1, plan.bits // 8), axis=1).astype(np.int64)
+            probes = [fp[:width] for fp in pdf["fp"]]
             for k, pick in enumerate(picks):
                 key = bits[:, pick] @ (1 << np.arange(len(pick), dtype=np.int64))
-                yield pd.DataFrame({"key": key * 256 + k, "node": pdf["node"], "fp": pdf["fp"]})
+                yield pd.DataFrame({"key": key * len(picks) + k, "node": pdf["node"], "fp": probes})
 
     rows = classes.mapInPandas(keyed, "key long, node long, fp binary")
     hot = cut(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk).select("key", F.ceil(F.col("n") / chunk).cast("int").alias("chunks")))
@@ -197,12 +253,32 @@ def fingerprint_links(classes: DataFrame, plan: SimHashPlan, chunk: int = 1024,
     return rows.mapInPandas(compared, "a long, b long").distinct()
 
 
-def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
+#: Neighbours from which on a node is a hub, and hubs that are broadcast.
+HUB, BROADCAST_HUBS = 512, 200_000
+
+
+def _with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
+    """``rows (a, b)`` with ``m`` of ``low (a, m, n)``, n being the rows of a.
+
+    Rows of hubs get it by broadcast, so that they stay where they are; their
+    number is counted first.  If there are more, no single one weighs much.
+    """
+    low = cut(low)
+    hubs = low.where(F.col("n") >= HUB).select("a", "m")
+    n_hubs = hubs.count()
+    if not 0 < n_hubs <= BROADCAST_HUBS:
+        return rows.join(low.select("a", "m"), "a")
+    rest = rows.join(F.broadcast(hubs.select("a")), "a", "left_anti").join(low.where(F.col("n") < HUB).select("a", "m"), "a")
+    return rows.join(F.broadcast(hubs), "a").unionByName(rest)
+
+
+def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``links (a, b)``.
 
     Alternates large-star and small-star steps until nothing moves; both keep
     connectivity, and the fixed point has every node at its smallest one.
-    Rows are cut by a checkpoint each round.
+    Rows are cut by a checkpoint each round.  Links from a node to itself and
+    repeated ones change nothing; no links give no rows.
     """
 
     def state(df: DataFrame):
@@ -210,17 +286,18 @@ def connected_components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        return both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        # only rows towards larger nodes give links, so only these need the least one
+        return _with_low(e.select(F.col("b").alias("a"), F.col("a").alias("b")), low).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"))
-        moved = e.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        moved = _with_low(e, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(edges)
-    for _ in range(max_rounds if before[0] else 0):
+    while before[0]:
         edges = cut(small(cut(large(edges))))
         now = state(edges)
         if now == before:
@@ -233,42 +310,23 @@ def near_duplicates(docs: DataFrame, plan: SimHashPlan | None = None, id_col: st
     """``(doc_id, fp BINARY, component_id)`` of every row of ``docs``.
 
     Null and empty texts share the zero fingerprint and link like any other.
-    Repeated rows give repeated rows.  A row with a null id takes part in no
+    Repeated rows give repeated rows; rows of one id with several texts are
+    apart unless their texts link.  A row with a null id takes part in no
     link; its component is that of its fingerprint's other rows, or null.
-    Other columns of ``docs`` are not read.
+    Other columns of ``docs`` are not read.  Without ``plan`` the keys are as
+    wide as the number of fingerprints asks for.
     """
-    plan = plan or exact_plan()
-    fps = cut(with_fingerprint(docs, plan, id_col, text_col))
-    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    links = fingerprint_links(classes.where("node IS NOT NULL"), plan)
-    closed = connected_components(links)
-    found = classes.join(closed, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    base = plan or exact_plan()
+    fps = cut(with_fingerprint(docs, base, id_col, text_col))
+    node = F.conv(F.hex("fp"), 16, -10).cast("long") if base.bits == 64 else F.xxhash64("fp")
+    classes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", node))
+    links = fingerprint_links(classes.where("first IS NOT NULL").select("node", "fp"), plan or plan_for(classes.count()))
+    joined = cut(classes.join(connected_components(links), "node", "left").select("fp", "first", F.coalesce("component", "node").alias("component")))
+    least = joined.groupBy("component").agg(F.min("first").alias("component_id"))
+    found = joined.join(least, "component").select("fp", "component_id")
     return fps.join(found, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Min-hashes of a set are cut into bands; sets meet if they agree on a band.
-BANDS, BAND_ROWS = 40, 6
-MULTIPLIERS = np.random.default_rng(20).integers(0, 2**63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band of the min-hashes of a set; an empty set has none.
-
-    Sets of similarity s agree on a band with probability s^6, so of pairs at
-    0.8 five in a million share none of the 40.
-    """
-    if not len(h):
-        return np.empty(0, np.int64)
-    low = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
-    for at in range(0, len(h), 1024):
-        np.minimum(low, (h[at : at + 1024, None] * MULTIPLIERS).min(axis=0), out=low)
-    key = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for column in low.reshape(BANDS, BAND_ROWS).T:
-        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
-        key ^= key >> np.uint64(29)
-    return key.view(np.int64)
-
-
 def similar_links(node: np.ndarray, sets: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect the same sets as all pairs with a Jaccard similarity
     of ``least`` or more do.
@@ -314,36 +372,31 @@ def _set_of(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
 
 
 def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, chunk: int = 1024, chunk_hashes: int = 1 << 21) -> tuple[DataFrame, DataFrame]:
-    """``(doc_id, node)`` of every row and ``(node, keeper)`` of every set of
-    shingles: the smallest doc_id among the sets that it is connected with by
-    links of an exact Jaccard similarity of ``least`` or more.
+    """``(doc_id, node)`` of every row of ``docs (doc_id, text)`` and ``(node,
+    component, keeper)`` of every set of shingles: the smallest doc_id among
+    the sets that it is connected with by links of an exact Jaccard similarity
+    of ``least`` or more.
 
-    Bands of min-hashes only propose which sets to compare.  Proposals are
+    SimHash fingerprints only propose which sets to compare.  Proposals are
     closed over, and all pairs within one such component are compared; one
     with more than ``chunk`` sets or ``chunk_hashes`` shingles is cut into
     chunks, and each pair of chunks is compared on its own.
     """
     text_batches(docs.sparkSession)
+    shape = SimHashPlan(shingle, WIDE_BITS, 0, ())
 
-    @F.pandas_udf("node long, n int, keys binary")
+    @F.pandas_udf("node long, n int, fp binary")
     def described(texts: pd.Series) -> pd.DataFrame:
         rows = []
         for text in texts:
             h, node = _set_of(text, shingle)
-            rows.append((node, len(h), band_keys(h).tobytes()))
-        return pd.DataFrame(rows, columns=["node", "n", "keys"])
-
-    marked = cut(docs.select("doc_id", described(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.node", "s.n", "s.keys"))
-    classes = cut(marked.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("keys").alias("keys")))
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            keys = [np.frombuffer(k, np.int64) for k in pdf["keys"]]
-            yield pd.DataFrame({"key": np.concatenate([*keys, np.empty(0, np.int64)]), "node": np.repeat(pdf["node"].to_numpy(), [len(k) for k in keys])})
+            rows.append((node, len(h), fingerprint_of(h, shape)))
+        return pd.DataFrame(rows, columns=["node", "n", "fp"])
 
-    rows = classes.select("node", "keys").mapInPandas(keyed, "key long, node long")
-    shared = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-    proposed = rows.join(shared, "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+    marked = cut(docs.select("doc_id", described(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.node", "s.n", "s.fp"))
+    classes = cut(marked.where("doc_id IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp")))
+    plan = proposing_plan(classes.count(), least, shingle)
+    proposed = fingerprint_links(classes.where("n > 0").select("node", "fp"), plan, chunk)
     members = cut(connected_components(proposed).join(classes.select("node", "first", "n"), "node"))
     parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("n") / chunk_hashes)).cast("int")
     members = members.join(members.groupBy("component").agg(parts.alias("chunks")), "component").select("component", "chunks", F.col("node").alias("expected"), "first")
@@ -382,22 +435,32 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, chunk:
     closed = connected_components(sets.mapInPandas(compared, "a long, b long"))
     joined = cut(classes.select("node", "first").join(closed, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")))
     keepers = joined.groupBy("component").agg(F.min("first").alias("keeper"))
-    return marked.select("doc_id", "node"), joined.join(keepers, "component").select("node", "keeper")
+    return marked.select("doc_id", "node"), joined.join(keepers, "component").select("node", "component", "keeper")
 
 
-def drop_near_duplicates(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near duplicates: the one with
     the smallest doc_id.  Texts link if ``least`` or more of the five-word
-    shingles that either has are in both.
+    shingles that either has are in both; null and empty texts are alike.
 
-    Rows without a doc_id stay; a doc_id that repeats keeps one of its rows.
+    Rows without a doc_id stay.  Rows of one doc_id count each by its own
+    text: those in several groups stay or go with their group.
     """
-    rows, keepers = similar_texts(docs, least=least)
-    marked = cut(rows.where("doc_id IS NOT NULL").join(keepers, "node").select("doc_id", "keeper"))
-    gone = marked.where("doc_id <> keeper").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    repeated = cut(marked.where("doc_id = keeper").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    masked = Masked(docs)
+    key, text = masked[id_col], masked[text_col]
+    rows, keepers = similar_texts(masked.df.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), shingle, least)
+    fate = cut(rows.where("doc_id IS NOT NULL").join(keepers, "node").select("doc_id", "node", "component", (F.col("doc_id") == F.col("keeper")).alias("stays")))
+    repeated = cut(fate.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(key)))
+    gone = fate.where("NOT stays").select(F.col("doc_id").alias(key))
+    kept = masked.df.join(gone.unionByName(repeated).distinct(), key, "left_anti").select(*masked.restored())
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+
+    @F.pandas_udf("long")
+    def named(texts: pd.Series) -> pd.Series:
+        return pd.Series([_set_of(t, shingle)[1] for t in texts], dtype="int64")
+
+    again = masked.df.join(repeated, key, "left_semi").withColumn("_node", named(F.col(text).cast("binary")))
+    stays = fate.where("stays").select(F.col("doc_id").alias(key), F.col("node").alias("_node"), F.col("component").alias("_component")).distinct()
+    again = again.join(stays, [key, "_node"]).dropDuplicates(["_component"])
+    return kept.unionByName(again.select(*masked.restored()))
