@@ -8,11 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a temporary folder where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """``spark.checkpoint.dir``, or a temporary folder where it is unset and
+    everything runs on one machine.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="trailmark-")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root or tempfile.mkdtemp(prefix="trailmark-"))
-    return root or spark.sparkContext.getCheckpointDir()
+        spark.sparkContext.setCheckpointDir(root)
+    return root
 
 
 def cut(df: DataFrame) -> DataFrame:
