@@ -118,6 +118,8 @@ def test_snapshot_round_trip_and_merge(spark, tmp_path):
     doc = snapshot.snapshot_json(g, "test", 1).first()["json"]
     manifest = {"version": 1, "generatedAtMs": 1, "closedPackageKeys": ["npm:chalk"], "partialPackageKeys": ["npm:x"], "closedServiceKeys": [], "notes": [], "ecosystems": ["npm"], "counts": {}}
     (tmp_path / "s.json").write_text(json.dumps({**json.loads(doc), "manifest": manifest}))
+    (tmp_path / "m.json").write_text(json.dumps(manifest))
+    assert snapshot.coverage_claims(snapshot.read_manifest(spark, str(tmp_path / "m.json"))).count() == 2
     back = snapshot.read_snapshot(spark, str(tmp_path / "s.json"))
     for label in ("versions", "services", "packages"):
         assert sorted(back.node(label).collect()) == sorted(g.node(label).collect())

@@ -72,6 +72,14 @@ def test_typosquats(spark):
         ts.Options(max_distance=5)
 
 
+def test_compared_names_are_capped(spark):
+    assert found(spark, ("axois", 1), [("axios", 1_000), ("axoiss", 900)], max_compared=1) == [("axios", "high", 1, ["edit_distance", "popularity_gap"])]
+    popular = spark.createDataFrame([("npm", f"p{i}", i) for i in range(5)], "ecosystem string, name string, weekly_downloads long")
+    assert {r["name"] for r in ts.compared(popular, 2).collect()} == {"p3", "p4"}
+    x = ts.scan_limits(popular, ts.Options(max_compared=2)).first()["limits"][0]
+    assert (x["kind"], x["examined"], x["total"]) == ("scan_capped", 2, 5)
+
+
 def test_near_names_lose_no_pair(spark):
     import itertools
     import random

@@ -73,6 +73,13 @@ def test_caps_become_limits(spark):
     assert [(x["kind"], x["examined"], x["total"]) for x in a["limits"]] == [("scan_capped", 1, 3)]
 
 
+def test_budget_becomes_a_limit(spark):
+    r = blast_radius(chain(spark, extra=(("npm:ps-tree:1.2.0", BAD), ("npm:nodemon:1.18.7", BAD))).build(), BAD, Bounds(paths_a_level=2))
+    assert r.answer.first()["verdict"] == "exposed" and "budget_rejected" in kinds(r.answer.first()) and r.answer.first()["max_hop_reached"] == 0
+    with pytest.raises(traverse.BudgetError, match="more than 1 paths"):
+        traverse.paths(chain(spark).build().edge("resolves_to"), spark.createDataFrame([(0, 2), (1, 2)], "ordinal long, node long"), 3, checkpoint=True, most=1)
+
+
 def test_as_of(spark):
     r = blast_radius(chain(spark).build(), BAD, at_ms=PINNED - 1)
     assert r.answer.first()["verdict"] == "not_exposed" and r.services.count() == 0
@@ -95,7 +102,7 @@ def test_paths_semantics(spark):
     assert [(r["hop"], r["ordinal"], r["edges"]) for r in first] == [(1, 0, [1]), (1, 0, [2]), (1, 1, [1])]
     only = traverse.paths(e, seeds, 5, targets=spark.createDataFrame([(3,)], "id long"))
     assert {r["tail"] for r in only.collect()} == {3}
-    r = traverse.reach(e, spark.createDataFrame([(1, 1)], "source long, node long"), 5, include_seeds=True, checkpoint=True)
+    r = traverse.reach(e, spark.createDataFrame([(1, 1)], "source long, node long"), 5, include_seeds=True)
     assert {(x["node"], x["hop"]) for x in r.collect()} == {(1, 0), (2, 1), (3, 2)}
 
 

@@ -113,10 +113,6 @@ def decide(found: Column, coverage: Column, graph_empty: Column, own_limits: Col
     return F.struct(verdict.alias("verdict"), rationale.alias("rationale"), all_limits.alias("limits"))
 
 
-def describe_verdict(verdict: Column) -> Column:
-    return F.when(verdict == "exposed", "Exposed").when(verdict == "not_exposed", "Not exposed").otherwise("Unknown")
-
-
 def worst_verdict(n_exposed: Column, n_unknown: Column) -> Column:
     """Of many answers: exposure first, then ignorance."""
     return F.when(n_exposed > 0, "exposed").when(n_unknown > 0, "unknown").otherwise("not_exposed")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, verdict
 from .graph import Graph, coverage_of, is_empty
-from .traverse import check_bounds, paths
+from .traverse import BudgetError, check_bounds, path_count_limit_reached, paths
 
 
 @dataclass(frozen=True)
@@ -18,6 +18,7 @@ class Bounds:
     path_count: int = 20_000
     max_services: int = 5_000
     resolved_per_service: int = 20_000
+    paths_a_level: int = 1_000_000
 
 
 def reachable(found: DataFrame) -> DataFrame:
@@ -110,9 +111,15 @@ def blast_radius(graph: Graph, key: str, bounds: Bounds | None = None, at_ms: in
     versions = graph.node("versions")
     source = versions.where(F.col("key") == key).select(F.lit(0).alias("ordinal"), F.col("id").alias("node"))
     dependents = graph.edge("depended_on_by").select("edge_id", "src", "dst")
-    found = paths(dependents, source, bounds.max_hops, bounds.path_count, checkpoint=True).persist()
-    n_paths, deepest = found.agg(F.count("*"), F.coalesce(F.max("hop"), F.lit(0))).first()
+    stopped = None
+    try:
+        found = paths(dependents, source, bounds.max_hops, bounds.path_count, checkpoint=True, most=bounds.paths_a_level).persist()
+    except BudgetError as e:
+        stopped = str(e)
+        found = paths(dependents, source, max(1, e.hop), bounds.path_count, checkpoint=True).where(F.lit(e.hop > 0)).persist()
+    n_paths, longest = found.agg(F.count("*"), F.coalesce(F.max("hop"), F.lit(0))).first()
     reached = reachable(found)
+    deepest = (deepest_hop(reached).first() or {"max_hop_reached": 0})["max_hop_reached"]
 
     services = graph.node("services")
     total = services.count()
@@ -138,8 +145,9 @@ def blast_radius(graph: Graph, key: str, bounds: Bounds | None = None, at_ms: in
     level = coverage_of(graph, "package", package).first()["level"]
     known = source.isEmpty() is False
     own = verdict.limits(
-        (F.lit(deepest >= bounds.max_hops), verdict.limit("hop_limit", max_hops=bounds.max_hops)),
-        (F.lit(n_paths >= bounds.path_count), verdict.limit("path_limit", path_count=bounds.path_count)),
+        (F.lit(longest >= bounds.max_hops), verdict.limit("hop_limit", max_hops=bounds.max_hops)),
+        (F.lit(path_count_limit_reached(n_paths, bounds.path_count)), verdict.limit("path_limit", path_count=bounds.path_count)),
+        (F.lit(stopped is not None), verdict.limit("budget_rejected", operation=stopped or "")),
         (F.lit(total > bounds.max_services), verdict.limit("scan_capped", examined=bounds.max_services, total=total)),
         (F.lit(n_pins > 0), verdict.limit("scan_capped", examined=bounds.resolved_per_service, total=bounds.resolved_per_service + n_pins)),
         (F.lit(n_undated > 0), verdict.limit("timestamp_missing", field="resolved_at_ms")),

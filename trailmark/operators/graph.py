@@ -128,9 +128,12 @@ def coverage_of(graph: Graph, kind: str, keys: DataFrame) -> DataFrame:
     return keys.select("key").distinct().join(claims, "key", "left").select("key", F.coalesce("level", F.lit(0)).alias("level"))
 
 
-def weakest_coverage(graph: Graph, kind: str, keys: DataFrame) -> DataFrame:
-    """One row ``level``: the least of the keys; closed if there are none."""
-    return coverage_of(graph, kind, keys).agg(F.coalesce(F.min("level"), F.lit(2)).alias("level"))
+def weakest_coverage(graph: Graph, kind: str, keys: DataFrame, *by: str) -> DataFrame:
+    """``level``: the least of the keys, for each group of the columns ``by``
+    or, without them, of all; closed if there are none.
+    """
+    rows = keys.select(*by, "key").distinct().join(coverage_of(graph, kind, keys), "key")
+    return rows.groupBy(*by).agg(F.coalesce(F.min("level"), F.lit(2)).alias("level"), F.count("*").alias("n"))
 
 
 def last_write_wins(rows: DataFrame, order: Column) -> DataFrame:

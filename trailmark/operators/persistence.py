@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,9 +52,10 @@ def read_tree(spark: SparkSession, root: str, consent: bool, indicators: tuple[I
     """Files of a local tree for which the user gave consent, and what the
     walk left out.  The root must be an absolute folder, neither the file
     system's root nor a home; links out of the root are not followed.  Only
-    files whose path some indicator asks for are opened, and the bounds above
-    keep what is read small.  (Spark's own file sources skip hidden files,
-    which are what a scan looks for.)
+    files whose path some indicator asks for are opened, in tasks, which must
+    see the folder too; the driver only lists names, and the bounds above keep
+    that small.  (Spark's own file sources skip hidden files, which are what a
+    scan looks for.)
     """
     if not consent:
         raise PermissionError("a scan needs consent")
@@ -61,7 +63,7 @@ def read_tree(spark: SparkSession, root: str, consent: bool, indicators: tuple[I
     if not os.path.isabs(root) or real == os.path.sep or real == os.path.realpath(os.path.expanduser("~")) or not os.path.isdir(real):
         raise ValueError("the root must be an absolute folder within the file system, and no home")
     gate = re.compile("|".join(f"(?:{glob_regex(p)[4:]})" for i in indicators for p in i.paths), re.IGNORECASE)
-    rows: list[tuple[str, bytearray]] = []
+    rows: list[tuple[str, str]] = []
     seen: dict[str, object] = {"outside": 0, "unreadable": 0, "truncated": None, "files": 0, "bytes": 0}
     for folder, folders, names in os.walk(real):
         rel = os.path.relpath(folder, real)
@@ -84,14 +86,28 @@ def read_tree(spark: SparkSession, root: str, consent: bool, indicators: tuple[I
                 if not gate.search(path):
                     continue
                 try:
-                    with open(full, "rb") as f:
-                        head = f.read(MAX_FILE_BYTES)
+                    seen["bytes"] += min(os.path.getsize(full), MAX_FILE_BYTES)
                 except OSError:
                     seen["unreadable"] += 1
                     continue
-                seen["bytes"] += len(head)
-                rows.append((path, bytearray(head)))
-    return spark.createDataFrame(rows, "path string, content binary"), seen
+                rows.append((path, full))
+
+    def opened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"path": pdf["path"], "content": [_head(full) for full in pdf["full"]]})
+
+    listed = spark.createDataFrame(rows, "path string, full string").repartition(max(1, len(rows) // 64))
+    read = listed.mapInPandas(opened, "path string, content binary").persist()
+    seen["unreadable"] += read.where("content IS NULL").count()
+    return read.where("content IS NOT NULL"), seen
+
+
+def _head(path: str) -> bytes | None:
+    try:
+        with open(path, "rb") as f:
+            return f.read(MAX_FILE_BYTES)
+    except OSError:
+        return None
 
 
 def _first_line(lines: Column, patterns: tuple[str, ...]) -> Column:
@@ -122,9 +138,11 @@ def scan_files(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE)
 
 def scan_lines(texts: DataFrame, patterns: dict[str, str], text_col: str = "text") -> DataFrame:
     """The first matching line (from 1) of each named pattern in each row."""
-    lines = F.split(text_col, r"\r?\n")
-    found = F.array(*[F.struct(F.lit(k).alias("pattern"), _first_line(lines, (p,)).alias("line_number")) for k, p in patterns.items()])
+    # most texts hold no match, and one look at a text is cheaper than at all its lines
+    line = lambda p: F.when(F.col(text_col).rlike(f"(?m){p}"), _first_line(F.col("_lines"), (p,)))
+    found = F.array(*[F.struct(F.lit(k).alias("pattern"), line(p).alias("line_number")) for k, p in patterns.items()])
     rest = [c for c in texts.columns if c != text_col]
+    texts = texts.withColumn("_lines", F.split(text_col, r"\r?\n"))
     return texts.select(*rest, F.explode(found).alias("f")).where("f.line_number IS NOT NULL").select(*rest, "f.pattern", "f.line_number")
 
 

@@ -57,15 +57,17 @@ def cumulative_frames(instants: DataFrame, exposures: DataFrame, disclosed_ms: i
     """Per frame: services exposed so far, blind spots among them, newly
     exposed ones, whether the advisory is public, and verdict counts.
 
-    Pins and frames are merged into one event list and summed in order, so the
-    cost is a sort whatever the number of frames.  An advisory is public from
-    its own instant on.
+    Instants are few and go to every pin, which finds its first frame by
+    itself; only counts per frame are summed in order.  An advisory is public
+    from its own instant on.
     """
-    zero = F.lit(0).cast("long")
     pins = exposures.where("resolved_at_ms IS NOT NULL").groupBy(F.col("resolved_at_ms").alias("at_ms")).agg(F.count("*").alias("n"), F.count_if(F.col("is_blind_spot")).alias("blind"))
-    events = pins.select("at_ms", F.lit(0).alias("kind"), F.lit(None).cast("int").alias("frame"), "n", "blind").unionByName(instants.select("at_ms", F.lit(1).alias("kind"), "frame", zero.alias("n"), zero.alias("blind")))
-    so_far = Window.orderBy("at_ms", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.select("at_ms", "kind", "frame", F.sum("n").over(so_far).alias("exposed"), F.sum("blind").over(so_far).alias("blind_spots")).where("kind = 1").drop("kind")
+    ticks = instants.agg(F.array_sort(F.collect_list("at_ms")).alias("ticks"))  # one row
+    first = F.size(F.filter("ticks", lambda t: t < F.col("at_ms"))).alias("frame")
+    per = pins.crossJoin(F.broadcast(ticks)).groupBy(first).agg(F.sum("n").alias("n"), F.sum("blind").alias("blind"))
+    so_far = Window.orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)  # a row a frame
+    total = lambda c: F.coalesce(F.sum(c).over(so_far), F.lit(0))
+    rows = instants.select("frame", "at_ms").join(per, "frame", "left").select("frame", "at_ms", total("n").alias("exposed"), total("blind").alias("blind_spots"))
     rows = rows.withColumn("newly_exposed", F.col("exposed") - F.coalesce(F.lag("exposed").over(Window.orderBy("frame")), F.lit(0)))
     public = F.lit(False) if disclosed_ms is None else F.col("at_ms") >= disclosed_ms
     return rows.select("frame", "at_ms", "exposed", "newly_exposed", "blind_spots", public.alias("advisory_public"), F.greatest(F.lit(known_services) - F.col("exposed"), F.lit(0)).alias("not_seen_exposed"))

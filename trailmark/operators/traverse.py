@@ -26,7 +26,15 @@ def check_bounds(max_hops: int, path_count: int | None = None) -> None:
         raise ValueError(f"path_count must be 1 or more, not {path_count}")
 
 
-def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | None = None, targets: DataFrame | None = None, checkpoint: bool = False) -> DataFrame:
+class BudgetError(RuntimeError):
+    """A level has more paths than allowed; ``hop`` is the last one that fits."""
+
+    def __init__(self, hop: int, most: int) -> None:
+        super().__init__(f"more than {most} paths of {hop + 1} hops")
+        self.hop = hop
+
+
+def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | None = None, targets: DataFrame | None = None, checkpoint: bool = False, most: int | None = None) -> DataFrame:
     """Simple paths (``PATHS``) along ``edges (edge_id, src, dst)`` from
     ``seeds (ordinal, node)``.
 
@@ -34,7 +42,8 @@ def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | N
     seed given twice gives its paths twice.  Each prefix of one hop or more is
     a path of its own where its tail is in ``targets (id)``, or always without
     them; other tails are walked on from.  Order is (hop, ordinal, edges), and
-    ``path_count`` keeps the first so many.
+    ``path_count`` keeps the first so many.  With ``checkpoint`` a level of
+    over ``most`` paths raises BudgetError.
     """
     check_bounds(max_hops, path_count)
     step = edges.select("edge_id", F.col("src").alias("_at"), F.col("dst").alias("_to"))
@@ -47,8 +56,11 @@ def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | N
         )
         if checkpoint:
             now = cut(now)
-            if now.isEmpty():
+            n = now.count()
+            if not n:
                 break
+            if most is not None and n > most:
+                raise BudgetError(hop - 1, most)
         levels.append(now if targets is None else now.join(targets.select(F.col("id").alias("tail")).distinct(), "tail", "left_semi").select(*now.columns))
         if checkpoint and path_count is not None:
             held += levels[-1].count()
@@ -60,25 +72,21 @@ def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | N
     return found if path_count is None else found.orderBy("hop", "ordinal", "edges").limit(path_count)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, include_seeds: bool = False, checkpoint: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, include_seeds: bool = False) -> DataFrame:
     """``(source, node, hop)``: the least number of hops to each node.
 
-    ``seeds (source, node)`` may give a source several nodes, at hop 0.
+    ``seeds (source, node)`` may give a source several nodes, at hop 0.  Every
+    hop is cut off, so none is worked out twice, and an empty one ends it.
     """
     check_bounds(max_hops)
-    step = edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct()
-    seen = seeds.select("source", "node", F.lit(0).alias("hop")).distinct()
-    front = seen
+    step = cut(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct())
+    seen = front = cut(seeds.select("source", "node", F.lit(0).alias("hop")).distinct())
     for hop in range(1, max_hops + 1):
         grown = front.join(step, front["node"] == step["_at"]).select("source", F.col("_to").alias("node")).distinct()
-        front = grown.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(hop))
-        if checkpoint:
-            front = cut(front)
-            if front.isEmpty():
-                break
-            seen = cut(seen.unionByName(front)) if hop % 4 == 0 else seen.unionByName(front)
-        else:
-            seen = seen.unionByName(front)
+        front = cut(grown.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
     return seen if include_seeds else seen.where("hop > 0")
 
 

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import verdict
+
 # Bounds, filler tokens, confusable characters, ranks.
 MAX_NAME = 214
 MAX_DISTANCE = 4
@@ -254,6 +256,7 @@ def findings(candidates: DataFrame, popular: DataFrame, options: Options | None
     and rank among the suspect's; at most ``max_findings`` of each suspect.
     """
     options = options or Options()
+    popular = compared(popular, options.max_compared)
     sp, tp = profiles(candidates).dropDuplicates(["ecosystem", "identity"]), profiles(popular).dropDuplicates(["ecosystem", "identity"])
     s, t = _sides(sp, tp)
     parts = [homoglyphs(s, t), separators_or_case(s, t), scope_confusions(s, t), paddings(s, t), near_names(s, t, options.max_distance)]
@@ -283,6 +286,21 @@ def ranked(pairs: DataFrame, most: int) -> DataFrame:
     return pairs.withColumn("matched", F.count("*").over(by)).withColumn("rank", F.row_number().over(by.orderBy(*finding_order()))).where(F.col("rank") <= most)
 
 
+def compared(popular: DataFrame, most: int) -> DataFrame:
+    """The names to compare with: of an ecosystem with more than ``most`` the
+    most popular ones, unknown popularity last, then by name.
+    """
+    rank = F.row_number().over(Window.partitionBy("ecosystem").orderBy(F.col("weekly_downloads").desc_nulls_last(), "name"))
+    return popular.withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_rank")
+
+
+def scan_limits(popular: DataFrame, options: Options) -> DataFrame:
+    """``(ecosystem, limits)``: what the cap on names leaves out."""
+    n = popular.groupBy("ecosystem").agg(F.count("*").alias("n"))
+    own = verdict.limits((F.col("n") > options.max_compared, verdict.limit("scan_capped", examined=options.max_compared, total=F.col("n"))))
+    return n.select("ecosystem", own.alias("limits"))
+
+
 def scan_counts(candidates: DataFrame, popular: DataFrame) -> DataFrame:
     """Per ecosystem: names to compare with, and names of other ecosystems,
     which are never compared.

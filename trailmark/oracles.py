@@ -33,12 +33,12 @@ def canonical(x: str) -> str:
     return f"translate(replace(replace(lower({x}), 'rn', 'm'), 'vv', 'w'), '1i05', 'llos')"
 
 
-EXPOSED = f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {walk(2)},
+EXPOSED = f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {walk(8)},
 reach AS (SELECT source, tail AS node, min(hop) AS hop, count(*) AS n FROM walk GROUP BY ALL),
 hit AS (SELECT r.source, p.src AS service, r.hop, r.n, p.ms, row_number() OVER (PARTITION BY r.source, p.src ORDER BY r.hop, p.ms, p.src * 10000000 + p.dst) AS rk, p.dst FROM pins p JOIN reach r ON p.dst = r.node),
 exposed AS (SELECT source, service, min(hop) + 1 AS hop, min(hop) = 0 AS is_direct, sum(n)::BIGINT AS path_count, max(CASE WHEN rk = 1 THEN ms END) AS resolved_at_ms FROM hit GROUP BY ALL)"""
 
-FRAMES = f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {walk(1, 1)},
+FRAMES = f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {walk(8, 1)},
 reach AS (SELECT source, tail AS node, min(hop) AS hop FROM walk GROUP BY ALL),
 hit AS (SELECT p.src AS service, p.ms, row_number() OVER (PARTITION BY p.src ORDER BY r.hop, p.ms, p.src * 10000000 + p.dst) AS rk FROM pins p JOIN reach r ON p.dst = r.node),
 exposed AS (SELECT service, ms, ms >= 852076800000 AND ms < 883612800000 AS blind FROM hit WHERE rk = 1),
@@ -57,15 +57,20 @@ m AS (SELECT dep.*, CASE WHEN dis IS NULL THEN 'none' WHEN version = p_size || '
 scanned AS (SELECT path, name, version, match, CASE WHEN p_size % 3 = 2 THEN 'unknown' WHEN match = 'exact' THEN 'exposed' WHEN match = 'package' OR p_size % 3 = 1 THEN 'unknown' ELSE 'not_exposed' END AS verdict,
   CASE WHEN match = 'none' THEN 0 ELSE 1 END AS n_advisories FROM m)"""
 
-SURFACES = f"""WITH {FACTS}, {MAIN}, {DEPS}, {PINS},
+SURFACES = f"""WITH RECURSIVE {FACTS}, {MAIN}, {DEPS}, {PINS},
 own AS (SELECT m.src AS s, count(*) AS packages, sum(coalesce(lines, 0))::BIGINT AS weekly_downloads, count(CASE WHEN lines IS NULL THEN 1 END) AS without, min({LEVEL}) AS level
   FROM main m JOIN part ON p_partkey = m.dst LEFT JOIN facts ON id = m.dst GROUP BY 1),
-reach AS (SELECT s, node, min(hop) AS hop FROM (SELECT src AS s, dst AS node, 0 AS hop FROM main UNION ALL SELECT m.src, d.src, 1 FROM main m JOIN deps d ON d.dst = m.dst) GROUP BY ALL),
-svc AS (SELECT s, count(*) AS services, min(hop) AS near FROM (SELECT s, p.src AS c, min(hop) + 1 AS hop FROM reach JOIN pins p ON p.dst = node GROUP BY ALL) GROUP BY s),
+steps AS (SELECT src AS s, dst AS node, 0 AS hop FROM main UNION SELECT r.s, d.src, r.hop + 1 FROM steps r JOIN deps d ON d.dst = r.node WHERE r.hop < 8),
+reach AS (SELECT s, node, min(hop) AS hop FROM steps GROUP BY ALL),
+svc_hops AS (SELECT s, p.src AS c, min(hop) + 1 AS hop FROM reach JOIN pins p ON p.dst = node GROUP BY ALL),
+svc AS (SELECT s, count(*) AS services, min(hop) AS near FROM svc_hops GROUP BY s),
 dep AS (SELECT s, count(DISTINCT node) AS direct, count(DISTINCT CASE WHEN p_size > 40 THEN node END) AS scripts FROM reach JOIN part ON p_partkey = node WHERE hop = 1 GROUP BY s),
 board AS (SELECT 'npm:' || s_name AS maintainer_key, packages, coalesce(services, 0) AS services, near AS nearest_service_hop, coalesce(direct, 0) AS direct_dependents, coalesce(scripts, 0) AS dependents_with_install_script,
   weekly_downloads, without AS packages_without_downloads, CASE WHEN without = 0 THEN 'known' WHEN without = packages THEN 'unknown' ELSE 'partial' END AS downloads_basis,
-  CASE WHEN coalesce(services, 0) > 0 THEN 'exposed' WHEN level < 2 THEN 'unknown' ELSE 'not_exposed' END AS verdict
+  CASE WHEN coalesce(services, 0) > 0 THEN 'exposed' WHEN level < 2 THEN 'unknown' ELSE 'not_exposed' END AS verdict,
+  CASE WHEN coalesce(services, 0) > 0 AND level < 2 THEN 'A path exists; the search was cut short, so there may be more.' WHEN coalesce(services, 0) > 0 THEN 'A path exists, and the search was complete.'
+    WHEN level < 2 THEN 'No path was seen, but the search was cut short: npm:' || s_name || ' is loaded in part.' ELSE 'No path exists; all that npm:' || s_name || ' needs is loaded and the search was complete.' END
+    || ' Only loaded packages and services are counted, so the real surface is this large at least.' AS rationale
   FROM own JOIN supplier ON s_suppkey = own.s LEFT JOIN svc ON svc.s = own.s LEFT JOIN dep ON dep.s = own.s)"""
 
 READINGS = """first AS (SELECT 'npm:part-' || p_partkey AS key, p_partkey AS id, p_name AS name, CASE WHEN p_size > 5 THEN p_size END AS size, CASE WHEN p_type = 'ECONOMY' THEN p_brand END AS brand FROM part WHERE p_size <= 30),
@@ -89,11 +94,11 @@ UNION ALL SELECT 'edge', 'affects', count(dis) FROM facts JOIN part ON id = p_pa
 SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, edge_id FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY side, edge_id) AS rank FROM hops WHERE id IN (SELECT p_partkey FROM part)) WHERE rank <= 8""",
     "q03_pins_in_window": f"""WITH {PINS} SELECT dst AS id, CAST(rank AS INTEGER) AS rank, src AS neighbour, ms AS resolved_at_ms
 FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src, ms) AS rank FROM pins WHERE ms >= 852076800000 AND ms < 883612800000 AND dst IN (SELECT p_partkey FROM part)) WHERE rank <= 20""",
-    "q04_paths": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(3)}
+    "q04_paths": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(8)}
 SELECT source, tail, hop, count(*) AS n_paths, min(array_to_string(nodes, '>')) AS least_path FROM walk WHERE hop > 0 GROUP BY source, tail, hop""",
     "q04_first_paths": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(2)} SELECT ordinal, hop, tail, array_to_string(nodes, '>') AS path FROM walk WHERE hop > 0 ORDER BY hop, ordinal, edges LIMIT 200""",
-    "q05_reach": f"WITH RECURSIVE {DEPS}, {SEEDS}, {walk(3)} SELECT source, tail AS node, min(hop) AS hop FROM walk WHERE hop > 0 GROUP BY source, tail",
-    "q05_version_exposures": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(3)} SELECT source, tail AS node, min(hop) AS hop, count(*) AS path_count, arg_min(array_to_string(nodes, '>'), {{'h': hop, 'e': edges}}) AS route
+    "q05_reach": f"WITH RECURSIVE {DEPS}, {SEEDS}, {walk(8)} SELECT source, tail AS node, min(hop) AS hop FROM walk WHERE hop > 0 GROUP BY source, tail",
+    "q05_version_exposures": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(8)} SELECT source, tail AS node, min(hop) AS hop, count(*) AS path_count, arg_min(array_to_string(nodes, '>'), {{'h': hop, 'e': edges}}) AS route
 FROM walk WHERE hop > 0 GROUP BY source, tail""",
     "q05_service_exposures": f"{EXPOSED} SELECT * FROM exposed",
     "q06_resolved_while_live": f"""WITH {PINS}, {FACTS} SELECT dst AS version, src AS service, min(ms) AS resolved_at_ms, min(dis) - min(ms) AS ms_before_disclosure
@@ -122,12 +127,12 @@ r2 AS (SELECT DISTINCT r1.s, d.src AS node FROM r1 JOIN deps d ON d.dst = r1.nod
 a AS (SELECT s, node, 1 AS hop FROM r1 UNION ALL SELECT s, node, 2 FROM r2)
 SELECT s AS maintainer, count(DISTINCT CASE WHEN hop = 1 THEN node END) AS direct_dependents, count(DISTINCT CASE WHEN hop = 1 AND p_size > 40 THEN node END) AS dependents_with_install_script,
 count(DISTINCT CASE WHEN hop = 2 THEN node END) AS modelled_candidates FROM a JOIN part ON p_partkey = node GROUP BY s""",
-    "q11_unranked": f"WITH {MAIN} SELECT 'npm:' || s_name AS maintainer_key FROM supplier WHERE s_suppkey NOT IN (SELECT src FROM main)",
+    "q11_unranked": f"WITH {MAIN} SELECT 'npm:' || s_name AS maintainer_key FROM supplier WHERE s_suppkey NOT IN (SELECT src FROM main WHERE dst % 23 = 0)",
     "q12_verdicts": f"""WITH {FACTS} SELECT 'npm:part-' || p_partkey AS key,
 CASE WHEN p_size % 3 = 2 THEN 'unknown' WHEN dis IS NOT NULL THEN 'exposed' WHEN coalesce(lines, 0) > 35 OR p_size % 3 = 1 THEN 'unknown' ELSE 'not_exposed' END AS verdict,
 concat_ws(',', CASE WHEN p_size % 3 = 2 THEN 'package_absent' END, CASE WHEN coalesce(lines, 0) > 35 THEN 'path_limit' END, CASE WHEN p_size % 3 = 1 THEN 'package_partial' END) AS limit_kinds
 FROM part LEFT JOIN facts ON id = p_partkey""",
-    "q12_weakest_coverage": f"WITH {MAIN} SELECT src, min({LEVEL}) AS level, count(*) AS n FROM main JOIN part ON p_partkey = dst GROUP BY src",
+    "q12_weakest_coverage": f"WITH {MAIN} SELECT src, min({LEVEL}) AS level, count(*) AS n FROM main JOIN part ON p_partkey = dst GROUP BY src UNION ALL SELECT -1, min({LEVEL}), count(*) FROM part WHERE p_size % 3 < 2",
     "q13_frames": f"{FRAMES} SELECT * FROM frames",
     "q13_bars": f"{FRAMES} SELECT frame, round(CASE WHEN max(exposed) OVER () > 0 THEN exposed / max(exposed) OVER () ELSE 0.0 END, 6) AS height, advisory_public FROM frames",
     "q14_frame_as_of": f"{FRAMES} SELECT frame, at_ms, exposed FROM frames WHERE frame = (SELECT coalesce(max(frame), 0) FROM frames WHERE at_ms <= 900000000000)",
@@ -139,11 +144,19 @@ SELECT s.name AS suspect, t.name AS target, {canonical("s.name")} AS form FROM s
     "q15_separators": f"""WITH s AS (SELECT name FROM {names("-")}), t AS (SELECT name FROM {names("_")})
 SELECT s.name AS suspect, t.name AS target, {flat("s.name")} AS form, regexp_replace(s.name, '[^A-Za-z0-9]', '', 'g') <> regexp_replace(t.name, '[^A-Za-z0-9]', '', 'g') AS case_differs, lower(s.name) <> lower(t.name) AS separators_differ
 FROM s JOIN t ON {flat("s.name")} = {flat("t.name")} AND s.name <> t.name""",
-    "q15_padding": f"""WITH s AS (SELECT name FROM {names("-")}), t AS (SELECT name FROM {names("-", False)}) SELECT s.name AS suspect, t.name AS target, 'suffix' AS position, split_part(s.name, '-', 3) AS token
-FROM s JOIN t ON split_part(s.name, '-', 1) || '-' || split_part(s.name, '-', 2) = t.name""",
-    "q15_scope": f"""WITH s AS (SELECT name FROM {names("-")}) SELECT name AS suspect, '@' || substr(name, 1, 1) || '/' || name AS target, 'scope_dropped' AS variety, name AS form FROM s""",
-    "q16_findings": f"""WITH s AS (SELECT * FROM {names("-")}), t AS (SELECT * FROM {names("-", False)}) SELECT s.name AS suspect, t.name AS target, 'medium' AS confidence, -1 AS edit_distance, CAST(1 AS BIGINT) AS matched, 1 AS rank, 'padding,popularity_gap' AS kinds
-FROM s JOIN t ON split_part(s.name, '-', 1) || '-' || split_part(s.name, '-', 2) = t.name WHERE t.dl / greatest(s.dl, 1) >= 2""",
+    "q15_padding": f"""WITH s AS (SELECT name FROM {names("-")}), t AS (SELECT name FROM {names("-", False)}), x AS (SELECT name, split_part(name, '-', 1) AS a, split_part(name, '-', 2) AS b, split_part(name, '-', 3) AS c FROM s),
+v AS (SELECT name AS suspect, a || '-' || b AS target, 'suffix' AS position, c AS token, c IN ('2', '3', '4') AS is_filler FROM x UNION ALL SELECT name, b || '-' || c, 'prefix', a, false FROM x UNION ALL SELECT name, a || '-' || c, 'infix', b, false FROM x),
+every AS (SELECT name FROM t UNION SELECT b || '-' || c FROM x UNION SELECT a || '-' || c FROM x) SELECT v.* FROM v JOIN every ON every.name = v.target""",
+    "q15_scope": f"""WITH s AS (SELECT name FROM {names("-")}), t AS (SELECT '@' || substr(name, 1, 1) || '/' || name AS name, substr(name, 1, 1) AS sc, name AS rest FROM s), u AS (SELECT '@z/' || name AS name, name AS rest FROM s WHERE name LIKE '%1')
+SELECT name AS suspect, '@' || substr(name, 1, 1) || '/' || name AS target, 'scope_dropped' AS variety, name AS form FROM s
+UNION ALL SELECT u.name, t.name, 'scope_swapped', t.rest FROM u JOIN t USING (rest) UNION ALL SELECT u.name, s.name, 'scope_added', s.name FROM u JOIN s ON s.name = u.rest
+UNION ALL SELECT substr(name, 1, 1) || '-' || name, '@' || substr(name, 1, 1) || '/' || name, 'scope_flattened', substr(name, 1, 1) || replace(name, '-', '') FROM s WHERE name LIKE '%2'""",
+    "q16_findings": f"""WITH s AS (SELECT * FROM {names("-")}), t AS (SELECT * FROM {names("-", False)}),
+p AS (SELECT s.name AS suspect, t.name AS target, t.dl AS tdl, CASE WHEN abs(length(s.name) - length(t.name)) <= 2 AND damerau_levenshtein(s.name, t.name) <= 2 THEN CAST(damerau_levenshtein(s.name, t.name) AS INTEGER) ELSE -1 END AS edit_distance,
+  split_part(s.name, '-', 1) || '-' || split_part(s.name, '-', 2) = t.name AS padded FROM s JOIN t ON t.dl / greatest(s.dl, 1) >= 10),
+f AS (SELECT *, concat_ws(',', CASE WHEN edit_distance >= 0 THEN 'edit_distance' END, CASE WHEN padded THEN 'padding' END, 'popularity_gap') AS kinds FROM p WHERE padded OR edit_distance >= 0)
+SELECT suspect, target, CASE WHEN edit_distance BETWEEN 0 AND 1 THEN 'high' ELSE 'medium' END AS confidence, edit_distance, count(*) OVER (PARTITION BY suspect) AS matched,
+CAST(row_number() OVER (PARTITION BY suspect ORDER BY CASE WHEN edit_distance BETWEEN 0 AND 1 THEN 0 ELSE 1 END, CASE WHEN edit_distance < 0 THEN 5 ELSE edit_distance END, tdl DESC, target) AS INTEGER) AS rank, kinds FROM f""",
     "q16_mirrored": f"""SELECT least(s.name, t.name) AS a, greatest(s.name, t.name) AS b, count(*) > 1 AS is_mirrored, 1 AS edit_distance FROM {names("-")} s, {names("-")} t
 WHERE s.name <> t.name AND abs(length(s.name) - length(t.name)) <= 1 AND damerau_levenshtein(s.name, t.name) <= 1 GROUP BY 1, 2""",
     "q16_compared": f"""WITH n AS (SELECT 'npm' AS ecosystem, count(*) AS compared FROM {names("-")} UNION ALL SELECT 'pypi', count(*) FROM {names("-", False)})
@@ -171,11 +184,12 @@ UNION ALL SELECT 'service', 'svc:' || src, 2 FROM pins LEFT JOIN r ON node = dst
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "q22_history_coverage": """WITH p AS (SELECT o_custkey::VARCHAR AS service, count(CASE WHEN o_orderstatus = 'P' THEN 1 END) > 0 AS a, NOT min(epoch_ms(o_orderdate)) < 852076800000 AS b FROM orders GROUP BY 1)
 SELECT service, a OR b AS is_partial, concat_ws('; ', CASE WHEN a THEN 'revisions were skipped' END, CASE WHEN b THEN 'the history starts too late' END) AS reasons FROM p""",
-    "q23_trace": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {walk(1)},
-reach AS (SELECT source, tail AS node, min(hop) AS hop FROM walk GROUP BY ALL),
-hit AS (SELECT r.source, p.src AS service, r.hop, p.dst, row_number() OVER (PARTITION BY r.source, p.src ORDER BY r.hop, p.ms, p.src * 10000000 + p.dst) AS rk FROM pins p JOIN reach r ON p.dst = r.node),
-far AS (SELECT * FROM hit WHERE rk = 1 AND hop = 1),
-steps AS (SELECT service || '/' || source AS k, 'svc:' || service AS key, 0 AS pos, false AS pinned FROM far UNION ALL SELECT service || '/' || source, dst::VARCHAR, 1, true FROM far UNION ALL SELECT service || '/' || source, source::VARCHAR, 2, false FROM far)
+    "q23_trace": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {walk(8)},
+reach AS (SELECT source, tail AS node, min(hop) AS hop, arg_min(nodes, {{'h': hop, 'e': edges}}) AS nodes FROM walk GROUP BY ALL),
+hit AS (SELECT r.source, p.src AS service, r.hop, list_reverse(r.nodes) AS nodes, row_number() OVER (PARTITION BY r.source, p.src ORDER BY r.hop, p.ms, p.src * 10000000 + p.dst) AS rk FROM pins p JOIN reach r ON p.dst = r.node),
+far AS (SELECT * FROM hit WHERE rk = 1 AND hop > 0),
+steps AS (SELECT service || '/' || source AS k, 'svc:' || service AS key, 0 AS pos, false AS pinned FROM far
+  UNION ALL SELECT k, node::VARCHAR, pos::INTEGER, pos = 1 FROM (SELECT service || '/' || source AS k, unnest(nodes) AS node, generate_subscripts(nodes, 1) AS pos FROM far))
 SELECT key, CAST(min(pos) AS INTEGER) AS hop, count(DISTINCT k) AS services, bool_or(pinned) AS is_pinned FROM steps GROUP BY key""",
     "q24_requirements": f"""WITH {PINS} SELECT DISTINCT src || '/requirements.txt' AS path, 'pypi' AS ecosystem, 'part-' || dst AS name, CASE WHEN p_size <= 40 THEN p_size || '.0' END AS version, false AS is_dev_only FROM pins JOIN part ON p_partkey = dst""",
     "q24_package_lock": """SELECT l_orderkey || '/package-lock.json' AS path, 'part-' || l_partkey AS name, min(l_linenumber) || '.0.0' AS version, bool_and(l_returnflag = 'N') AS is_dev_only, CASE WHEN min(l_linenumber) > 4 THEN 1 ELSE 0 END AS depth

@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import file_queries
 from .functions import formats, keys, semver, verdict
 from .operators import bitemporal, blast_radius, history, introduced, lockfile, maintainers, persistence, replay, scan, traverse, typosquat
 from .operators import graph as g
@@ -22,7 +23,7 @@ from .sources.registries import select_versions
 from .storage import checkpoint_dir
 from .streaming import first_pin
 
-HOPS = 3
+HOPS = 8
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -80,8 +81,8 @@ def q03_pins_in_window(spark, d):
 
 @query
 def q04_paths(spark, d):
-    """Simple paths of up to three hops from the parts most depended on."""
-    found = traverse.paths(dependents(spark, d), most_depended_on(spark, d), HOPS)
+    """Simple paths of up to eight hops from the parts most depended on."""
+    found = traverse.paths(dependents(spark, d), most_depended_on(spark, d), HOPS, checkpoint=True)
     return found.groupBy("source", "tail", "hop").agg(F.count("*").alias("n_paths"), F.min(F.array_join("nodes", ">")).alias("least_path"))
 
 
@@ -101,14 +102,14 @@ def q05_reach(spark, d):
 
 @query
 def q05_version_exposures(spark, d):
-    found = traverse.paths(dependents(spark, d), most_depended_on(spark, d), HOPS)
+    found = traverse.paths(dependents(spark, d), most_depended_on(spark, d), HOPS, checkpoint=True)
     return blast_radius.reachable(found).select("source", "node", "hop", "path_count", F.array_join("nodes", ">").alias("route"))
 
 
 @query
 def q05_service_exposures(spark, d):
     seeds = most_depended_on(spark, d)
-    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, 2)), seeds)
+    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, HOPS, checkpoint=True)), seeds)
     return blast_radius.service_exposures(reached, resolved(spark, d)).select("source", "service", "hop", "is_direct", "path_count", "resolved_at_ms")
 
 
@@ -186,13 +187,13 @@ def q11_publish_rights(spark, d):
 @query
 def q11_leaderboard(spark, d):
     """Every account with what it reaches."""
-    rows = maintainers.surfaces(project(spark, d), max_hops=1)
-    return maintainers.leaderboard(rows).select("maintainer_key", "packages", "services", "nearest_service_hop", "direct_dependents", "dependents_with_install_script", "weekly_downloads", "packages_without_downloads", "downloads_basis", "verdict")
+    rows = maintainers.surfaces(project(spark, d))
+    return maintainers.leaderboard(rows).select("maintainer_key", "packages", "services", "nearest_service_hop", "direct_dependents", "dependents_with_install_script", "weekly_downloads", "packages_without_downloads", "downloads_basis", "verdict", "rationale")
 
 
 @query
 def q11_top_accounts(spark, d):
-    rows = maintainers.surfaces(project(spark, d), max_hops=1)
+    rows = maintainers.surfaces(project(spark, d))
     return maintainers.leaderboard(rows, 10).select("rank", "maintainer_key", "services")
 
 
@@ -207,7 +208,9 @@ def q11_candidates(spark, d):
 
 @query
 def q11_unranked(spark, d):
-    return maintainers.unranked(project(spark, d))
+    """Accounts with no right to every 23rd part."""
+    graph = project(spark, d)
+    return maintainers.unranked(g.Graph(spark, graph.nodes, {"maintains": graph.edge("maintains").where("dst % 23 = 0")}))
 
 
 @query
@@ -226,14 +229,14 @@ def q12_weakest_coverage(spark, d):
     """The weakest claim over each supplier's parts."""
     graph = project(spark, d)
     held = maintains(spark, d).join(graph.node("packages").select(F.col("id").alias("dst"), "key"), "dst")
-    level = g.coverage_of(graph, "package", held)
-    return held.join(level, "key").groupBy("src").agg(F.min("level").alias("level"), F.count("*").alias("n"))
+    whole = g.weakest_coverage(graph, "package", table(spark, d, "part").where("p_size % 3 < 2").select(F.concat(F.lit("npm:part-"), F.col("p_partkey").cast("string")).alias("key")))
+    return g.weakest_coverage(graph, "package", held, "src").unionByName(whole.withColumn("src", F.lit(-1).cast("long")))
 
 
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     """Exposure to the part most depended on and what depends on it."""
     seeds = most_depended_on(spark, d, 1)
-    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, 1)), seeds)
+    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, HOPS, checkpoint=True)), seeds)
     rows = blast_radius.service_exposures(reached, resolved(spark, d)).withColumnRenamed("source", "version")
     rows = replay.with_blind_spot(rows, rows.limit(0), 852076800000, 883612800000)
     instants = replay.frame_instants(spark, 820454400000, 946684800000, spark.createDataFrame([(883612800000, "disclosed")], "at_ms long, label string"), interval_ms=2592000000)
@@ -287,23 +290,29 @@ def q15_separators(spark, d):
 
 @query
 def q15_padding(spark, d):
-    s, t = typosquat._sides(typosquat.profiles(named_packages(spark, d)), typosquat.profiles(plain_packages(spark, d)))
-    return typosquat.paddings(s, t).select("suspect", "target", "signal.position", "signal.token")
+    """Names with a token before, within or behind another name."""
+    a = named_packages(spark, d)
+    at = F.split("name", "-")
+    every = plain_packages(spark, d).select("name").union(a.select(F.concat_ws("-", at[1], at[2]))).union(a.select(F.concat_ws("-", at[0], at[2]))).distinct()
+    s, t = typosquat._sides(typosquat.profiles(a), typosquat.profiles(every.select(F.lit("npm").alias("ecosystem"), "name", F.lit(1).cast("long").alias("weekly_downloads"))))
+    return typosquat.paddings(s, t).select("suspect", "target", "signal.position", "signal.token", "signal.is_filler")
 
 
 @query
 def q15_scope(spark, d):
-    """Scopes dropped and swapped."""
+    """Scopes dropped, added, swapped and folded into the name."""
     a = named_packages(spark, d)
-    b = a.withColumn("name", F.concat(F.lit("@"), F.substring("name", 1, 1), F.lit("/"), "name"))
-    s, t = typosquat._sides(typosquat.profiles(a), typosquat.profiles(b))
+    head = F.substring("name", 1, 1)
+    b = a.withColumn("name", F.concat(F.lit("@"), head, F.lit("/"), "name"))
+    more = a.where("name LIKE '%1'").withColumn("name", F.concat(F.lit("@z/"), "name")).unionByName(a.where("name LIKE '%2'").withColumn("name", F.concat(head, F.lit("-"), "name")))
+    s, t = typosquat._sides(typosquat.profiles(a.unionByName(more)), typosquat.profiles(a.unionByName(b)))
     return typosquat.scope_confusions(s, t).select("suspect", "target", "signal.variety", "signal.form")
 
 
 @query
 def q16_findings(spark, d):
-    """Confidence and rank of names one edit from a more popular one."""
-    found = typosquat.findings(named_packages(spark, d), plain_packages(spark, d), typosquat.Options(max_distance=0, min_ratio=2, max_findings=5))
+    """Confidence and rank of names that imitate one ten times as popular."""
+    found = typosquat.findings(named_packages(spark, d), plain_packages(spark, d), typosquat.Options(max_distance=2, min_ratio=10, max_findings=50))
     return found.select("suspect", "target", "confidence", "edit_distance", "matched", "rank", F.array_join(F.transform("signals", lambda s: s["kind"]), ",").alias("kinds"))
 
 
@@ -436,7 +445,7 @@ def q22_history_coverage(spark, d):
 def q23_trace(spark, d):
     """Nodes of the routes to the parts most depended on."""
     seeds = most_depended_on(spark, d)
-    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, 1)), seeds)
+    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, HOPS, checkpoint=True)), seeds)
     rows = blast_radius.service_exposures(reached, resolved(spark, d))
     steps = blast_radius.route(F.concat(F.lit("svc:"), F.col("service").cast("string")), F.transform("nodes", lambda n: n.cast("string")), F.col("resolved_at_ms"))
     return replay.trace_nodes(rows.where("hop > 1").select(F.concat_ws("/", "service", "source").alias("service_key"), steps.alias("steps")))
@@ -550,8 +559,8 @@ def q30_event_exposure(spark, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return {**QUERIES, **file_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in ORACLES.items() if k in QUERIES}
+    return {**{k: v for k, v in ORACLES.items() if k in QUERIES}, **file_queries.ORACLES}

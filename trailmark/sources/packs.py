@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,9 +14,9 @@ services array<struct<key:string,name:string,description:string,resolved:array<s
 timeline array<struct<atMs:bigint,kind:string,label:string,sourceUrl:string>>, sources array<string>"""
 
 
-def read_packs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per JSON document under ``path``."""
-    return spark.read.schema(PACK).json(path, multiLine=True)
+def read_packs(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """One row per JSON document under ``path``: a file each, or a line each."""
+    return spark.read.schema(PACK).json(path, multiLine=not lines)
 
 
 def pack_issues(packs: DataFrame) -> DataFrame:
@@ -71,7 +69,3 @@ def pack_tables(packs: DataFrame) -> dict[str, DataFrame]:
         "resolved": pins.select("slug", "service_key", "r.ecosystem", "r.name", "r.version", F.col("r.resolvedAtMs").alias("resolved_at_ms")),
         "marks": part("timeline", "t").select("slug", F.col("t.atMs").alias("at_ms"), "t.kind", "t.label"),
     }
-
-
-def read_all(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return reduce(DataFrame.unionByName, [read_packs(spark, p) for p in paths])
