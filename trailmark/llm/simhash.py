@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Masked, cut, quoted, text_batches
+from .common import Masked, cut, quoted, release_shuffles, text_batches
 
 SEED = 42
 #: Shingles whose bits are counted at once; bounds the memory of a long text.
@@ -143,12 +143,21 @@ def fingerprint(text: bytes | None, plan: SimHashPlan) -> bytes:
     return fingerprint_of(shingle_hashes(text or b"", plan.shingle), plan)
 
 
-def fingerprint_of(h: np.ndarray, plan: SimHashPlan) -> bytes:
+def fingerprint_of(h: np.ndarray, plan: SimHashPlan, fair: bool = False) -> bytes:
+    """The same of shingle hashes.  ``fair`` gives bits that are set in just
+    half of them the value of a hash of all, since sets of few shingles would
+    else be alike in their zeros.
+    """
     ones = np.zeros(plan.bits, np.int64)
     for at in range(0, len(h), COUNT_CHUNK):
         part = _widened(h[at : at + COUNT_CHUNK], plan.words).astype(">u8").view(np.uint8)
         ones += np.unpackbits(part.reshape(-1, plan.bits // 8), axis=1).sum(axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > len(h)).tobytes()
+    bits = ones * 2 > len(h)
+    if fair and len(h):
+        every = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED)], np.uint64)
+        toss = np.unpackbits(_widened(every, plan.words).astype(">u8").view(np.uint8)).astype(bool)
+        bits |= (ones * 2 == len(h)) & toss
+    return np.packbits(bits).tobytes()
 
 
 def with_fingerprint(docs: DataFrame, plan: SimHashPlan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +272,6 @@ def _with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
     Rows of hubs get it by broadcast, so that they stay where they are; their
     number is counted first.  If there are more, no single one weighs much.
     """
-    low = cut(low)
     hubs = low.where(F.col("n") >= HUB).select("a", "m")
     n_hubs = hubs.count()
     if not 0 < n_hubs <= BROADCAST_HUBS:
@@ -286,19 +294,25 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n")).persist()
+        held.append(low)
         # only rows towards larger nodes give links, so only these need the least one
         return _with_low(e.select(F.col("b").alias("a"), F.col("a").alias("b")), low).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
     def small(e: DataFrame) -> DataFrame:
-        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        low = e.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).persist()
+        held.append(low)
         moved = _with_low(e, low).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.union(low.select("a", F.col("m").alias("b"))).distinct()
 
+    spark, held = links.sparkSession, []
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(edges)
     while before[0]:
         edges = cut(small(cut(large(edges))))
+        while held:
+            held.pop().unpersist()
+        release_shuffles(spark)  # a round leaves nothing but its edges
         now = state(edges)
         if now == before:
             break
@@ -390,7 +404,7 @@ def similar_texts(docs: DataFrame, shingle: int = 5, least: float = 0.8, chunk:
         rows = []
         for text in texts:
             h, node = _set_of(text, shingle)
-            rows.append((node, len(h), fingerprint_of(h, shape)))
+            rows.append((node, len(h), fingerprint_of(h, shape, fair=True)))
         return pd.DataFrame(rows, columns=["node", "n", "fp"])
 
     marked = cut(docs.select("doc_id", described(F.col("text").cast("binary")).alias("s")).select("doc_id", "s.node", "s.n", "s.fp"))
