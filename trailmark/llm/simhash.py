@@ -264,6 +264,8 @@ def fingerprint_links(classes: DataFrame, plan: SimHashPlan, chunk: int = 1024,
 
 #: Neighbours from which on a node is a hub, and hubs that are broadcast.
 HUB, BROADCAST_HUBS = 512, 200_000
+#: Links that a task holds at once to make a spanning forest of them.
+FOREST_LINKS = 1 << 20
 
 
 def _with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
@@ -283,14 +285,35 @@ def _with_low(rows: DataFrame, low: DataFrame) -> DataFrame:
 def connected_components(links: DataFrame) -> DataFrame:
     """``(node, component)`` of every node in ``links (a, b)``.
 
-    Alternates large-star and small-star steps until nothing moves; both keep
-    connectivity, and the fixed point has every node at its smallest one.
-    Rows are cut by a checkpoint each round.  Links from a node to itself and
-    repeated ones change nothing; no links give no rows.
+    Each task first turns its links into spanning forests.  Large-star and
+    small-star steps then alternate until every node has one link, to a node
+    that has none; all of these keep connectivity, and links go to smaller
+    nodes only, so that node is the smallest of its component.  Rows are cut
+    by a checkpoint each round.  Links from a node to itself and repeated ones
+    change nothing; no links give no rows.
     """
 
-    def state(df: DataFrame):
-        return df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    def forests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest, rows = [], 0
+
+        def out() -> pd.DataFrame:
+            links = pd.concat(rest)
+            x, y = spanning_forest(links["a"].to_numpy(), links["b"].to_numpy())
+            return pd.DataFrame({"a": x, "b": y})
+
+        for pdf in batches:
+            rest.append(pdf)
+            rows += len(pdf)
+            if rows >= FOREST_LINKS:
+                yield out()
+                rest, rows = [], 0
+        if rows:
+            yield out()
+
+    def settled(e: DataFrame) -> bool:
+        ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("b", F.lit(0), F.lit(1)))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        return ends.where("up > 1 OR (up > 0 AND down > 0)").count() == 0
 
     def large(e: DataFrame) -> DataFrame:
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -307,17 +330,14 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     spark, held = links.sparkSession, []
     edges = cut(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = state(edges)
-    while before[0]:
+    edges = cut(edges.coalesce(spark.sparkContext.defaultParallelism).mapInPandas(forests, "a long, b long").distinct())
+    while not settled(edges):
         edges = cut(small(cut(large(edges))))
         while held:
             held.pop().unpersist()
         release_shuffles(spark)  # a round leaves nothing but its edges
-        now = state(edges)
-        if now == before:
-            break
-        before = now
-    return edges.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component"))
+    tops = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops)
 
 
 def near_duplicates(docs: DataFrame, plan: SimHashPlan | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
