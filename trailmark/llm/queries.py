@@ -8,7 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html_crf, langid, line_dedup, mixing, pylm, quality, sharding, simhash
+from . import ann, decontam, fim, hard_negatives, html_crf, langid, line_dedup, mixing, packing, pylm, quality, sharding, simhash
 from .common import remainder, scratch_path
 
 
@@ -100,6 +100,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("predicted", (F.col("score") >= 0.7).cast("int"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every positive of every hundredth vector; every
+    seventh label is moved on by one first.
+    """
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("_id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every document is rearranged, and digests of that and of the text
+    rebuilt from it.
+    """
+    rows = fim.with_middle_last(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "fim.*")
+    digest = lambda c: F.sha2(c, 256)
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"), digest(fim.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence that holds each piece of every document."""
+    rows = packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of ``corpus_pipeline`` over the documents."""
     return corpus_pipeline.run(spark, sf_dir)
@@ -118,12 +141,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pitman_yor": op8_pitman_yor,
         "op9_decontamination": op9_decontamination,
         "op10_quality": op10_quality,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_packing": op13_packing,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_mixing": mixing.ORACLE, "op2_order": mixing.ORDER_ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontam.ORACLE}
+    sql = {"op2_mixing": mixing.ORACLE, "op2_order": mixing.ORDER_ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op9_decontamination": decontam.ORACLE, "op11_hard_negatives": hard_negatives.ORACLE, "op12_fill_in_middle": fim.ORACLE}
     if corpus_pipeline.ORACLE_SQL:
         sql["pipeline"] = corpus_pipeline.ORACLE_SQL
     return sql
