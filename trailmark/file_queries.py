@@ -94,7 +94,7 @@ def q32_services_of_accounts(spark, d):
 
 
 START, END = 694224000000, 946684800000
-REPLAY = f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {FACTS}, {walk(2, 3)},
+REPLAY = f"""WITH RECURSIVE {DEPS}, {SEEDS}, {PINS}, {FACTS}, {walk(8, 3)},
 bad AS (SELECT node, pub, dis FROM seeds JOIN facts ON id = node WHERE ordinal < 3),
 clock AS (SELECT min(pub) AS t1, min(dis) AS t2 FROM bad),
 reach AS (SELECT source, tail AS node, min(hop) AS hop FROM walk GROUP BY ALL),
@@ -114,7 +114,7 @@ def _replay(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     graph = project(spark, d)
     bad = graph.node("versions").join(most_depended_on(spark, d, 3).select(F.col("node").alias("id")), "id", "left_semi")
     told = graph.node("advisories").join(bad.select("id"), "id", "left_semi")
-    return replay.replay(graph, bad, told, START, END, bounds=Bounds(max_hops=2, path_count=1_000_000))
+    return replay.replay(graph, bad, told, START, END)
 
 
 @query(f"{REPLAY} SELECT * FROM frames")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, verdict
+from ..storage import stored
 from .graph import Graph, coverage_of, is_empty
+from .routes import counted, route_counts, shortest_routes, total
 from .traverse import BudgetError, check_bounds, path_count_limit_reached, paths
 
 
@@ -29,10 +31,17 @@ def reachable(found: DataFrame) -> DataFrame:
     return found.groupBy("source", F.col("tail").alias("node")).agg(F.min("hop").alias("hop"), F.count("*").alias("path_count"), F.min_by("nodes", first).alias("nodes"), F.min_by("edges", first).alias("edges"))
 
 
+def reachable_by_counts(edges: DataFrame, seeds: DataFrame, max_hops: int, most: int | None = None) -> DataFrame:
+    """The same without listing routes: what can be reached from ``seeds``."""
+    return counted(route_counts(edges, seeds, max_hops, most), shortest_routes(edges, seeds, max_hops))
+
+
 def with_source(reached: DataFrame, sources: DataFrame) -> DataFrame:
-    """The reachable versions and the source itself, at hop 0 by one route."""
+    """The reachable versions and the source itself, at hop 0 by one route;
+    ``reached`` may lack routes or their number.
+    """
     own = sources.select(F.col("node").alias("source"), "node", F.lit(0).alias("hop"), F.lit(1).cast("long").alias("path_count"), F.array("node").alias("nodes"), F.array().cast("array<bigint>").alias("edges"))
-    return own.distinct().unionByName(reached)
+    return own.select(*reached.columns).distinct().unionByName(reached)
 
 
 def service_exposures(reached: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -40,15 +49,15 @@ def service_exposures(reached: DataFrame, resolved: DataFrame) -> DataFrame:
 
     ``reached`` includes the source.  A service's hop is one more than the
     nearest version that it pins, its routes are those of all its pins, and
-    ``nodes`` the route from the pin to the source.  Among pins of the best
-    hop the earliest supplies the time (unknown last), then the lowest edge.
+    ``nodes`` the route from the pin to the source; where ``reached`` lacks
+    routes or their number, so does the result.  Among pins of the best hop the
+    earliest supplies the time (unknown last), then the lowest edge.
     """
     pins = resolved.select(F.col("edge_id").alias("pin"), F.col("src").alias("service"), F.col("dst").alias("node"), "resolved_at_ms")
     both = pins.join(reached, "node")
     best = F.struct("hop", F.col("resolved_at_ms").isNull(), "resolved_at_ms", "pin")
-    per = both.groupBy("source", "service").agg(
-        (F.min("hop") + 1).alias("hop"), F.sum("path_count").alias("path_count"), F.min_by(F.col("resolved_at_ms"), best).alias("resolved_at_ms"), F.min_by(F.reverse("nodes"), best).alias("nodes")
-    )
+    known = {"path_count": total(F.col("path_count")).alias("path_count"), "nodes": F.min_by(F.reverse("nodes"), best).alias("nodes")}
+    per = both.groupBy("source", "service").agg((F.min("hop") + 1).alias("hop"), F.min_by(F.col("resolved_at_ms"), best).alias("resolved_at_ms"), *[known[c] for c in known if c in reached.columns])
     return per.withColumn("is_direct", F.col("hop") == 1)
 
 
@@ -87,6 +96,49 @@ def deepest_hop(reached: DataFrame) -> DataFrame:
     return reached.groupBy("source").agg(F.max("hop").alias("max_hop_reached"))
 
 
+@dataclass
+class BoundedReach:
+    """What was ``reached`` (as by ``reachable``), by how many routes of which
+    greatest length, and what ``stopped`` the search, if anything did.
+    """
+
+    reached: DataFrame
+    n_paths: int
+    longest: int
+    stopped: str | None = None
+
+
+def bounded_reach(edges: DataFrame, seeds: DataFrame, bounds: Bounds) -> BoundedReach:
+    """The first ``path_count`` routes from ``seeds``, by hops, and what they
+    reach.
+
+    Routes are counted first.  Only where there are as many as ``path_count``
+    or more are they listed, up to the hop where that number is met; a hop
+    with over ``paths_a_level`` of them is left out, and stops the search.
+    """
+    stopped, hops = None, bounds.max_hops
+    try:
+        counts = route_counts(edges, seeds, hops, bounds.paths_a_level)
+    except BudgetError as e:
+        stopped, hops = str(e), e.hop
+        counts = route_counts(edges, seeds, max(1, hops), bounds.paths_a_level).where(F.col("hop") <= hops)
+    counts, _ = stored(counts, "counts")
+    sizes = {r["hop"]: r["n"] for r in counts.groupBy("hop").agg(total(F.col("n")).alias("n")).collect()}  # a row a hop
+    sum_, full = 0, 0
+    for hop in sorted(sizes):
+        if sum_ + sizes[hop] >= bounds.path_count:
+            break
+        sum_, full = sum_ + sizes[hop], hop
+    if full == max(sizes, default=0):
+        return BoundedReach(counted(counts, shortest_routes(edges, seeds, max(1, hops))), sum_, full, stopped)
+    if sizes[full + 1] > bounds.paths_a_level:
+        stopped = str(BudgetError(full, bounds.paths_a_level))
+        counts = counts.where(F.col("hop") <= full)
+        return BoundedReach(counted(counts, shortest_routes(edges, seeds, max(1, full)).where(F.col("hop") <= full)), sum_, full, stopped)
+    found = paths(edges, seeds, full + 1, bounds.path_count, checkpoint=True).persist()
+    return BoundedReach(reachable(found), *found.agg(F.count("*"), F.max("hop")).first(), stopped)
+
+
 @dataclass
 class BlastRadius:
     """``answer`` has one row; the others are its evidence."""
@@ -111,15 +163,9 @@ def blast_radius(graph: Graph, key: str, bounds: Bounds | None = None, at_ms: in
     versions = graph.node("versions")
     source = versions.where(F.col("key") == key).select(F.lit(0).alias("ordinal"), F.col("id").alias("node"))
     dependents = graph.edge("depended_on_by").select("edge_id", "src", "dst")
-    stopped = None
-    try:
-        found = paths(dependents, source, bounds.max_hops, bounds.path_count, checkpoint=True, most=bounds.paths_a_level).persist()
-    except BudgetError as e:
-        stopped = str(e)
-        found = paths(dependents, source, max(1, e.hop), bounds.path_count, checkpoint=True).where(F.lit(e.hop > 0)).persist()
-    n_paths, longest = found.agg(F.count("*"), F.coalesce(F.max("hop"), F.lit(0))).first()
-    reached = reachable(found)
-    deepest = (deepest_hop(reached).first() or {"max_hop_reached": 0})["max_hop_reached"]
+    found = bounded_reach(dependents, source, bounds)
+    deepest = (deepest_hop(found.reached).first() or {"max_hop_reached": 0})["max_hop_reached"]
+    reached = found.reached
 
     services = graph.node("services")
     total = services.count()
@@ -145,9 +191,9 @@ def blast_radius(graph: Graph, key: str, bounds: Bounds | None = None, at_ms: in
     level = coverage_of(graph, "package", package).first()["level"]
     known = source.isEmpty() is False
     own = verdict.limits(
-        (F.lit(longest >= bounds.max_hops), verdict.limit("hop_limit", max_hops=bounds.max_hops)),
-        (F.lit(path_count_limit_reached(n_paths, bounds.path_count)), verdict.limit("path_limit", path_count=bounds.path_count)),
-        (F.lit(stopped is not None), verdict.limit("budget_rejected", operation=stopped or "")),
+        (F.lit(found.longest >= bounds.max_hops), verdict.limit("hop_limit", max_hops=bounds.max_hops)),
+        (F.lit(path_count_limit_reached(found.n_paths, bounds.path_count)), verdict.limit("path_limit", path_count=bounds.path_count)),
+        (F.lit(found.stopped is not None), verdict.limit("budget_rejected", operation=found.stopped or "")),
         (F.lit(total > bounds.max_services), verdict.limit("scan_capped", examined=bounds.max_services, total=total)),
         (F.lit(n_pins > 0), verdict.limit("scan_capped", examined=bounds.resolved_per_service, total=bounds.resolved_per_service + n_pins)),
         (F.lit(n_undated > 0), verdict.limit("timestamp_missing", field="resolved_at_ms")),

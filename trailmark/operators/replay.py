@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitemporal
-from .blast_radius import Bounds, reachable, service_exposures, with_source
+from .blast_radius import Bounds, service_exposures
 from .graph import Graph
-from .traverse import paths
+from .traverse import reach
 
 MIN_FRAMES, DEFAULT_FRAMES, MAX_FRAMES = 2, 60, 2_000
 
@@ -98,12 +98,12 @@ def earliest(compromised: DataFrame, advisories: DataFrame) -> tuple[int | None,
 
 def collect_exposures(graph: Graph, compromised: DataFrame, bounds: Bounds | None = None) -> DataFrame:
     """``(service, version, hop, resolved_at_ms)`` for each bad version (``id``)
-    and service, in one walk from all of them.
+    and service, in one walk from all of them that lists no routes.
     """
     bounds = bounds or Bounds()
-    seeds = compromised.select(F.col("id").alias("ordinal"), F.col("id").alias("node"))
-    found = paths(graph.edge("depended_on_by").select("edge_id", "src", "dst"), seeds, bounds.max_hops, bounds.path_count, checkpoint=True)
-    return service_exposures(with_source(reachable(found), seeds), graph.edge("resolved")).select("service", F.col("source").alias("version"), "hop", "resolved_at_ms")
+    seeds = compromised.select(F.col("id").alias("source"), F.col("id").alias("node"))
+    reached = reach(graph.edge("depended_on_by"), seeds, bounds.max_hops, include_seeds=True)
+    return service_exposures(reached, graph.edge("resolved")).select("service", F.col("source").alias("version"), "hop", "resolved_at_ms")
 
 
 def replay(graph: Graph, compromised: DataFrame, advisories: DataFrame, start_ms: int, end_ms: int, marks: DataFrame | None = None, frames: int = DEFAULT_FRAMES, bounds: Bounds | None = None) -> tuple[DataFrame, DataFrame]:

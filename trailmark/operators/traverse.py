@@ -1,7 +1,8 @@
-"""Bounded walks: all simple paths, and least distances.
+"""Bounded walks: all simple paths, least distances, and sets of sources.
 
 ``paths`` lists routes and grows with their number; ``reach`` only finds who
-can be reached and stays linear in the edges.  Both are loops of joins, one
+can be reached and stays linear in the edges for each source; ``reach_sets``
+walks from many sources at once, 64 to a number.  All are loops of joins, one
 per hop; with ``checkpoint`` each hop is cut off and an empty one ends the
 loop.
 """
@@ -13,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut
+from ..storage import cut, stored
 
 MAX_HOPS = 16
 PATHS = "source long, ordinal long, hop int, tail long, nodes array<long>, edges array<long>"
@@ -55,8 +56,7 @@ def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | N
             "source", "ordinal", F.lit(hop).alias("hop"), F.col("_to").alias("tail"), F.concat("nodes", F.array("_to")).alias("nodes"), F.concat("edges", F.array("edge_id")).alias("edges")
         )
         if checkpoint:
-            now = cut(now)
-            n = now.count()
+            now, n = stored(now, "paths")
             if not n:
                 break
             if most is not None and n > most:
@@ -90,21 +90,67 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, include_seeds: bool
     return seen if include_seeds else seen.where("hop > 0")
 
 
-def closure(edges: DataFrame, marked: DataFrame, max_rounds: int = 1_000) -> DataFrame:
-    """``(node)``: the marked nodes and all that lead to them, cycles included.
+def as_sets(pairs: DataFrame, source: str, *by: str) -> DataFrame:
+    """``(*by, word, bits)``: the sources of each key, 64 to a number.
 
-    Edges are followed from dst to src until no new node appears; each round
-    touches only the newest ones.
+    Source ``s`` is bit ``s % 64`` of word ``s div 64``, so any ids will do;
+    the closer together they are, the fuller the words.
     """
-    back = edges.select(F.col("dst").alias("node"), F.col("src").alias("_to")).distinct()
-    seen = front = cut(marked.select("node").distinct())
-    for i in range(max_rounds):
-        front = cut(front.join(back, "node").select(F.col("_to").alias("node")).distinct().join(seen, "node", "left_anti"))
-        if front.isEmpty():
+    bit = F.expr(f"shiftleft(1L, CAST(`{source}` & 63 AS INT))")
+    return pairs.groupBy(*by, F.shiftright(source, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def reach_sets(edges: DataFrame, members: DataFrame, max_hops: int) -> DataFrame:
+    """``(node, word, hop, bits)``: the sources that first reach a node at a hop.
+
+    ``members (node, word, bits)`` are those at hop 0, as by ``as_sets``.  A
+    hop has at most one row for each node and word of sources, and a source is
+    in one row of a node.
+    """
+    check_bounds(max_hops)
+    step, _ = stored(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "steps")
+    front, n = stored(members.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")).select("node", "word", F.lit(0).alias("hop"), "bits"), "sets")
+    levels = front
+    for hop in range(1, max_hops + 1):
+        if not n:
             break
-        seen = seen.unionByName(front)
-        if i % 8 == 7:
-            seen = cut(seen)
+        grown = front.join(step, front["node"] == step["_at"]).groupBy(F.col("_to").alias("node"), "word").agg(F.bit_or("bits").alias("bits"))
+        known = levels.groupBy("node", "word").agg(F.bit_or("bits").alias("_known"))
+        fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
+        front, n = stored(grown.join(known, ["node", "word"], "left").select("node", "word", F.lit(hop).alias("hop"), fresh.alias("bits")).where("bits <> 0"), "sets")
+        levels = levels.unionByName(front)
+    return levels
+
+
+def set_counts(sets: DataFrame) -> DataFrame:
+    """``(source, n)``: in how many rows of ``sets (word, bits)`` each source
+    is, by 64 sums for a word, so rows aren't multiplied.
+    """
+    sums = F.array(*[F.sum(F.shiftright("bits", j).bitwiseAND(F.lit(1).cast("long"))) for j in range(64)])
+    places = sets.groupBy("word").agg(sums.alias("n")).select("word", F.posexplode("n").alias("bit", "n")).where("n > 0")
+    return places.select(F.expr("shiftleft(word, 6) + bit").alias("source"), "n")
+
+
+def set_members(sets: DataFrame, *keep: str) -> DataFrame:
+    """``(*keep, source)``: a row for each source of each row of ``sets``."""
+    places = F.explode(F.expr("filter(sequence(0, 63), j -> shiftright(bits, j) & 1L = 1L)")).alias("_bit")
+    return sets.select(*keep, "word", places).select(*keep, F.expr("shiftleft(word, 6) + _bit").alias("source"))
+
+
+def closure(edges: DataFrame, marked: DataFrame) -> DataFrame:
+    """``(node)``: the marked nodes and all that lead to them, cycles included.
+
+    Edges are followed from dst to src until no new node appears, however many
+    rounds that takes; each round touches only the newest ones.
+    """
+    back, _ = stored(edges.select(F.col("dst").alias("node"), F.col("src").alias("_to")).distinct(), "back")
+    front, n = stored(marked.select("node").distinct(), "closure")
+    seen, rounds = front, 0
+    while n:
+        front, n = stored(front.join(back, "node").select(F.col("_to").alias("node")).distinct().join(seen, "node", "left_anti"), "closure")
+        seen, rounds = seen.unionByName(front), rounds + 1
+        if rounds % 16 == 0:
+            seen, _ = stored(seen, "closure")
     return seen
 
 

@@ -96,7 +96,7 @@ SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, edge_id FROM (SELECT *, row
 FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src, ms) AS rank FROM pins WHERE ms >= 852076800000 AND ms < 883612800000 AND dst IN (SELECT p_partkey FROM part)) WHERE rank <= 20""",
     "q04_paths": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(8)}
 SELECT source, tail, hop, count(*) AS n_paths, min(array_to_string(nodes, '>')) AS least_path FROM walk WHERE hop > 0 GROUP BY source, tail, hop""",
-    "q04_first_paths": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(2)} SELECT ordinal, hop, tail, array_to_string(nodes, '>') AS path FROM walk WHERE hop > 0 ORDER BY hop, ordinal, edges LIMIT 200""",
+    "q04_first_paths": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(8)} SELECT ordinal, hop, tail, array_to_string(nodes, '>') AS path FROM walk WHERE hop > 0 ORDER BY hop, ordinal, edges LIMIT 200""",
     "q05_reach": f"WITH RECURSIVE {DEPS}, {SEEDS}, {walk(8)} SELECT source, tail AS node, min(hop) AS hop FROM walk WHERE hop > 0 GROUP BY source, tail",
     "q05_version_exposures": f"""WITH RECURSIVE {DEPS}, {SEEDS}, {walk(8)} SELECT source, tail AS node, min(hop) AS hop, count(*) AS path_count, arg_min(array_to_string(nodes, '>'), {{'h': hop, 'e': edges}}) AS route
 FROM walk WHERE hop > 0 GROUP BY source, tail""",

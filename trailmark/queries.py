@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from . import file_queries
 from .functions import formats, keys, semver, verdict
-from .operators import bitemporal, blast_radius, history, introduced, lockfile, maintainers, persistence, replay, scan, traverse, typosquat
+from .operators import bitemporal, blast_radius, history, introduced, lockfile, maintainers, persistence, replay, routes, scan, traverse, typosquat
 from .operators import graph as g
 from .oracles import ORACLES
 from .plans import build, merge
@@ -89,7 +89,7 @@ def q04_paths(spark, d):
 @query
 def q04_first_paths(spark, d):
     """The first two hundred in breadth-first order."""
-    found = traverse.paths(dependents(spark, d), most_depended_on(spark, d), 2, path_count=200)
+    found = traverse.paths(dependents(spark, d), most_depended_on(spark, d), HOPS, path_count=200, checkpoint=True)
     return found.select("ordinal", "hop", "tail", F.array_join("nodes", ">").alias("path"))
 
 
@@ -102,14 +102,14 @@ def q05_reach(spark, d):
 
 @query
 def q05_version_exposures(spark, d):
-    found = traverse.paths(dependents(spark, d), most_depended_on(spark, d), HOPS, checkpoint=True)
-    return blast_radius.reachable(found).select("source", "node", "hop", "path_count", F.array_join("nodes", ">").alias("route"))
+    found = blast_radius.reachable_by_counts(dependents(spark, d), most_depended_on(spark, d), HOPS)
+    return found.select("source", "node", "hop", "path_count", F.array_join("nodes", ">").alias("route"))
 
 
 @query
 def q05_service_exposures(spark, d):
     seeds = most_depended_on(spark, d)
-    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, HOPS, checkpoint=True)), seeds)
+    reached = blast_radius.with_source(blast_radius.reachable_by_counts(dependents(spark, d), seeds, HOPS), seeds)
     return blast_radius.service_exposures(reached, resolved(spark, d)).select("source", "service", "hop", "is_direct", "path_count", "resolved_at_ms")
 
 
@@ -236,7 +236,7 @@ def q12_weakest_coverage(spark, d):
 def _frames(spark: SparkSession, d: str) -> DataFrame:
     """Exposure to the part most depended on and what depends on it."""
     seeds = most_depended_on(spark, d, 1)
-    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, HOPS, checkpoint=True)), seeds)
+    reached = traverse.reach(dependents(spark, d), seeds.select(F.col("node").alias("source"), "node"), HOPS, include_seeds=True)
     rows = blast_radius.service_exposures(reached, resolved(spark, d)).withColumnRenamed("source", "version")
     rows = replay.with_blind_spot(rows, rows.limit(0), 852076800000, 883612800000)
     instants = replay.frame_instants(spark, 820454400000, 946684800000, spark.createDataFrame([(883612800000, "disclosed")], "at_ms long, label string"), interval_ms=2592000000)
@@ -445,7 +445,7 @@ def q22_history_coverage(spark, d):
 def q23_trace(spark, d):
     """Nodes of the routes to the parts most depended on."""
     seeds = most_depended_on(spark, d)
-    reached = blast_radius.with_source(blast_radius.reachable(traverse.paths(dependents(spark, d), seeds, HOPS, checkpoint=True)), seeds)
+    reached = blast_radius.with_source(routes.shortest_routes(dependents(spark, d), seeds, HOPS), seeds)
     rows = blast_radius.service_exposures(reached, resolved(spark, d))
     steps = blast_radius.route(F.concat(F.lit("svc:"), F.col("service").cast("string")), F.transform("nodes", lambda n: n.cast("string")), F.col("resolved_at_ms"))
     return replay.trace_nodes(rows.where("hop > 1").select(F.concat_ws("/", "service", "source").alias("service_key"), steps.alias("steps")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -31,3 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a reliable checkpoint."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, tag: str) -> tuple[DataFrame, int]:
+    """``df`` written once as Parquet and read back, and its number of rows,
+    which the write itself observes.
+    """
+    path, rows = scratch(df.sparkSession, tag), Observation()
+    df.observe(rows, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), rows.get["n"]
