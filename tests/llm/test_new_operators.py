@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import fim, hard_negatives, packing, queries
+from trailmark.llm import fim, hard_negatives, mixing, packing, queries, sharding
 
 # 11 --------------------------------------------------------------------------
 
@@ -231,3 +231,73 @@ def test_other_vocabularies_encode_whole_texts(spark, tmp_path):
     assert not e.by_chunk
     assert packing.unpacked(e("Some  Words")).tolist() == [*Tokenizer.from_file(path).encode("Some  Words", add_special_tokens=False).ids, 7]
     assert json.loads(e.tokenizer.to_str())["model"]["type"] == "BPE"
+
+
+# 3 and 2 ---------------------------------------------------------------------
+
+
+def test_shards_keep_every_column(spark, tmp_path):
+    """Three arrivals of different columns, merged and the originals deleted."""
+    tiers = sharding.Tiers(target_bytes=1 << 20, small_bytes=1000, fanout=2, arrival_rows=2)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", tiers, order_col="t")
+    store.append(spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string"))
+    store.append(spark.createDataFrame([(3, "c", 1.5)], "id long, t string, `c.d` double"))
+    store.append(spark.createDataFrame([(4, "z"), (5, None)], "id long, u string"))
+    want = [(1, "a", None, None), (2, "b", None, None), (3, "c", 1.5, None), (4, None, None, "z"), (5, None, None, None)]
+    got = lambda: sorted(tuple(r)[:4] for r in store.rows().collect())
+    assert store.rows().columns == ["id", "t", "c.d", "u", "_shard", "_tier"] and got() == want
+    last = store.compact()
+    assert store.manifest().count() == 1 and got() == want
+    assert len(store.expire()) == 3 and store.versions() == [last] and got() == want
+    for bad in ("id string", "id long, T string"):
+        with pytest.raises(ValueError, match="fit"):
+            store.append(spark.createDataFrame([], bad))
+    assert store.version() == last
+    store.append(spark.createDataFrame([(6, "y")], "id long, u string"))
+    store.compact()
+    assert got() == [*want, (6, None, None, "y")]
+
+
+def test_compaction_reads_the_planned_files_only(spark, tmp_path, monkeypatch):
+    tiers = sharding.Tiers(target_bytes=40_000, small_bytes=500, fanout=2, arrival_rows=3000)
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", tiers)
+    store.append(spark.range(9000).selectExpr("id", "md5(CAST(id AS STRING)) AS t").coalesce(1))
+    read, one = [], sharding.ShardStore._read
+    monkeypatch.setattr(sharding.ShardStore, "_read", lambda self, files, schema: read.extend(files) or one(self, files, schema))
+    assert store.compact() == 1 and read == []  # full-sized shards stay alone
+    for i in range(2):
+        store.append(spark.createDataFrame([(-i, "small")], "id long, t string"))
+    read.clear()
+    store.compact()
+    planned = [f for f in read if "/" in f]
+    assert len(planned) == 2 and all(f.startswith("arrival-0000000") and not f.startswith("arrival-00000001/") for f in planned)
+    assert store.rows().count() == 9002
+
+
+def test_positions_of_any_frame(spark, tmp_path):
+    spark.range(20).selectExpr("id", "id % 3 AS position").repartitionByRange(4, "id").sortWithinPartitions("id").write.parquet(f"{tmp_path}/r")
+    read = spark.read.parquet(f"{tmp_path}/r")
+    ranks = lambda df: [(r["id"], r["position"]) for r in mixing.with_position(df).orderBy("position").collect()]
+    assert ranks(read) == [(i, i) for i in range(20)] and ranks(read.select("id")) == ranks(read)
+    odd = sorted(ranks(read.where("id % 2 = 1").orderBy("id")))
+    assert odd == [(2 * i + 1, i) for i in range(10)]
+    assert sorted(p for _, p in ranks(read.where("id % 2 = 1"))) == list(range(10))
+    assert ranks(read.orderBy(F.desc("id"))) == [(19 - i, i) for i in range(20)]
+    assert sorted(p for _, p in ranks(read.join(spark.range(5), "id"))) == list(range(5))
+    assert sorted(p for _, p in ranks(read.unionAll(read))) == list(range(40)) and ranks(read.limit(0)) == []
+
+
+def test_schedules_without_weight_and_with_steps(spark):
+    none, step = mixing.Schedule(((0.0, 0.0), (1.0, 0.0))), mixing.Schedule(((0.0, 1.0), (0.5, 1.0), (0.5, 3.0), (1.0, 3.0)))
+    assert none.integral() == 0 and step.integral() == 2
+    rows = spark.createDataFrame([(i, "abc"[i % 3], " ".join("w" * 5)) for i in range(90)], "doc_id long, source string, text string")
+    plan = mixing.Curriculum((none, step))
+    got = mixing.placed(rows, plan).groupBy("source").agg(F.max("_target").alias("t"), F.sum("_taken").alias("n"), F.sum("_size").alias("s")).orderBy("source").collect()
+    # b is the only source of any weight: it stops at twice its size
+    assert [(r["t"], r["n"]) for r in got] == [(0.0, 0), (2.0 * got[1]["s"], 2 * got[1]["s"]), (0.0, 0)]
+    moments = sorted(r["_moment"] for r in mixing.readings(mixing.placed(rows, mixing.Curriculum((step,))), mixing.Curriculum((step,))).collect())
+    # a quarter of the demand before the step at one half
+    assert abs(sum(m < 0.5 for m in moments) / len(moments) - 0.25) < 0.02 and mixing.mix(rows, mixing.Curriculum((none,))).count() == 0
+    for bad in (((0.0, 1.0),), ((0.0, 1.0), (0.9, 1.0)), ((0.0, 1.0), (0.6, 1.0), (0.5, 1.0), (1.0, 1.0)), ((0.0, -1.0), (1.0, 1.0))):
+        with pytest.raises(ValueError, match="knots"):
+            mixing.Schedule(bad)

@@ -17,7 +17,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,15 +31,24 @@ BROADCAST_SOURCES = 100_000
 @dataclass(frozen=True)
 class Schedule:
     """Weight over training time, linear between the knots ``(time, weight)``;
-    times run from 0 to 1, weights are not negative.
+    times run from 0 to 1 and don't fall, weights are not negative.  Two knots
+    at one time make a step.  A source whose weight is 0 all the time is never
+    read.
     """
 
     knots: tuple[tuple[float, float], ...]
 
+    def __post_init__(self) -> None:
+        times = [t for t, _ in self.knots]
+        if len(times) < 2 or times[0] != 0 or times[-1] != 1 or times != sorted(times) or any(w < 0 for _, w in self.knots):
+            raise ValueError("knots must run from time 0 to 1 without falling back, with weights of 0 or more")
+
     def segments(self) -> list[tuple[float, float, float, float]]:
         """(start, weight there, slope, integral before) of each piece."""
         out, area = [], 0.0
         for (t0, w0), (t1, w1) in zip(self.knots, self.knots[1:], strict=False):
+            if t1 == t0:
+                continue
             out.append((t0, w0, (w1 - w0) / (t1 - t0), area))
             area += (w0 + w1) / 2 * (t1 - t0)
         return out
@@ -83,15 +91,17 @@ def source_targets(sized: DataFrame, plan: Curriculum) -> DataFrame:
     per = per.withColumn("_number", F.row_number().over(Window.orderBy(F.col("_source").asc_nulls_last())) - 1)
     per = per.withColumn("kind", F.col("_number") % len(plan.schedules))
     per = per.withColumn("weight", F.element_at(weights, F.col("kind") + 1)).withColumn("cap", F.col("source_size") * plan.max_repeat)
-    order = Window.orderBy(F.col("cap") / F.col("weight"), F.col("_source").asc_nulls_last())
+    # a source of no weight comes last, stops nowhere and gets nothing
+    per = per.withColumn("fill", F.when(F.col("weight") > 0, F.col("cap") / F.col("weight")).otherwise(F.lit(float("inf"))))
+    order = Window.orderBy("fill", F.col("_source").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     total = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     left = F.sum("source_size").over(total) * F.lit(plan.budget) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    per = per.withColumn("level", left / F.sum("weight").over(after))
-    per = per.withColumn("stops", F.col("cap") / F.col("weight") < F.col("level"))
+    per = per.withColumn("level", F.try_divide(left, F.sum("weight").over(after)))
+    per = per.withColumn("stops", F.coalesce(F.col("fill") < F.col("level"), F.lit(False)))
     level = F.max(F.when(~F.col("stops"), F.col("level"))).over(total)
-    target = F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("weight") * level)
+    target = F.when(F.col("stops"), F.col("cap").cast("double")).when(F.col("weight") > 0, F.col("weight") * level).otherwise(F.lit(0.0))
     return per.select("_source", "_number", "kind", "source_size", "docs", target.alias("target"))
 
 
@@ -209,15 +219,24 @@ def timetable(rows: DataFrame, plan: Curriculum = DEFAULT, id_col: str = "doc_id
     return read.withColumns({"moments": F.transform(at, lambda x: x["_moment"]), "positions": F.transform(at, lambda x: x["position"])}).drop("_at")
 
 
+def is_whole_read(rows: DataFrame) -> bool:
+    """Whether a frame is files as they are read, with columns chosen at most."""
+    plan = rows._jdf.queryExecution().analyzed()
+    while plan.nodeName() == "Project" and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation" and bool(rows.inputFiles())
+
+
 def with_position(rows: DataFrame, tag: str = "ordered") -> DataFrame:
-    """``rows`` with ``position``, the global rank from 0 in the order in which
-    they were written as Parquet; rows that aren't read from files are written
-    first.  A sorted frame is written range by range, so a row's rank is its
-    place in its file plus the rows of the files before.
+    """``rows`` with ``position``, the rank from 0 in the order of the frame.
+
+    For whole files that are just read that is the order in which they were
+    written: a sorted frame is written range by range, so a row's rank is its
+    place in its file plus the rows of the files before.  Any other frame,
+    filtered, sorted or joined, is written first, in its own order.  A column
+    named ``position`` is replaced.
     """
-    try:
-        rows.select("_metadata.row_index")
-    except AnalysisException:
+    if not is_whole_read(rows):
         rows = written(rows, tag)
     name = F.col("_metadata.file_name")
     file = F.concat_ws("/", *[F.lpad(F.regexp_extract(name, pattern, 1), 20, "0") for pattern in (r"^part-(\d+)", r"-c(\d+)\.[^/]*$")])

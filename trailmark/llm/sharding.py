@@ -12,17 +12,21 @@ A shard's name is ``<batch>/part-<number>`` without Spark's own suffix.
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .common import quoted
 
-#: Columns of a manifest.
+#: What a manifest says of each shard; it also has its ``file`` and, as JSON,
+#: its ``columns``.
 MANIFEST = "shard string, batch string, tier int, n_rows long, bytes long"
+STORED = f"{MANIFEST}, file string, columns string"
 
 
 @dataclass(frozen=True)
@@ -46,6 +50,18 @@ class ConflictError(RuntimeError):
     """Another writer has committed this version first."""
 
 
+def merged_columns(schemas: list[StructType]) -> StructType:
+    """All columns by name, in order of first appearance; ValueError if two of
+    one name have different types or two names differ only by case.
+    """
+    known: dict[str, StructField] = {}
+    for f in (f for schema in schemas for f in schema):
+        first = known.setdefault(f.name.lower(), StructField(f.name, f.dataType))
+        if first.name != f.name or first.dataType.simpleString() != f.dataType.simpleString():
+            raise ValueError(f"column {f.name} ({f.dataType.simpleString()}) doesn't fit {first.name} ({first.dataType.simpleString()})")
+    return StructType(list(known.values()))
+
+
 class ShardStore:
     """A versioned table of documents under ``root``, a path that driver and
     executors share.  Merged shards are sorted by ``order_col`` if it is given.
@@ -77,15 +93,15 @@ class ShardStore:
         """Shards of a version, the latest if none is given."""
         version = self.version() if version is None else version
         if not version:
-            return self.spark.createDataFrame([], MANIFEST)
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest/v{version:08d}")
+            return self.spark.createDataFrame([], STORED)
+        return self.spark.read.schema(STORED).parquet(f"{self.root}/manifest/v{version:08d}")
 
     def _commit(self, shards: DataFrame, version: int) -> int:
         """Write a manifest aside and move it in place in one step, which
         fails if that version is there already.
         """
         aside = f"staged/{uuid.uuid4().hex}"
-        shards.select("shard", "batch", "tier", "n_rows", "bytes").write.parquet(f"{self.root}/{aside}")
+        shards.select("shard", "batch", "tier", "n_rows", "bytes", "file", "columns").write.parquet(f"{self.root}/{aside}")
         self._fs.mkdirs(self._path("manifest"))
         to = self._path(f"manifest/v{version:08d}")
         files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), self._conf)
@@ -108,34 +124,46 @@ class ShardStore:
         piece = F.regexp_extract(path, r"-c(\d+)\.[^/]*$", 1)
         return F.concat(batch, F.lit("/part-"), name, F.lit("-"), piece)
 
-    def _read(self, batches: list[str], schema) -> DataFrame:
-        """Rows of whole batches with ``_shard``, ``_batch`` and ``_bytes``;
-        columns are called ``_c0`` and so on here, so that names can't clash.
+    def _read(self, files: list[str], schema) -> DataFrame:
+        """Rows of batches or single files with ``_shard``, ``_batch``,
+        ``_file`` and ``_bytes``; columns are called ``_c0`` and so on here, so
+        that names can't clash.  A column that a file lacks is null.
         """
-        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{b}" for b in batches])
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/data/{f}" for f in files])
         path = F.col("_metadata.file_path")
         batch = F.regexp_extract(path, r"/data/([^/]+)/[^/]*$", 1)
-        return rows.select(*[quoted(c).alias(f"_c{i}") for i, c in enumerate(schema.names)], self._shard(path, batch).alias("_shard"), batch.alias("_batch"), F.col("_metadata.file_size").alias("_bytes"))
+        name = F.regexp_extract(path, r"/data/([^/]+/[^/]*)$", 1)
+        return rows.select(*[quoted(c).alias(f"_c{i}") for i, c in enumerate(schema.names)], self._shard(path, batch).alias("_shard"), batch.alias("_batch"), name.alias("_file"), F.col("_metadata.file_size").alias("_bytes"))
 
     @staticmethod
     def _named(schema, *without: str) -> list[Column]:
         """The columns of ``_read`` by their own names."""
         return [F.col(f"_c{i}").alias(c) for i, c in enumerate(schema.names) if c not in without]
 
-    def _listed(self, batch: str) -> DataFrame:
+    def _columns(self, shards: DataFrame) -> StructType:
+        """All columns of some shards, those of the oldest batch first."""
+        per = shards.groupBy("columns").agg(F.min(F.substring_index("batch", "-", -1)).alias("b")).orderBy("b", "columns").collect()  # one for each set of columns
+        return merged_columns([StructType.fromJson(json.loads(r["columns"])) for r in per])
+
+    def _listed(self, batch: str, schema: StructType) -> DataFrame:
         """Manifest rows of a batch, read from its files' footers."""
-        rows = self._read([batch], self.spark.read.parquet(f"{self.root}/data/{batch}").schema)
-        per = rows.groupBy("_shard", "_batch", "_bytes").agg(F.count("*").alias("n_rows"))
-        return per.select(F.col("_shard").alias("shard"), F.col("_batch").alias("batch"), self.tiers.tier(F.col("_bytes")).alias("tier"), "n_rows", F.col("_bytes").alias("bytes"))
+        per = self._read([batch], schema).groupBy("_shard", "_batch", "_file", "_bytes").agg(F.count("*").alias("n_rows"))
+        return per.select(F.col("_shard").alias("shard"), F.col("_batch").alias("batch"), self.tiers.tier(F.col("_bytes")).alias("tier"), "n_rows", F.col("_bytes").alias("bytes"), F.col("_file").alias("file"), F.lit(schema.json()).alias("columns"))
 
     def append(self, docs: DataFrame) -> int:
         """Append ``docs`` as small shards and commit; an empty frame commits a
         version without new shards.  Returns the version.
+
+        Arrivals may have different columns; those that one lacks are null in
+        its rows.  A column of another type than the store has by that name,
+        or of a name that differs only by case, is refused with ValueError.
         """
         version = self.version() + 1
         batch = f"arrival-{version:08d}"
+        manifest = self.manifest(version - 1)
+        merged_columns([self._columns(manifest), docs.schema])
         docs.write.option("maxRecordsPerFile", self.tiers.arrival_rows).option("compression", "zstd").parquet(f"{self.root}/data/{batch}")
-        return self._commit(self.manifest(version - 1).unionByName(self._listed(batch).where("n_rows > 0")), version)
+        return self._commit(manifest.unionByName(self._listed(batch, docs.schema).where("n_rows > 0")), version)
 
     def plan(self, manifest: DataFrame) -> DataFrame:
         """``(shard, batch, grp)`` of the shards to rewrite, groups numbered
@@ -164,29 +192,31 @@ class ShardStore:
             if groups is None:
                 plan.unpersist()
                 return version
-            batches = [r[0] for r in plan.select("batch").distinct().collect()]  # one per append or merge still open
             batch = f"merge-{version + 1:08d}"
-            schema = self.spark.read.parquet(f"{self.root}/data/{batches[0]}").schema
+            chosen = manifest.join(plan.select("shard", "grp"), "shard")
+            schema = self._columns(chosen)
             moved = plan.select(F.col("shard").alias("_shard"), F.col("grp").alias("_grp"))
-            rows = self._read(batches, schema).join(moved, "_shard")
+            files = [r[0] for r in chosen.select("file").collect()]  # names of the small shards alone
+            rows = self._read(files, schema).join(moved, "_shard")
             rows = rows.repartitionById(groups + 1, F.col("_grp")).select(*self._named(schema))
-            if self.order_col:
+            if self.order_col and self.order_col in schema.names:
                 rows = rows.sortWithinPartitions(quoted(self.order_col))
             rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}")
             kept = manifest.join(plan, "shard", "left_anti")
-            self._commit(kept.unionByName(self._listed(batch).where("n_rows > 0")), version + 1)
+            self._commit(kept.unionByName(self._listed(batch, schema).where("n_rows > 0")), version + 1)
             plan.unpersist()
 
     def rows(self, version: int | None = None) -> DataFrame:
         """Documents of a version, with ``_shard`` and ``_tier``; columns of
-        theirs with such a name are left out.
+        theirs with such a name are left out.  All columns of all arrivals
+        are there, null where an arrival had none.
         """
         version = self.version() if version is None else version
         manifest = self.manifest(version)
         batches = [r[0] for r in manifest.select("batch").distinct().collect()]
         if not batches:
             raise LookupError("the store has no documents")
-        schema = self.spark.read.parquet(f"{self.root}/data/{batches[0]}").schema
+        schema = self._columns(manifest)
         live = manifest.select(F.col("shard").alias("_shard"), F.col("tier").alias("_tier"))
         return self._read(batches, schema).join(live, "_shard").select(*self._named(schema, "_shard", "_tier"), "_shard", "_tier")
 
