@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from .functions import formats, keys, semver, verdict
 from .operators import graph as g
-from .operators import history, lockfile, maintainers, persistence, replay, scan, typosquat
+from .operators import history, lockfile, maintainers, persistence, replay, scan, sweep, typosquat
 from .operators.blast_radius import Bounds, blast_radius
-from .oracles import DEPS, FACTS, LEVEL, MAIN, PINS, SCAN, SEEDS, SURFACES, names, walk
+from .oracles import DEPS, FACTS, LEVEL, MAIN, PART_VERSION, PINS, SCAN, SEEDS, SURFACES, names, walk
 from .plans import build, incidents, merge
 from .plans.projection import epoch_ms, maintains, most_depended_on, named_packages, part_facts, plain_packages, project, resolved, resolves_to, table
 from .sources import packs, registries, snapshot
@@ -742,3 +742,38 @@ def q50_windowed_counts(spark, d):
     e.where("event_type = 'click'").select(F.col("user_id").alias("service"), F.col("event_id").alias("version"), F.timestamp_millis(epoch_ms(e, "ts")).alias("resolved_at")).write.parquet(f"{at}/in")
     first_pin.run_available(first_pin.windowed_counts(first_pin.read_pins(spark, f"{at}/in"), late="3650 days"), f"{at}/out", f"{at}/state")
     return spark.read.parquet(f"{at}/out").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "pins")
+
+
+# a sweep over stated intervals -----------------------------------------------
+
+NAMED_VERSION = f"CASE WHEN p_size = 50 THEN 'nightly-' || p_partkey % 3 ELSE {PART_VERSION} END"
+STATED = f"""WITH v AS (SELECT DISTINCT p_brand AS name, {NAMED_VERSION} AS version, CASE WHEN p_size < 50 THEN [p_size, p_partkey % 10, p_partkey % 3] END AS k FROM part),
+a AS (SELECT p_partkey AS id, p_brand AS name, {NAMED_VERSION} AS listed, [p_size, p_partkey % 10, 0] AS low, CASE p_partkey % 3 WHEN 0 THEN [p_size + p_partkey % 5, 3, 1] WHEN 1 THEN [p_size + 5, 0, 0] END AS high, p_partkey % 3 AS kind FROM part),
+pairs AS (SELECT v.name, v.version, a.id, listed = version OR coalesce(k >= low AND (kind = 2 OR (kind = 0 AND k < high) OR (kind = 1 AND k <= high)), false) AS hit, k IS NULL AND listed <> version AS unsure FROM v JOIN a ON v.name = a.name)"""
+
+
+def _stated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Brands as packages: each part is a version of its brand, and states an
+    advisory for a range that begins near it and lists its own version.
+    """
+    part = table(spark, d, "part")
+    text = lambda c: c.cast("string")
+    dotted = lambda *c: F.concat_ws(".", *map(text, c))
+    size, key = F.col("p_size"), F.col("p_partkey")
+    version = F.when(size == 50, F.concat(F.lit("nightly-"), text(key % 3))).otherwise(dotted(size, key % 10, key % 3))
+    none = F.lit(None).cast("string")
+    end = F.struct(dotted(size, key % 10, F.lit(0)).alias("introduced"), F.when(key % 3 == 0, dotted(size + key % 5, F.lit(3), F.lit(1))).otherwise(none).alias("fixed"), F.when(key % 3 == 1, dotted(size + 5, F.lit(0), F.lit(0))).otherwise(none).alias("last_affected"))
+    rows = part.select(F.concat(F.lit("GHSA-"), text(key)).alias("ghsa_id"), F.lit("npm").alias("ecosystem"), F.col("p_brand").alias("name"), version.alias("version"), F.array(version).alias("listed"), F.array(end).alias("intervals"))
+    return rows, rows.select("ecosystem", "name", "version")
+
+
+@query(f"{STATED} SELECT name, version, count(CASE WHEN hit THEN 1 END) AS n_affected, count(CASE WHEN unsure THEN 1 END) AS n_undecided FROM pairs GROUP BY name, version")
+def q51_affected_counts(spark, d):
+    """How many advisories affect every version, by a sweep over their ends."""
+    return sweep.affected_counts(*_stated(spark, d)).select("name", "version", "n_affected", "n_undecided")
+
+
+@query(f"{STATED} SELECT name, version, count(*) AS n, min('GHSA-' || id) AS least FROM pairs WHERE hit GROUP BY name, version")
+def q51_affects_pairs(spark, d):
+    """Advisories and the versions that they affect, folded by version."""
+    return sweep.affects_pairs(*_stated(spark, d)).groupBy("name", "version").agg(F.count("*").alias("n"), F.min("ghsa_id").alias("least"))

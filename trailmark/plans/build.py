@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import formats, keys, semver
+from ..functions import formats, keys
 from ..operators.graph import Graph
+from ..operators.sweep import affects_pairs
 from ..operators.traverse import closure
 from ..storage import cut
 from .merge import number_rows
@@ -98,8 +99,8 @@ def build_graph(slices: dict[str, DataFrame]) -> Graph:
     edges["resolved"] = p.join(ids(services, "a", "src"), "a").join(ids(versions, "b", "dst"), "b").select("src", "dst", "resolved_at_ms")
     f = slices["affects"].withColumn("b", pkey).withColumnRenamed("ghsa_id", "a")
     edges["affects"] = f.join(ids(advisories, "a", "src"), "a").join(ids(packages, "b", "dst"), "b").select("src", "dst", "introduced", "fixed").distinct()
-    hit = f.select("a", "ecosystem", "name", "listed", "intervals").join(versions.select("ecosystem", "name", "version", F.col("id").alias("dst")), ["ecosystem", "name"])
-    hit = hit.where(semver.is_affected(F.col("version"), F.col("listed"), F.col("intervals")))
+    hit = affects_pairs(f.withColumnRenamed("a", "ghsa_id"), versions).withColumnRenamed("ghsa_id", "a")
+    hit = hit.join(versions.select("ecosystem", "name", "version", F.col("id").alias("dst")), ["ecosystem", "name", "version"])
     edges["affects_version"] = hit.join(ids(advisories, "a", "src"), "a").select("src", "dst").distinct()
     edges = {k: number_rows(e, ["src", "dst", *[c for c in e.columns if c not in ("src", "dst")]], "edge_id") for k, e in edges.items()}
 
