@@ -25,14 +25,20 @@ from .common import quoted, text_batches, written
 SIZE = 1024
 #: Rows of (partition, length, pieces before) that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Spellings that a task remembers before it forgets them all.
-REMEMBERED = 400_000
+#: Spellings that a worker gathers before it forgets those not met since as many before; some 100 MB.
+REMEMBERED = 500_000
 
 SPACE = r"\x20\x09-\x0D"
 CHUNK = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: White space beyond the six bytes above, by any definition of it.
 RARE_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 BEFORE_SPACE = re.compile(rf"(?<=\S)(?=[{SPACE}])")
+#: Chunks of which the vocabulary's pattern makes just these parts: letters,
+#: digits and other signs that every version of Unicode takes for that.
+PLAIN = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~])+")
+PART = re.compile(r" ?(?:[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]+|[!-&(-/:-@\[-`{-~]+)")
+#: Up to here what Python takes for a letter is one in every version of Unicode.
+LAST = "\u00ff"
 PIECES = "start long, length long, ids binary, doc_tokens long, _part int, _nth long"
 
 
@@ -54,8 +60,9 @@ class Encoder(dict):
 
     A byte-level vocabulary's own pattern never joins white space to what is
     before it and looks at nothing behind, so a text may be cut before white
-    space; each distinct chunk is encoded by ``tokenizers`` once.  For other
-    vocabularies whole texts are encoded.  Strings of special tokens are
+    space; each distinct chunk is encoded by ``tokenizers`` once, and one of
+    plain words and signs by the merges alone.  For other vocabularies whole
+    texts are encoded.  Strings of special tokens are
     ordinary text.
     """
 
@@ -64,21 +71,52 @@ class Encoder(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.older: dict[str, bytes] = {}
         self.end = np.array([end_id], "<u4").tobytes()
+        self.merge = self.tokenizer.model.tokenize
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        # byte-level vocabularies spell a byte that is no visible sign by the next letter from 256 on
+        visible = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        hidden = [b for b in range(256) if b not in visible]
+        self.letters = {b: 256 + i for i, b in enumerate(hidden)}
         model = json.loads(self.tokenizer.to_str())
         before = model.get("pre_tokenizer") or {}
         plain = [t for t in model.get("added_tokens", []) if not t.get("special") or t.get("lstrip") or t.get("rstrip")]
         self.by_chunk = model.get("normalizer") is None and not plain and before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and bool(before.get("use_regex", True))
 
     def __missing__(self, text: str) -> bytes:
-        ids = self[text] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = self.older.get(text)
+        if ids is None:
+            word = text[1:] if text[:1] == " " else text
+            if not self.by_chunk or not word:
+                ids = self._whole(text)
+            elif word.isalpha() and max(word) <= LAST:
+                ids = self._merged(text)
+            elif word[:-1].isalpha() and max(word) <= LAST and word[-1] in ",.;:!?":
+                ids = self[text[:-1]] + self[word[-1]]
+            elif text[0] == "\n" and len(text) > 1 and not text[1].isspace():
+                ids = self["\n"] + self[text[1:]]
+            elif PLAIN.fullmatch(text):
+                parts = PART.findall(text)
+                ids = b"".join([self[p] for p in parts]) if len(parts) > 1 else self._merged(text)
+            else:
+                ids = self._whole(text)
+        self[text] = ids
         return ids
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _merged(self, part: str) -> bytes:
+        spelt = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+        return b"".join([self.packed[t.id] for t in self.merge(spelt)])
+
     def __call__(self, text: str) -> bytes:
         """The ids of ``text`` and the end of the document."""
         chunks = [text] if not self.by_chunk else BEFORE_SPACE.split(text) if RARE_SPACE.search(text) else CHUNK.findall(text)
         out = b"".join(map(self.__getitem__, chunks)) + self.end
         if len(self) > (REMEMBERED if self.by_chunk else 0):
+            self.older = dict(self)
             self.clear()
         return out
 
