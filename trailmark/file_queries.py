@@ -110,17 +110,42 @@ frames AS (SELECT frame, at_ms, exposed, exposed - coalesce(lag(exposed) OVER (O
   greatest((SELECT count(*) FROM customer) - exposed, 0) AS not_seen_exposed FROM cum)"""
 
 
-def _replay(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _replay(spark: SparkSession, d: str, **caps) -> tuple[DataFrame, DataFrame]:
     graph = project(spark, d)
     bad = graph.node("versions").join(most_depended_on(spark, d, 3).select(F.col("node").alias("id")), "id", "left_semi")
     told = graph.node("advisories").join(bad.select("id"), "id", "left_semi")
-    return replay.replay(graph, bad, told, START, END)
+    return replay.replay(graph, bad, told, START, END, bounds=Bounds(**caps))
 
 
 @query(f"{REPLAY} SELECT * FROM frames")
 def q33_replay(spark, d):
     """An incident of three versions, from walks to frames."""
-    return _replay(spark, d)[0]
+    return _replay(spark, d)[0].select("frame", "at_ms", "exposed", "newly_exposed", "blind_spots", "advisory_public", "not_seen_exposed")
+
+
+WEAKEST = f"(SELECT min({LEVEL}) FROM bad JOIN part ON p_partkey = node)"
+OWN_LIMITS = f"CASE WHEN {WEAKEST} = 0 THEN 'package_absent,' ELSE '' END || {{own}} || CASE WHEN {WEAKEST} = 1 THEN 'package_partial,' ELSE '' END"
+VERDICTS = f"""SELECT frame, exposed, CASE WHEN kinds = '' THEN rest ELSE 0 END AS not_exposed, CASE WHEN kinds = '' THEN 0 ELSE rest END AS unknown,
+  CASE WHEN {WEAKEST} = 0 THEN 'unknown' WHEN exposed > 0 THEN 'exposed' WHEN kinds <> '' THEN 'unknown' ELSE 'not_exposed' END AS verdict, rtrim(kinds, ',') AS limit_kinds
+  FROM (SELECT frame, exposed, not_seen_exposed AS rest, {OWN_LIMITS} AS kinds FROM frames)"""
+KINDS = F.array_join(F.transform("limits", lambda x: x["kind"]), ",").alias("limit_kinds")
+ROWS = 40
+#: The walk up to the hop before the first one that reaches over ROWS nodes.
+CUT = REPLAY.replace("reach AS (SELECT source, tail AS node, min(hop) AS hop FROM walk GROUP BY ALL)", f"""near AS (SELECT source, tail AS node, min(hop) AS hop FROM walk GROUP BY ALL),
+last AS (SELECT coalesce(min(hop), 99) AS hop FROM (SELECT hop FROM near WHERE hop > 0 GROUP BY hop HAVING count(*) > {ROWS})),
+reach AS (SELECT * FROM near WHERE hop < (SELECT hop FROM last))""")
+
+
+@query(f"{REPLAY} " + VERDICTS.format(own="CASE WHEN (SELECT max(hop) FROM reach) >= 8 THEN 'hop_limit,' ELSE '' END"))
+def q33_verdict_counts(spark, d):
+    """Services by verdict in every frame."""
+    return _replay(spark, d)[0].select("frame", "exposed", "not_exposed", "unknown", "verdict", KINDS)
+
+
+@query(f"{CUT} " + VERDICTS.format(own="CASE WHEN (SELECT hop FROM last) < 99 THEN 'budget_rejected,' WHEN (SELECT max(hop) FROM reach) >= 8 THEN 'hop_limit,' ELSE '' END"))
+def q33_budget(spark, d):
+    """The same where a hop may reach forty versions at most."""
+    return _replay(spark, d, rows_a_level=ROWS)[0].select("frame", "exposed", "not_exposed", "unknown", "verdict", KINDS)
 
 
 @query(f"{REPLAY} SELECT service, version, hop, ms AS resolved_at_ms, blind AS is_blind_spot FROM rows_")

@@ -16,11 +16,14 @@ from .traverse import BudgetError, check_bounds, path_count_limit_reached, paths
 
 @dataclass(frozen=True)
 class Bounds:
+    """Caps of a question.  ``rows_a_level`` is for walks that list no routes."""
+
     max_hops: int = 8
     path_count: int = 20_000
     max_services: int = 5_000
     resolved_per_service: int = 20_000
     paths_a_level: int = 1_000_000
+    rows_a_level: int | None = None
 
 
 def reachable(found: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import keys, verdict
 from . import bitemporal
 from .blast_radius import Bounds, service_exposures
-from .graph import Graph
-from .traverse import reach
+from .graph import Graph, is_empty, weakest_coverage
+from .traverse import BudgetError, reach
 
 MIN_FRAMES, DEFAULT_FRAMES, MAX_FRAMES = 2, 60, 2_000
 
@@ -96,14 +97,33 @@ def earliest(compromised: DataFrame, advisories: DataFrame) -> tuple[int | None,
     return t1, t2
 
 
-def collect_exposures(graph: Graph, compromised: DataFrame, bounds: Bounds | None = None) -> DataFrame:
+def collect_exposures(graph: Graph, compromised: DataFrame, bounds: Bounds | None = None) -> tuple[DataFrame, list[Column]]:
     """``(service, version, hop, resolved_at_ms)`` for each bad version (``id``)
-    and service, in one walk from all of them that lists no routes.
+    and service, in one walk from all of them that lists no routes; and the
+    limits that it met.
     """
     bounds = bounds or Bounds()
     seeds = compromised.select(F.col("id").alias("source"), F.col("id").alias("node"))
-    reached = reach(graph.edge("depended_on_by"), seeds, bounds.max_hops, include_seeds=True)
-    return service_exposures(reached, graph.edge("resolved")).select("service", F.col("source").alias("version"), "hop", "resolved_at_ms")
+    met: list[Column] = []
+    try:
+        reached = reach(graph.edge("depended_on_by"), seeds, bounds.max_hops, include_seeds=True, most=bounds.rows_a_level)
+        if not reached.where(F.col("hop") >= bounds.max_hops).isEmpty():
+            met.append(verdict.limit("hop_limit", max_hops=bounds.max_hops))
+    except BudgetError as e:
+        reached = e.found
+        met.append(verdict.limit("budget_rejected", operation=str(e)))
+    return service_exposures(reached, graph.edge("resolved")).select("service", F.col("source").alias("version"), "hop", "resolved_at_ms"), met
+
+
+def with_verdicts(frames: DataFrame, met: Column, level: int, graph_is_empty: bool, subject: str) -> DataFrame:
+    """``frames`` with ``verdict``, ``limits``, ``not_exposed`` and ``unknown``:
+    services not seen exposed are only called safe in a frame without limits.
+    """
+    a = verdict.decide(F.col("exposed") > 0, F.lit(level), F.lit(graph_is_empty), met, F.lit(subject))
+    rest = F.col("not_seen_exposed")
+    rows = frames.withColumn("_a", a).withColumns({"verdict": F.col("_a.verdict"), "limits": F.col("_a.limits")}).drop("_a")
+    sure = F.size("limits") == 0
+    return rows.withColumns({"not_exposed": F.when(sure, rest).otherwise(0), "unknown": F.when(sure, 0).otherwise(rest)})
 
 
 def replay(graph: Graph, compromised: DataFrame, advisories: DataFrame, start_ms: int, end_ms: int, marks: DataFrame | None = None, frames: int = DEFAULT_FRAMES, bounds: Bounds | None = None) -> tuple[DataFrame, DataFrame]:
@@ -111,16 +131,25 @@ def replay(graph: Graph, compromised: DataFrame, advisories: DataFrame, start_ms
 
     ``compromised (id, published_at_ms)`` are versions, ``advisories (id,
     published_at_ms)`` what disclosed them.  Services count once, by key.
+    Every frame has a verdict and the limits that the walk met; coverage is
+    the weakest of the compromised versions' packages.
     """
     spark = graph.spark
     t1, t2 = earliest(compromised, advisories)
-    found = preferred_exposures(collect_exposures(graph, compromised, bounds))
+    exposures, met = collect_exposures(graph, compromised, bounds)
+    found = preferred_exposures(exposures)
     windows = bitemporal.pairs(graph).join(compromised.select(F.col("id").alias("version")), "version", "left_semi").join(advisories.select(F.col("id").alias("advisory")), "advisory", "left_semi")
     rows = with_blind_spot(found, bitemporal.victims(graph.edge("resolved"), windows), t1, t2).persist()
     own = [spark.createDataFrame([(t, label)], "at_ms long, label string") for t, label in ((t1, "published"), (t2, "disclosed")) if t is not None]
     all_marks = reduce(DataFrame.unionByName, ([marks] if marks is not None else []) + own) if own or marks is not None else spark.createDataFrame([], "at_ms long, label string")
     instants = frame_instants(spark, start_ms, end_ms, all_marks, frames)
-    return cumulative_frames(instants, rows, t2, graph.node("services").count()), rows
+    if not rows.where(F.coalesce("resolved_at_ms", F.lit(0)) <= 0).isEmpty():
+        met.append(verdict.limit("timestamp_missing", field="resolved_at_ms"))
+    bad = graph.node("versions").join(compromised.select("id"), "id", "left_semi")
+    level = weakest_coverage(graph, "package", bad.select(keys.package_key(F.col("ecosystem"), F.col("name")).alias("key"))).first()["level"]
+    subject = bad.agg(F.min("key")).first()[0]
+    frames_ = cumulative_frames(instants, rows, t2, graph.node("services").count())
+    return with_verdicts(frames_, F.array(*met).cast(verdict.LIMITS), level if subject else verdict.ABSENT, is_empty(graph), subject or "nothing"), rows
 
 
 def fold_limits_of(answers: DataFrame) -> DataFrame:

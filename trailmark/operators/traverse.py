@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import cut, stored
+from ..storage import stored
 
 MAX_HOPS = 16
 PATHS = "source long, ordinal long, hop int, tail long, nodes array<long>, edges array<long>"
@@ -28,11 +28,13 @@ def check_bounds(max_hops: int, path_count: int | None = None) -> None:
 
 
 class BudgetError(RuntimeError):
-    """A level has more paths than allowed; ``hop`` is the last one that fits."""
+    """A level has more paths or rows than allowed; ``hop`` is the last one
+    that fits, and ``found`` what was found up to it, if that is kept.
+    """
 
-    def __init__(self, hop: int, most: int) -> None:
-        super().__init__(f"more than {most} paths of {hop + 1} hops")
-        self.hop = hop
+    def __init__(self, hop: int, most: int, of: str = "paths", found: DataFrame | None = None) -> None:
+        super().__init__(f"more than {most} {of} of {hop + 1} hops")
+        self.hop, self.found = hop, found
 
 
 def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | None = None, targets: DataFrame | None = None, checkpoint: bool = False, most: int | None = None) -> DataFrame:
@@ -72,20 +74,24 @@ def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | N
     return found if path_count is None else found.orderBy("hop", "ordinal", "edges").limit(path_count)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, include_seeds: bool = False) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, include_seeds: bool = False, most: int | None = None) -> DataFrame:
     """``(source, node, hop)``: the least number of hops to each node.
 
     ``seeds (source, node)`` may give a source several nodes, at hop 0.  Every
-    hop is cut off, so none is worked out twice, and an empty one ends it.
+    hop is written once, which also counts it, and an empty one ends the walk;
+    one of over ``most`` rows raises BudgetError with the hops before.
     """
     check_bounds(max_hops)
-    step = cut(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct())
-    seen = front = cut(seeds.select("source", "node", F.lit(0).alias("hop")).distinct())
+    step, _ = stored(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "steps")
+    front, n = stored(seeds.select("source", "node", F.lit(0).alias("hop")).distinct(), "reach")
+    seen = front
     for hop in range(1, max_hops + 1):
-        grown = front.join(step, front["node"] == step["_at"]).select("source", F.col("_to").alias("node")).distinct()
-        front = cut(grown.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
+        if not n:
             break
+        grown = front.join(step, front["node"] == step["_at"]).select("source", F.col("_to").alias("node")).distinct()
+        front, n = stored(grown.join(seen.select("source", "node"), ["source", "node"], "left_anti").withColumn("hop", F.lit(hop)), "reach")
+        if most is not None and n > most:
+            raise BudgetError(hop - 1, most, "rows", seen if include_seeds else seen.where("hop > 0"))
         seen = seen.unionByName(front)
     return seen if include_seeds else seen.where("hop > 0")
 
@@ -100,12 +106,13 @@ def as_sets(pairs: DataFrame, source: str, *by: str) -> DataFrame:
     return pairs.groupBy(*by, F.shiftright(source, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def reach_sets(edges: DataFrame, members: DataFrame, max_hops: int) -> DataFrame:
+def reach_sets(edges: DataFrame, members: DataFrame, max_hops: int, most: int | None = None) -> DataFrame:
     """``(node, word, hop, bits)``: the sources that first reach a node at a hop.
 
     ``members (node, word, bits)`` are those at hop 0, as by ``as_sets``.  A
     hop has at most one row for each node and word of sources, and a source is
-    in one row of a node.
+    in one row of a node.  A hop of over ``most`` rows raises BudgetError with
+    the hops before.
     """
     check_bounds(max_hops)
     step, _ = stored(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "steps")
@@ -118,6 +125,8 @@ def reach_sets(edges: DataFrame, members: DataFrame, max_hops: int) -> DataFrame
         known = levels.groupBy("node", "word").agg(F.bit_or("bits").alias("_known"))
         fresh = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("_known", F.lit(0).cast("long"))))
         front, n = stored(grown.join(known, ["node", "word"], "left").select("node", "word", F.lit(hop).alias("hop"), fresh.alias("bits")).where("bits <> 0"), "sets")
+        if most is not None and n > most:
+            raise BudgetError(hop - 1, most, "rows", levels)
         levels = levels.unionByName(front)
     return levels
 
