@@ -1,8 +1,8 @@
 """Persistence scan: path globs and line patterns over a tree of files.
 
 Files are rows ``(path, content BINARY)`` with paths relative to the root.  A
-path is tested before its content is touched, and the first matching line per
-file and indicator is the finding.
+path is tested before its content is touched, literals before patterns, and
+the first matching line per file and indicator is the finding.
 """
 
 from __future__ import annotations
@@ -11,11 +11,14 @@ import os
 import re
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from ..functions import verdict
+from ..functions.literals import needed_literals
 from ..sources.indicators import CATALOGUE, Indicator
 
 # The bounds of a scan.
@@ -115,23 +118,71 @@ def _first_line(lines: Column, patterns: tuple[str, ...]) -> Column:
     return F.nullif(F.array_position(hits, True).cast("int"), F.lit(0))
 
 
+def literal_index(indicators: tuple[Indicator, ...]) -> tuple[ahocorasick.Automaton, int]:
+    """All literals of all patterns in one automaton, each with a bit for every
+    indicator whose patterns may need it; and the bits of those that need none.
+    """
+    bits: dict[str, int] = {}
+    always = 0
+    for k, i in enumerate(indicators):
+        needs = [needed_literals(p) for p in i.patterns]
+        if not all(needs):
+            always |= 1 << k
+        for literal in frozenset().union(*needs):
+            bits[literal] = bits.get(literal, 0) | 1 << k
+    automaton = ahocorasick.Automaton()
+    for literal, mask in bits.items():
+        automaton.add_word(literal, mask)
+    automaton.make_automaton()
+    return automaton, always
+
+
+def candidates(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE) -> DataFrame:
+    """``(path, content, is_text, gates, may)``: files that some indicator's
+    path asks for, which ones those are by number, and as bits which of them
+    the text can match by the literals that it holds.
+    """
+    if len(indicators) > 62:
+        raise ValueError("at most 62 indicators are scanned for at once")
+    gates = [path_matches(F.col("path"), i.paths) for i in indicators]
+    wanted = F.filter(F.array(*[F.when(g, F.lit(k)) for k, g in enumerate(gates)]), lambda x: x.isNotNull())
+    rows = files.select("path", "content", wanted.alias("gates")).where(F.size("gates") > 0)
+    head = F.substring("content", 1, MAX_FILE_BYTES)
+    rows = rows.withColumns({"content": head, "is_text": F.coalesce(F.instr(F.decode(head, "ISO-8859-1"), "\0") == 0, F.lit(False))})
+    index = files.sparkSession.sparkContext.broadcast(literal_index(indicators))  # of the catalogue's size
+
+    @pandas_udf("long")
+    def may(content: pd.Series) -> pd.Series:
+        automaton, always = index.value
+        out = []
+        for c in content:
+            mask = always
+            if c and len(automaton):
+                for _, bits in automaton.iter(bytes(c).decode("utf-8", "replace").lower()):
+                    mask |= bits
+            out.append(mask)
+        return pd.Series(out, dtype="int64")
+
+    # binary files are looked for literals in vain
+    return rows.withColumn("may", may(F.when(F.col("is_text"), F.col("content")).otherwise(F.lit(b""))))
+
+
 def scan_files(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE) -> DataFrame:
     """``(indicator_id, severity, path, line_number, title, package_name)``.
 
     Of a file the first MAX_FILE_BYTES are read; one with a NUL byte there is
     no text and only its path counts.  ``line_number`` is null for a path.
+    Patterns are tried on files whose path asks for them and that hold one of
+    their literals.
     """
-    gates = [path_matches(F.col("path"), i.paths) for i in indicators]
-    wanted = F.filter(F.array(*[F.when(g, F.lit(k)) for k, g in enumerate(gates)]), lambda x: x.isNotNull())
-    rows = files.withColumn("_gates", wanted).where(F.size("_gates") > 0)
-    head = F.substring("content", 1, MAX_FILE_BYTES)
-    is_text = F.coalesce(F.instr(F.decode(head, "ISO-8859-1"), "\0") == 0, F.lit(False))
-    rows = rows.select("path", "_gates", F.when(is_text, F.split(F.decode(head, "UTF-8"), r"\r?\n")).otherwise(F.array().cast("array<string>")).alias("_lines"))
+    rows = candidates(files, indicators)
+    rows = rows.select("path", "gates", "may", F.when(F.col("is_text"), F.split(F.decode("content", "UTF-8"), r"\r?\n")).otherwise(F.array().cast("array<string>")).alias("_lines"))
     found = []
     for k, i in enumerate(indicators):
         line = _first_line(F.col("_lines"), i.patterns) if i.patterns else F.lit(None).cast("int")
-        hit = F.array_contains("_gates", k) & (line.isNotNull() if i.patterns else F.lit(True))
-        found.append(F.when(hit, F.struct(F.lit(i.id).alias("indicator_id"), F.lit(i.severity).alias("severity"), line.alias("line_number"), F.lit(i.title).alias("title"))))
+        asked = F.array_contains("gates", k) & (F.col("may").bitwiseAND(F.lit(1 << k).cast("long")) != 0 if i.patterns else F.lit(True))
+        one = F.struct(F.lit(i.id).alias("indicator_id"), F.lit(i.severity).alias("severity"), line.alias("line_number"), F.lit(i.title).alias("title"))
+        found.append(F.when(asked, F.when(line.isNotNull(), one) if i.patterns else one))
     rows = rows.select("path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
     return rows.select("f.indicator_id", "f.severity", "path", "f.line_number", "f.title", owning_package(F.col("path")).alias("package_name"))
 

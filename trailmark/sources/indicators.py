@@ -14,7 +14,6 @@ HOOK = ("**/.git/hooks/pre-commit", "**/.git/hooks/pre-push", "**/.git/hooks/pos
 MANIFEST = ("**/package.json",)
 SCRIPTS = WORKFLOW + HOOK + CONFIG + MANIFEST
 
-_SHELLS = r"\|\s*(?:bash|sh|zsh|dash|node|bun|python3?)\b"
 _INSTALL = r'"(?:preinstall|install|postinstall|prepare)"\s*:\s*"[^"]{0,300}'
 _REGISTRIES = r"(?!registry\.npmjs\.org|registry\.yarnpkg\.com|npm\.pkg\.github\.com|api\.github\.com|uploads\.github\.com)"
 
@@ -44,7 +43,7 @@ CATALOGUE = (
         r"(?i)\b(?:curl|wget)\b[^\n|]{0,200}\|\s*(?:bash|sh|zsh|dash|node|bun|deno|python3?)\b",
         r"(?i)\b(?:iwr|Invoke-WebRequest|Invoke-RestMethod)\b[^\n|]{0,200}\|\s*(?:iex|Invoke-Expression)\b",
         r"(?i)\bbase64\s+-{1,2}d(?:ecode)?\b[^\n|]{0,120}\|\s*(?:bash|sh|node|bun|python3?)\b")),
-    Indicator("agent-instruction-hidden-unicode", "high", "Invisible characters in agent instructions", AGENT, ("[​-‏‪-‮⁠-⁤⁦-⁩﻿]",)),
+    Indicator("agent-instruction-hidden-unicode", "high", "Invisible characters in agent instructions", AGENT, (r"[\u200B-\u200F\u202A-\u202E\u2060-\u2064\u2066-\u2069\uFEFF]",)),
     Indicator("agent-instruction-campaign-marker", "high", "A known campaign's marker", AGENT, (r"(?i)P-2024-001|Universal AI Agent Extraction Framework|ddjidd564\.github\.io",)),
     Indicator("vscode-task-run-on-folder-open", "high", "A task runs when the folder is opened", ("**/.vscode/tasks.json",), (r'(?i)"runOn"\s*:\s*"folderOpen"',)),
     Indicator("agent-config-hook-runs-external-command", "high", "A tool's hook runs an outside command", CONFIG, (
@@ -56,7 +55,7 @@ CATALOGUE = (
         r'(?i)"[a-z0-9_.-]{0,60}(?:executablePath|defaultInterpreterPath|nodePath|server\.path|\.path)"\s*:\s*"[^"]{0,200}"')),
     Indicator("vscode-workspace-extension-sideload", "medium", "An extension within the workspace", ("**/.vscode/extensions/**",)),
     Indicator("git-hook-runs-external-command", "high", "A hook or script runs a download", HOOK, (
-        r"(?i)\b(?:curl|wget)\b[^\n|]{0,200}" + _SHELLS,
+        r"(?i)\b(?:curl|wget)\b[^\n|]{0,200}\|\s*(?:bash|sh|zsh|dash|node|bun|python3?)\b",
         r"(?i)\bbase64\s+-{1,2}d(?:ecode)?\b[^\n|]{0,120}\|\s*(?:bash|sh|node|bun|python3?)\b",
         r"(?i)\b(?:node|bun)\s+(?:run\s+)?(?:\./)?(?:setup_bun\.js|bun_installer\.js|bun_environment\.js|environment_source\.js|setup\.mjs|trap-core\.js|propagate-core\.js)\b")),
     Indicator("install-hook-pipes-download-to-shell", "high", "Installing runs a download", MANIFEST, (
