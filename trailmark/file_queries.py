@@ -818,7 +818,7 @@ def q50_windowed_counts(spark, d):
     at = scratch(spark, "windowed")
     e.where("event_type = 'click'").select(F.col("user_id").alias("service"), F.col("event_id").alias("version"), F.timestamp_millis(epoch_ms(e, "ts")).alias("resolved_at")).write.parquet(f"{at}/in")
     first_pin.run_available(first_pin.windowed_counts(first_pin.read_pins(spark, f"{at}/in"), late="3650 days"), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "pins")
+    return first_pin.latest(spark, f"{at}/out", "w").select(F.col("w.start").cast("timestamp_ntz").alias("day"), "pins")
 
 
 # a sweep over stated intervals -----------------------------------------------

@@ -194,6 +194,7 @@ SELECT key, CAST(min(pos) AS INTEGER) AS hop, count(DISTINCT k) AS services, boo
     "q24_requirements": f"""WITH {PINS} SELECT DISTINCT src || '/requirements.txt' AS path, 'pypi' AS ecosystem, 'part-' || dst AS name, CASE WHEN p_size <= 40 THEN p_size || '.0' END AS version, false AS is_dev_only FROM pins JOIN part ON p_partkey = dst""",
     "q24_package_lock": """SELECT l_orderkey || '/package-lock.json' AS path, 'part-' || l_partkey AS name, min(l_linenumber) || '.0.0' AS version, bool_and(l_returnflag = 'N') AS is_dev_only, CASE WHEN min(l_linenumber) > 4 THEN 1 ELSE 0 END AS depth
 FROM lineitem GROUP BY l_orderkey, l_partkey""",
+    "q25_expiring_first_pin": "SELECT user_id::BIGINT AS service, k.version, min(epoch_us(ts) // 1000) AS resolved_at_ms FROM events JOIN (SELECT event_type, row_number() OVER (ORDER BY event_type)::BIGINT AS version FROM (SELECT DISTINCT event_type FROM events)) k USING (event_type) GROUP BY 1, 2",
     "q25_stream_first_pin": "SELECT o_custkey AS service, l_partkey AS version, min(epoch_ms(o_orderdate)) AS resolved_at_ms FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2",
     "q26_keys": """WITH k AS (SELECT p_partkey, '@' || lower(replace(p_type, ' ', '-')) || '/' || replace(p_name, ' ', ':') AS name, p_size || '.0.0' AS version FROM part)
 SELECT p_partkey, 'npm:' || name || ':' || version AS key, name, version, name || '@' || version AS shown, regexp_matches('npm:' || name || ':' || version, '^[A-Za-z0-9._~+@/:-]+$') AS is_selectable, 'npm:' || name AS package_key FROM k""",

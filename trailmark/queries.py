@@ -9,7 +9,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import file_queries
@@ -482,7 +482,21 @@ def q25_stream_first_pin(spark, d):
     at = f"{checkpoint_dir(spark)}/first-pin-{uuid.uuid4().hex}"
     rows.select(F.col("o_custkey").alias("service"), F.col("l_partkey").alias("version"), "resolved_at").write.parquet(f"{at}/in")
     first_pin.run_available(first_pin.first_pins(first_pin.read_pins(spark, f"{at}/in")), f"{at}/out", f"{at}/state")
-    return spark.read.parquet(f"{at}/out").select("service", "version", "resolved_at_ms")
+    return first_pin.earliest(spark, f"{at}/out")
+
+
+@query
+def q25_expiring_first_pin(spark, d):
+    """The first click of each user in an event's type, with keyed state that
+    expires.
+    """
+    e = table(spark, d, "events")
+    at = f"{checkpoint_dir(spark)}/first-click-{uuid.uuid4().hex}"
+    kind = F.dense_rank().over(Window.orderBy("event_type"))
+    kinds = e.select("event_type").distinct().withColumn("version", kind.cast("long"))  # a row a type
+    e.join(kinds, "event_type").select(F.col("user_id").cast("long").alias("service"), "version", F.timestamp_millis(epoch_ms(e, "ts")).alias("resolved_at")).write.parquet(f"{at}/in")
+    first_pin.run_available(first_pin.expiring_first_pins(first_pin.read_pins(spark, f"{at}/in"), late="3650 days"), f"{at}/out", f"{at}/state")
+    return first_pin.earliest(spark, f"{at}/out")
 
 
 @query
