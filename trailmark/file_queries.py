@@ -552,12 +552,12 @@ def q42_corruption(spark, d):
 
 
 def _round_trip(spark: SparkSession, d: str) -> g.Graph:
-    """Packages and accounts written as one document and read again."""
+    """Packages and accounts written as pieces of a document and read again."""
     graph = project(spark, d)
     small = g.Graph(spark, {"packages": graph.node("packages"), "maintainers": graph.node("maintainers")}, {"maintains": graph.edge("maintains")})
     path = scratch(spark, "snapshot")
-    snapshot.snapshot_json(small, "test", 1).select(F.col("json").alias("value")).write.text(path)
-    return snapshot.read_snapshot(spark, path)
+    snapshot.write_pieces(small, path, "test", 1)
+    return snapshot.read_pieces(spark, path)
 
 
 @query(f"WITH {FACTS} SELECT p_partkey AS id, 'npm:part-' || p_partkey AS key, 'npm' AS ecosystem, 'part-' || p_partkey AS name, lines AS weekly_downloads FROM part LEFT JOIN facts ON id = p_partkey")

@@ -20,6 +20,15 @@ MAX_HOPS = 16
 PATHS = "source long, ordinal long, hop int, tail long, nodes array<long>, edges array<long>"
 
 
+def steps(edges: DataFrame, in_place: bool) -> DataFrame:
+    """``(_at, _to)``: one hop.  A table that is bucketed by ``src`` is read
+    where it lies at each hop, so only the walk's own rows are shuffled; other
+    edges are made distinct and written once.
+    """
+    narrow = edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
+    return narrow if in_place else stored(narrow.distinct(), "steps")[0]
+
+
 def check_bounds(max_hops: int, path_count: int | None = None) -> None:
     if not 1 <= max_hops <= MAX_HOPS:
         raise ValueError(f"max_hops must be from 1 to {MAX_HOPS}, not {max_hops}")
@@ -74,15 +83,16 @@ def paths(edges: DataFrame, seeds: DataFrame, max_hops: int, path_count: int | N
     return found if path_count is None else found.orderBy("hop", "ordinal", "edges").limit(path_count)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, include_seeds: bool = False, most: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int, include_seeds: bool = False, most: int | None = None, in_place: bool = False) -> DataFrame:
     """``(source, node, hop)``: the least number of hops to each node.
 
     ``seeds (source, node)`` may give a source several nodes, at hop 0.  Every
     hop is written once, which also counts it, and an empty one ends the walk;
-    one of over ``most`` rows raises BudgetError with the hops before.
+    one of over ``most`` rows raises BudgetError with the hops before.  With
+    ``in_place`` the edges are read as they are, see ``steps``.
     """
     check_bounds(max_hops)
-    step, _ = stored(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "steps")
+    step = steps(edges, in_place)
     front, n = stored(seeds.select("source", "node", F.lit(0).alias("hop")).distinct(), "reach")
     seen = front
     for hop in range(1, max_hops + 1):
@@ -106,7 +116,7 @@ def as_sets(pairs: DataFrame, source: str, *by: str) -> DataFrame:
     return pairs.groupBy(*by, F.shiftright(source, 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
 
-def reach_sets(edges: DataFrame, members: DataFrame, max_hops: int, most: int | None = None) -> DataFrame:
+def reach_sets(edges: DataFrame, members: DataFrame, max_hops: int, most: int | None = None, in_place: bool = False) -> DataFrame:
     """``(node, word, hop, bits)``: the sources that first reach a node at a hop.
 
     ``members (node, word, bits)`` are those at hop 0, as by ``as_sets``.  A
@@ -115,7 +125,7 @@ def reach_sets(edges: DataFrame, members: DataFrame, max_hops: int, most: int |
     the hops before.
     """
     check_bounds(max_hops)
-    step, _ = stored(edges.select(F.col("src").alias("_at"), F.col("dst").alias("_to")).distinct(), "steps")
+    step = steps(edges, in_place)
     front, n = stored(members.groupBy("node", "word").agg(F.bit_or("bits").alias("bits")).select("node", "word", F.lit(0).alias("hop"), "bits"), "sets")
     levels = front
     for hop in range(1, max_hops + 1):

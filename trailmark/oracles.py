@@ -217,3 +217,4 @@ SELECT coalesce(a.package, b.package) AS package, coalesce(dependents, 0) AS dep
     "q30_event_exposure": """WITH w AS (SELECT user_id, min(CASE WHEN event_type = 'error' THEN epoch_us(ts) // 1000 END) AS a, min(CASE WHEN event_type = 'purchase' THEN epoch_us(ts) // 1000 END) AS b FROM events GROUP BY 1)
 SELECT user_id, count(*) AS clicks, min(epoch_us(ts) // 1000) AS first_ms FROM events JOIN w USING (user_id) WHERE event_type = 'click' AND epoch_us(ts) // 1000 >= a AND epoch_us(ts) // 1000 < b GROUP BY user_id""",
 }
+ORACLES |= {"q05_bucketed_reach": ORACLES["q05_reach"], "q19_partitioned_upsert": ORACLES["q19_upsert"]}

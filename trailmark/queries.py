@@ -17,10 +17,11 @@ from .functions import formats, keys, semver, verdict
 from .operators import bitemporal, blast_radius, history, introduced, lockfile, maintainers, persistence, replay, routes, scan, traverse, typosquat
 from .operators import graph as g
 from .oracles import ORACLES
-from .plans import build, merge
+from .plans import build, merge, upsert
 from .plans.projection import epoch_ms, maintains, most_depended_on, named_packages, part_facts, plain_packages, project, resolved, resolves_to, table
+from .sources import edge_tables
 from .sources.registries import select_versions
-from .storage import checkpoint_dir
+from .storage import checkpoint_dir, scratch
 from .streaming import first_pin
 
 HOPS = 8
@@ -100,6 +101,14 @@ def q05_reach(spark, d):
     return traverse.reach(dependents(spark, d), seeds, HOPS)
 
 
+@query
+def q05_bucketed_reach(spark, d):
+    """The same from tables bucketed by the ends of their edges."""
+    seeds = most_depended_on(spark, d).select(F.col("node").alias("source"), "node")
+    tables = edge_tables.scratch_tables(g.Graph(spark, {}, {"resolves_to": resolves_to(spark, d)}), ("resolves_to",), 16)
+    return traverse.reach(tables.backwards("resolves_to"), seeds, HOPS, in_place=True)
+
+
 @query
 def q05_version_exposures(spark, d):
     found = blast_radius.reachable_by_counts(dependents(spark, d), most_depended_on(spark, d), HOPS)
@@ -398,6 +407,16 @@ def q19_upsert(spark, d):
     return merge.upsert_nodes(first, second)
 
 
+@query
+def q19_partitioned_upsert(spark, d):
+    """The same into a table of which only the touched partitions are rewritten."""
+    first, second = _readings(spark, d)
+    at, schema = scratch(spark, "by-id"), ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
+    upsert.write_by_id(first, at, 16)
+    upsert.upsert_by_id(spark, at, second.select(*first.columns), schema, 16)
+    return upsert.read_by_id(spark, at, schema).select(*first.columns)
+
+
 @query
 def q20_integrity(spark, d):
     """Lines that repeat an (order, number) pair, and orders without lines."""
