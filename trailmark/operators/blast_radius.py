@@ -115,9 +115,9 @@ def bounded_reach(edges: DataFrame, seeds: DataFrame, bounds: Bounds) -> Bounded
     """The first ``path_count`` routes from ``seeds``, by hops, and what they
     reach.
 
-    Routes are counted first.  Only where there are as many as ``path_count``
-    or more are they listed, up to the hop where that number is met; a hop
-    with over ``paths_a_level`` of them is left out, and stops the search.
+    Routes are counted first.  A hop with over ``paths_a_level`` of them is
+    left out, and stops the search; only where there are as many as
+    ``path_count`` or more are they listed, up to the hop where that is met.
     """
     stopped, hops = None, bounds.max_hops
     try:
@@ -127,15 +127,16 @@ def bounded_reach(edges: DataFrame, seeds: DataFrame, bounds: Bounds) -> Bounded
         counts = route_counts(edges, seeds, max(1, hops), bounds.paths_a_level).where(F.col("hop") <= hops)
     counts, _ = stored(counts, "counts")
     sizes = {r["hop"]: r["n"] for r in counts.groupBy("hop").agg(total(F.col("n")).alias("n")).collect()}  # a row a hop
-    sum_, full = 0, 0
+    sum_, full, listing = 0, 0, False
     for hop in sorted(sizes):
+        if sizes[hop] > bounds.paths_a_level:
+            stopped = str(BudgetError(full, bounds.paths_a_level))
+            break
         if sum_ + sizes[hop] >= bounds.path_count:
+            listing = True
             break
         sum_, full = sum_ + sizes[hop], hop
-    if full == max(sizes, default=0):
-        return BoundedReach(counted(counts, shortest_routes(edges, seeds, max(1, hops))), sum_, full, stopped)
-    if sizes[full + 1] > bounds.paths_a_level:
-        stopped = str(BudgetError(full, bounds.paths_a_level))
+    if not listing:
         counts = counts.where(F.col("hop") <= full)
         return BoundedReach(counted(counts, shortest_routes(edges, seeds, max(1, full)).where(F.col("hop") <= full)), sum_, full, stopped)
     found = paths(edges, seeds, full + 1, bounds.path_count, checkpoint=True).persist()
