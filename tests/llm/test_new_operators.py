@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import fim, hard_negatives, mixing, packing, queries, sharding
+from trailmark.llm import ann, fim, hard_negatives, mixing, packing, queries, sharding
 
 # 11 --------------------------------------------------------------------------
 
@@ -301,3 +301,14 @@ def test_schedules_without_weight_and_with_steps(spark):
     for bad in (((0.0, 1.0),), ((0.0, 1.0), (0.9, 1.0)), ((0.0, 1.0), (0.6, 1.0), (0.5, 1.0), (1.0, 1.0)), ((0.0, -1.0), (1.0, 1.0))):
         with pytest.raises(ValueError, match="knots"):
             mixing.Schedule(bad)
+
+
+# 1 ---------------------------------------------------------------------------
+
+
+def test_neighbours_in_double_precision(spark):
+    """Vectors that single precision can't tell apart, under dotted names."""
+    rows = [(i, [1e8 + 0.25 * i, 1.0]) for i in range(40)]
+    df = spark.createDataFrame(rows, "`v.id` long, `v.v` array<double>")
+    got = ann.nearest(df, F.col("_id") % 20 == 0, k=3, id_col="v.id", vector_col="v.v").orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 0.25), (0, 2, 0.5), (0, 3, 0.75), (20, 19, 0.25), (20, 21, 0.25), (20, 18, 0.5)]

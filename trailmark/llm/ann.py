@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import quoted, written
 
 
 @dataclass(frozen=True)
@@ -53,13 +53,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 1) -> np.ndarray
     """Centroids of ``k`` clusters; empty ones restart at a random vector."""
     rng = np.random.default_rng(seed)
     k = max(1, min(k, len(x)))
-    c = x[rng.choice(len(x), k, replace=False)].astype(np.float32)
+    c = x[rng.choice(len(x), k, replace=False)].astype(x.dtype)
     for _ in range(rounds):
         at = _nearest(x, c)
         n = np.bincount(at, minlength=k)
         sums = np.zeros_like(c, dtype=np.float64)
         np.add.at(sums, at, x)
-        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(len(x), size=k)]).astype(np.float32)
+        c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(len(x), size=k)]).astype(x.dtype)
     return c
 
 
@@ -117,8 +117,8 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def _matrix(column: pd.Series, d: int) -> np.ndarray:
-    return np.concatenate(column.tolist()).astype(np.float32).reshape(-1, d) if len(column) else np.empty((0, d), np.float32)
+def _matrix(column: pd.Series, d: int, kind: type = np.float32) -> np.ndarray:
+    return np.concatenate(column.tolist()).astype(kind).reshape(-1, d) if len(column) else np.empty((0, d), kind)
 
 
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -136,7 +136,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, plan: IvfPlan | N
     vectors nothing is.  Other columns are not read.
     """
     spark, plan = vectors.sparkSession, plan or IvfPlan()
-    rows = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vector_col).alias("_v")).where(F.col("_id").isNotNull() & usable(F.col("_v")))
+    rows = vectors.select(quoted(id_col).cast("long").alias("_id"), quoted(vector_col).alias("_v")).where(F.col("_id").isNotNull() & usable(F.col("_v")))
     lengths = rows.groupBy(F.size("_v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not lengths:
         return spark.createDataFrame([], RESULT)
@@ -148,26 +148,31 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, plan: IvfPlan | N
     n = classes.count()
     sample = classes.orderBy(F.xxhash64("_v"), "node").limit(plan.train_rows).select("_v").toPandas()["_v"]
     n_cells = max(1, min(plan.max_cells, round(n**0.5)))
-    sample = _matrix(sample, d)
+    # vectors keep their own precision all the way; only single ones are held as such
+    single = classes.schema["_v"].dataType.elementType.simpleString() == "float"
+    kind, column = (np.float32, "array<float>") if single else (np.float64, "array<double>")
+    classes = classes if single else classes.withColumn("_v", F.col("_v").cast(column))
+    rows = rows if single else rows.withColumn("_v", F.col("_v").cast(column))
+    sample = _matrix(sample, d, kind)
     quantiser = fit(sample, n_cells, plan)
     held = spark.sparkContext.broadcast(quantiser)
     probes = calibrated_probes(sample, quantiser, k, plan)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cell, code = held.value.encode(_matrix(pdf["_v"], d))
+            cell, code = held.value.encode(_matrix(pdf["_v"], d, kind))
             yield pd.DataFrame({"cell": cell, "node": pdf["node"], "code": [c.tobytes() for c in code], "v": pdf["_v"]})
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value.centroids
         half = (c * c).sum(axis=1) / 2
         for pdf in batches:
-            near = np.argpartition(half - _matrix(pdf["_v"], d) @ c.T, probes - 1, axis=1)[:, :probes]
+            near = np.argpartition(half - _matrix(pdf["_v"], d, kind) @ c.T, probes - 1, axis=1)[:, :probes]
             yield pd.DataFrame({"cell": near.ravel(), "query": np.repeat(pdf["query"].to_numpy(), probes), "v": [v for v in pdf["_v"] for _ in range(probes)]})
 
-    index = written(classes.mapInPandas(encoded, "cell int, node long, code binary, v array<float>"), "ivf-index")
+    index = written(classes.mapInPandas(encoded, f"cell int, node long, code binary, v {column}"), "ivf-index")
     asked = rows.where(is_query).select("_id", "_v")
-    queries = asked.groupBy("_v").agg(F.min("_id").alias("query")).select("query", "_v").mapInPandas(routed, "cell int, query long, v array<float>")
+    queries = asked.groupBy("_v").agg(F.min("_id").alias("query")).select("query", "_v").mapInPandas(routed, f"cell int, query long, v {column}")
     queries = written(queries, "ivf-queries")
 
     # at most max_cells rows each, one per cell
@@ -181,9 +186,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, plan: IvfPlan | N
     def searched(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(asked):
             return pd.DataFrame({"query": [], "node": [], "dist": []})
-        x, node = _matrix(block["v"], d), block["node"].to_numpy()
+        x, node = _matrix(block["v"], d, kind), block["node"].to_numpy()
         code = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(x), -1)
-        q, out = _matrix(asked["v"], d), []
+        q, out = _matrix(asked["v"], d, kind), []
         for s in range(0, len(q), 256):
             part = q[s : s + 256]
             approx = np.zeros((len(part), len(x)), np.float32)
