@@ -113,6 +113,9 @@ UNION ALL SELECT dst, min(ms), 'resolved', src, 1 FROM pins JOIN w ON id = dst W
     "q08_as_of": f"""{EXPOSED} SELECT source, CASE WHEN resolved_at_ms <= 883612800000 THEN 'kept' ELSE 'later' END AS bucket, count(*) AS services, min(hop) AS nearest FROM exposed GROUP BY ALL""",
     "q09_introduced": f"""WITH {FACTS} SELECT 'GHSA-' || id AS advisory_key, 'npm:part-' || id AS package_key, 'npm:part-' || id || ':' || p_size || '.0.0' AS introduced_key, p_size || '.0.0' AS stated_introduced,
 CAST(1 AS BIGINT) AS n_versions, CAST(0 AS BIGINT) AS n_undecidable, CASE WHEN p_size % 3 = 2 THEN 'unknown' ELSE 'exposed' END AS verdict FROM facts JOIN part ON id = p_partkey WHERE dis IS NOT NULL""",
+    "q09_rationales": f"""WITH {FACTS} SELECT 'GHSA-' || id AS advisory_key, p_size || '.0.0' AS introduced_version, CAST(NULL AS VARCHAR) AS stated_fixed, 'First affected is ' || p_size || '.0.0, no fix stated. ' ||
+CASE p_size % 3 WHEN 0 THEN 'A path exists, and the search was complete.' WHEN 1 THEN 'A path exists; the search was cut short, so there may be more.' ELSE 'npm:part-' || id || ' was never loaded, so nothing is known about it.' END AS rationale
+FROM facts JOIN part ON id = p_partkey WHERE dis IS NOT NULL""",
     "q09_affected_order": f"""WITH {FACTS}, v AS (SELECT p_name AS package_key, 'npm:' || p_name || ':' || p_size || '.' || (p_partkey % 7) || '.0' || ':' || p_partkey AS version_key, CASE WHEN p_size > 25 THEN pub END AS p, p_size, p_partkey % 7 AS minor FROM part LEFT JOIN facts ON id = p_partkey)
 SELECT package_key, version_key, CAST(row_number() OVER (PARTITION BY package_key ORDER BY p NULLS LAST, p_size, minor, version_key) AS INTEGER) AS rank FROM v""",
     "q10_affected_versions": f"""WITH v AS (SELECT p_partkey, {PART_VERSION} AS version, [p_size, p_partkey % 10, p_partkey % 3] AS k, CAST(substr(p_brand, 7, 9) AS INTEGER) AS b FROM part)

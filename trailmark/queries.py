@@ -158,6 +158,12 @@ def q09_introduced(spark, d):
     return introduced.introduced_versions(graph).select("advisory_key", "package_key", "introduced_key", "stated_introduced", "n_versions", "n_undecidable", "verdict")
 
 
+@query
+def q09_rationales(spark, d):
+    """What is said of the introducing version of every advisory."""
+    return introduced.introduced_versions(project(spark, d)).select("advisory_key", "introduced_version", "stated_fixed", "rationale")
+
+
 @query
 def q09_affected_order(spark, d):
     """Versions by name, ordered by publication, precedence and key."""
