@@ -10,7 +10,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from trailmark.llm import ann, fim, hard_negatives, mixing, packing, queries, sharding
+from trailmark.llm import ann, fim, hard_negatives, html_crf, langid, mixing, packing, quality, queries, sharding
 
 # 11 --------------------------------------------------------------------------
 
@@ -312,3 +312,19 @@ def test_neighbours_in_double_precision(spark):
     df = spark.createDataFrame(rows, "`v.id` long, `v.v` array<double>")
     got = ann.nearest(df, F.col("_id") % 20 == 0, k=3, id_col="v.id", vector_col="v.v").orderBy("query_id", "rank").collect()
     assert [(r["query_id"], r["vec_id"], r["score"]) for r in got] == [(0, 1, 0.25), (0, 2, 0.5), (0, 3, 0.75), (20, 19, 0.25), (20, 21, 0.25), (20, 18, 0.5)]
+
+
+# 4, 6 and 10 -----------------------------------------------------------------
+
+
+def test_dotted_names(spark, sf, docs):
+    few = docs.where("doc_id < 60").select(F.col("doc_id").alias("d.id"), F.col("lang").alias("l.l"), F.col("text").alias("t.t"))
+    model = langid.train(few, id_col="d.id", lang_col="l.l", text_col="t.t")
+    plain = langid.train(docs.where("doc_id < 60"))
+    got = {r[0]: r[1] for r in langid.with_language(few, model, text_col="t.t").select("`d.id`", "prediction.lang").collect()}
+    assert got == {r[0]: r[1] for r in langid.with_language(docs.where("doc_id < 60"), plain).select("doc_id", "prediction.lang").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet").withColumnsRenamed({"doc_id": "d.id", "quality": "q.q"})
+    good = quality.train(docs.withColumnsRenamed({"doc_id": "d.id", "text": "t.t"}), labels, id_col="d.id", text_col="t.t", label_col="q.q")
+    assert few.select(quality.score_column(few, good, text_col="t.t").alias("s")).where("s BETWEEN 0 AND 1").count() == few.count()
+    pages = spark.createDataFrame([("<html><body><article><p>Some words of an article that is long enough to stay.</p></article></body></html>",)], "`h.h` string")
+    assert html_crf.with_main_text(pages, html_col="h.h").select("main.n_chars").first()[0] > 0

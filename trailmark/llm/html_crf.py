@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import quoted, text_batches
 
 # Element names of HTML, and of MathML and SVG where they stand in a line.
 INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr
@@ -438,7 +438,7 @@ def with_main_text(pages: DataFrame, field: ChainField | None = None, html_col:
         texts = [main_text(h if isinstance(h, str) else None, held.value) for h in htmls]
         return pd.DataFrame({"text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.withColumn(out, extract(F.col(html_col)))
+    return pages.withColumn(out, extract(quoted(html_col)))
 
 
 def token_f1(found: str, wanted: str) -> float:

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, text_batches
+from .common import cut, quoted, text_batches
 
 #: Documents that training takes, in expectation, of all languages together.
 MAX_TRAIN = 8000
@@ -201,18 +201,18 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     """
     spark = docs.sparkSession
     text_batches(spark)
-    known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    known = docs.where(quoted(lang_col).isNotNull() & quoted(text_col).isNotNull())
     if may_learn is not None:
         known = known.where(may_learn)
-    known = known.select(id_col, lang_col, text_col)
-    sizes = known.groupBy(lang_col).agg(F.count("*").alias("_n"))  # a row per language
-    languages = tuple(sorted(r[0] for r in sizes.select(lang_col).toLocalIterator()))
+    known = known.select(quoted(id_col).alias("_id"), quoted(lang_col).alias("_lang"), quoted(text_col).alias("_text"))
+    sizes = known.groupBy("_lang").agg(F.count("*").alias("_n"))  # a row per language
+    languages = tuple(sorted(r[0] for r in sizes.select("_lang").toLocalIterator()))
     pieces = read_pieces(vocabulary or default_vocabulary())
     if not languages:
         return LanguageModel((), pieces, np.zeros((len(pieces), 0)))
     part = -(-max_train // len(languages))
-    draw = F.xxhash64(F.col(id_col), F.col(text_col)).bitwiseAND(F.lit(2**63 - 1)) / F.lit(float(2**63))
-    known = known.join(F.broadcast(sizes), lang_col).where(draw * F.col("_n") < part)
+    draw = F.xxhash64("_id", "_text").bitwiseAND(F.lit(2**63 - 1)) / F.lit(float(2**63))
+    known = known.join(F.broadcast(sizes), "_lang").where(draw * F.col("_n") < part)
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
@@ -225,7 +225,7 @@ def train(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
         if total:
             yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["lang", "word", "n"])
 
-    words = known.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInPandas(counted, "lang string, word string, n long")
+    words = known.select(F.col("_lang").alias("lang"), F.col("_text").alias("text")).mapInPandas(counted, "lang string, word string, n long")
     words = cut(words.groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(spark.sparkContext.defaultParallelism, "word"))
     number = {lang: i for i, lang in enumerate(languages)}
     p = np.full((len(pieces), len(languages)), 1.0 / len(pieces))
@@ -306,4 +306,4 @@ def with_language(docs: DataFrame, model: LanguageModel, text_col: str = "text",
         langs, scores = scorers[0].predict([t if isinstance(t, str) else None for t in texts])
         return pd.DataFrame({"lang": langs, "score": scores})
 
-    return docs.withColumn(out, predict(F.col(text_col)))
+    return docs.withColumn(out, predict(quoted(text_col)))

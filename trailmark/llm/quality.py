@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_batches
+from .common import quoted, text_batches
 
 BITS = 20
 N_FEATURES = 1 << BITS
@@ -181,10 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     its feature sets reach the driver.
     """
     text_batches(docs.sparkSession)
-    known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    known = labels.where(quoted(label_col).isNotNull() & quoted(id_col).isNotNull())
     if may_learn is not None:
         known = known.where(may_learn)
-    known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("_y"))
+    known = known.groupBy(quoted(id_col).alias("_id")).agg((F.avg(quoted(label_col)) >= 0.5).cast("int").alias("_y"))
     sample = known.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
 
     @F.pandas_udf("binary")
@@ -192,7 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
         hasher = Hasher()
         return pd.Series([hasher.features(t).tobytes() for t in texts], dtype=object)
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(F.broadcast(sample), "_id")
+    rows = docs.select(quoted(id_col).alias("_id"), quoted(text_col).cast("binary").alias("_text")).join(F.broadcast(sample), "_id")
     got = sorted(rows.select("_id", "_y", featured("_text").alias("f")).toLocalIterator(), key=lambda r: (r[0], r[2]))
     order = np.random.default_rng(1).permutation(len(got))
     return fit([np.frombuffer(got[i][2], np.uint32) for i in order], np.array([got[i][1] for i in order], np.int64))
@@ -213,7 +213,7 @@ def score_column(docs: DataFrame, model: NbSvm, text_col: str = "text") -> Colum
         m, hasher = held.value, hashers[0]
         return pd.Series([m.score(hasher.features(t)) for t in texts], dtype="float64")
 
-    return score(F.col(text_col).cast("binary"))
+    return score(quoted(text_col).cast("binary"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **how) -> DataFrame:
