@@ -17,7 +17,7 @@ from .operators import graph as g
 from .operators import history, lockfile, maintainers, persistence, replay, scan, sweep, typosquat
 from .operators.blast_radius import Bounds, blast_radius
 from .oracles import DEPS, FACTS, LEVEL, MAIN, PART_VERSION, PINS, SCAN, SEEDS, SURFACES, names, walk
-from .plans import build, incidents, merge
+from .plans import build, coverage_record, incidents, merge
 from .plans.projection import epoch_ms, maintains, most_depended_on, named_packages, part_facts, plain_packages, project, resolved, resolves_to, table
 from .sources import packs, registries, snapshot
 from .sources.indicators import CATALOGUE
@@ -507,6 +507,23 @@ def q42_merged_edges(spark, d):
     return merge.merge_edges(merge.keyed_edges(half("dst % 3 < 2"), "maintains"), merge.keyed_edges(half("dst % 3 > 0"), "maintains"))
 
 
+@query(f"""WITH {FACTS}, {DEPS}, {PINS}, c AS (SELECT CASE WHEN p_size < 30 AND p_size > 10 THEN least(2 - p_size % 2, CASE WHEN p_size % 3 = 0 THEN 2 ELSE 1 END) WHEN p_size < 30 THEN 2 - p_size % 2 WHEN p_size % 3 = 0 THEN 2 ELSE 1 END AS level FROM part)
+SELECT 'closed' AS name, count(*) AS n FROM c WHERE level = 2 UNION ALL SELECT 'partial', count(*) FROM c WHERE level = 1 UNION ALL SELECT 'packages', count(*) FROM part UNION ALL SELECT 'versions', count(*) FROM part
+UNION ALL SELECT 'maintainers', count(*) FROM supplier UNION ALL SELECT 'services', count(*) FROM customer UNION ALL SELECT 'advisories', count(dis) FROM facts UNION ALL SELECT 'resolution_edges', (SELECT count(*) FROM deps) + (SELECT count(*) FROM pins)""")
+def q42_live_coverage(spark, d):
+    """Two runs write into one graph, each recording the claims of its half:
+    the sizes and claims that are then on record.
+    """
+    graph, part, at = project(spark, d), table(spark, d, "part"), scratch(spark, "record")
+    claim = lambda rows, level: rows.select(F.lit("package").alias("subject_kind"), F.concat(F.lit("npm:part-"), F.col("p_partkey").cast("string")).alias("key"), level.cast("int").alias("level"))
+    half = g.Graph(spark, {k: v for k, v in graph.nodes.items() if k != "services"}, {k: v for k, v in graph.edges.items() if k != "resolved"})
+    coverage_record.record_coverage(half, claim(part.where("p_size < 30"), 2 - F.col("p_size") % 2), at, 1, ["registry"])
+    coverage_record.record_coverage(graph, claim(part.where("p_size > 10"), F.when(F.col("p_size") % 3 == 0, 2).otherwise(1)), at, 2, ["incident"])
+    sizes = coverage_record.read_record(spark, at).select(*[F.col(c).cast("long") for c in coverage_record.SIZES]).unpivot([], coverage_record.SIZES, "name", "n")
+    levels = coverage_record.recorded_claims(spark, at).agg(F.count_if(F.col("level") == 2).alias("closed"), F.count_if(F.col("level") == 1).alias("partial"))
+    return sizes.unionByName(levels.unpivot([], ["closed", "partial"], "name", "n"))
+
+
 @query(f"""WITH {MAIN} SELECT 'packages' AS name, count(*) AS n FROM part WHERE p_size <> 25 UNION ALL SELECT 'maintainers', count(*) FROM supplier
 UNION ALL SELECT 'maintains', count(*) FROM main JOIN part ON p_partkey = dst WHERE p_size <> 25 UNION ALL SELECT 'downloads', count(l) FROM (SELECT p_size, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS l FROM part WHERE p_size <> 25)
 UNION ALL SELECT 'issues', 0""")
@@ -809,6 +826,34 @@ def q49_sentences(spark, d):
     return rows.select("suspect", "target", typosquat.describe_signal(F.col("s")).alias("said"))
 
 
+IMITATED = f"""WITH p AS {names("-", False)}, n AS (SELECT name, dl FROM p UNION ALL SELECT name || 'x', CASE WHEN length(name) % 2 = 0 THEN -1 ELSE 0 END FROM p),
+f AS (SELECT s.name AS suspect, t.name AS target, t.dl AS tdl, CASE WHEN s.dl < 0 OR t.dl < 0 THEN 'medium' ELSE 'high' END AS confidence FROM n s JOIN n t ON s.name <> t.name AND abs(length(s.name) - length(t.name)) <= 1
+  AND CASE WHEN abs(length(s.name) - length(t.name)) <= 1 THEN damerau_levenshtein(s.name, t.name) <= 1 ELSE false END WHERE s.dl < 0 OR t.dl < 0 OR t.dl / greatest(s.dl, 1) >= 10),
+r AS (SELECT *, row_number() OVER (PARTITION BY suspect ORDER BY confidence, tdl DESC, target) AS rank FROM f)"""
+
+
+def _imitated(spark: SparkSession, d: str) -> DataFrame:
+    """Part names, and each with a letter more that nobody downloads (names of
+    odd length) or of which that isn't known.
+    """
+    plain = plain_packages(spark, d)
+    copies = plain.select("ecosystem", F.concat("name", F.lit("x")).alias("name"), F.when(F.length("name") % 2 == 1, 0).cast("long").alias("weekly_downloads"))
+    return typosquat.corpus_scan(plain.unionByName(copies), options=typosquat.Options(max_distance=1, min_ratio=10, max_findings=3))
+
+
+@query(f"{IMITATED} SELECT 'npm' AS ecosystem, suspect, target, 1 AS edit_distance FROM r WHERE rank <= 3 AND confidence = 'high'")
+def q49_imitated_edges(spark, d):
+    """Edges of findings that a gap of popularity confirms."""
+    return typosquat.edge_facts(typosquat.at_floor(_imitated(spark, d), "high"))
+
+
+@query(f"""{IMITATED}, u AS (SELECT least(suspect, target) AS a, greatest(suspect, target) AS b, min(confidence) AS confidence, count(*) > 1 AS two_sided FROM r WHERE rank <= 3 GROUP BY 1, 2)
+SELECT confidence, count(*) AS pairs, count(CASE WHEN two_sided THEN 1 END) AS mirrored FROM u GROUP BY confidence""")
+def q49_mirrored_tiers(spark, d):
+    """Unordered pairs by confidence; those of unknown popularity are found from both sides."""
+    return typosquat.count_by_confidence(typosquat.fold_mirrored(_imitated(spark, d)))
+
+
 @query("SELECT date_trunc('day', ts) AS day, count(*) AS pins FROM events WHERE event_type = 'click' GROUP BY 1")
 def q50_windowed_counts(spark, d):
     """Clicks a day from a stream, read to its end."""
