@@ -6,6 +6,7 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -328,3 +329,38 @@ def test_dotted_names(spark, sf, docs):
     assert few.select(quality.score_column(few, good, text_col="t.t").alias("s")).where("s BETWEEN 0 AND 1").count() == few.count()
     pages = spark.createDataFrame([("<html><body><article><p>Some words of an article that is long enough to stay.</p></article></body></html>",)], "`h.h` string")
     assert html_crf.with_main_text(pages, html_col="h.h").select("main.n_chars").first()[0] > 0
+
+
+def _tight():
+    """A cloud of near copies within rows that are scattered wide."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16))
+    x[::2] = 3 + 1e-3 * x[::2]
+    return x
+
+
+def _strangers():
+    """Clusters, and queries that lie outside of all of them."""
+    rng = np.random.default_rng(6)
+    x = 4 * rng.normal(size=(60, 16))[rng.integers(60, size=6000)] + 0.3 * rng.normal(size=(6000, 16))
+    x[::50] = 4 * rng.normal(size=(120, 16))
+    return x
+
+
+def _offset():
+    """Rows far from the origin, nearer to each other than single precision squares tell."""
+    return 3000 + np.random.default_rng(7).normal(size=(3000, 16))
+
+
+@pytest.mark.parametrize("made", [_tight, _strangers, _offset])
+def test_neighbours_recall_on_other_rows(spark, made):
+    x = made().astype(np.float32)
+    rows = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), "vec_id long, embedding array<float>")
+    found = ann.nearest(rows, F.col("_id") % 50 == 0).toPandas()
+    exact = []
+    for q in range(0, len(x), 50):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(axis=1))
+        d[q] = np.inf
+        exact += [(q, v) for v in np.lexsort((np.arange(len(x)), d))[:10]]
+    exact = pd.DataFrame(exact, columns=["query_id", "vec_id"])
+    assert len(found) == len(exact) and ann.recall(found, exact) >= 0.95

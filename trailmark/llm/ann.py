@@ -2,16 +2,18 @@
 
 Coarse centroids and residual codebooks are fitted on a bounded sample; every
 distinct vector is put into the cell of its nearest centroid with the code of
-its residual.  A query visits its nearest cells, ranks their vectors by
-asymmetric distance tables, and reranks the best by exact distance.  Cells are
-searched in blocks of bounded size, so a cell with many vectors or many
-queries becomes several tasks.  Equal vectors are indexed once: among them
-only the smallest ids can be among the nearest.
+its residual, and with that code's error.  A query visits its nearest cells and
+bounds the distance of their vectors by asymmetric tables and those errors; all
+that the bounds let pass are reranked by exact distance, so nothing is lost
+within a cell.  How many cells are visited is calibrated by brute force of some
+queries against all vectors.  Cells are searched in blocks of bounded size, so
+a cell with many vectors or many queries becomes several tasks.  Equal vectors
+are indexed once: among them only the smallest ids can be among the nearest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,9 +28,9 @@ from .common import quoted, written
 class IvfPlan:
     """``train_rows`` distinct vectors, by hash, fit the centroids and
     codebooks.  There are about sqrt(rows) cells, ``max_cells`` at most; a
-    query visits so many that ``recall`` of the sample's own neighbours lie in
-    them, ``min_probes`` at least, and reranks ``rerank`` vectors of each
-    block.  ``sub`` dimensions share a codebook of ``codes`` entries.
+    query visits so many that ``recall`` of the neighbours of ``calibration``
+    queries lie in them, ``min_probes`` at least.  ``sub`` dimensions share a
+    codebook of ``codes`` entries.
     """
 
     train_rows: int = 20_000
@@ -36,7 +38,6 @@ class IvfPlan:
     recall: float = 0.98
     min_probes: int = 8
     calibration: int = 400
-    rerank: int = 64
     sub: int = 4
     codes: int = 256
     block_rows: int = 4096
@@ -71,10 +72,13 @@ class Quantiser:
     groups: list[slice]
     books: list[np.ndarray]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, code and the code's error (a distance) of each vector."""
         cell = _nearest(x, self.centroids)
         rest = x - self.centroids[cell]
-        return cell, np.column_stack([_nearest(rest[:, g], b) for g, b in zip(self.groups, self.books, strict=True)]).astype(np.uint8)
+        code = np.column_stack([_nearest(rest[:, g], b) for g, b in zip(self.groups, self.books, strict=True)]).astype(np.uint8)
+        off = sum(((rest[:, g] - b[c]) ** 2).sum(axis=1) for g, b, c in zip(self.groups, self.books, code.T, strict=True))
+        return cell, code, np.sqrt(off)
 
     def tables(self, q: np.ndarray, cell: int) -> list[np.ndarray]:
         """Squared distance of each query's residual to each codebook entry."""
@@ -89,25 +93,29 @@ def fit(sample: np.ndarray, n_cells: int, plan: IvfPlan) -> Quantiser:
     return Quantiser(centroids, groups, [kmeans(rest[:, g], plan.codes, seed=plan.seed + 1 + i) for i, g in enumerate(groups)])
 
 
-def calibrated_probes(sample: np.ndarray, q: Quantiser, k: int, plan: IvfPlan) -> int:
-    """How many of a query's nearest cells hold ``recall`` of its ``k`` nearest
-    vectors, measured by brute force within the sample.  The sample is sparser
-    than the whole, so its neighbours lie farther off and the count errs high.
+def calibrated_probes(index: DataFrame, asked: np.ndarray, q: Quantiser, ready: Callable[[pd.Series], np.ndarray], k: int, plan: IvfPlan) -> int:
+    """How many of their nearest cells hold ``recall`` of the ``k`` nearest
+    vectors of some queries (``asked``), by brute force over the whole index.
     """
-    rng = np.random.default_rng(plan.seed)
-    at = rng.choice(len(sample), min(plan.calibration, len(sample)), replace=False)
-    cell, half, norms = _nearest(sample, q.centroids), (q.centroids**2).sum(axis=1) / 2, (sample**2).sum(axis=1) / 2
-    k, ranks = min(k, len(sample) - 1), []
-    for i in range(0, len(at) if k else 0, 100):
-        x = sample[at[i : i + 100]]
-        far = norms - x @ sample.T
-        far[np.arange(len(x)), at[i : i + 100]] = np.inf
-        near = np.argpartition(far, k - 1, axis=1)[:, :k]
-        order = np.argsort(half - x @ q.centroids.T, axis=1)
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(len(q.centroids))[None], 1)
-        ranks.append(np.take_along_axis(rank, cell[near], 1).ravel())
-    needed = int(np.quantile(np.concatenate(ranks), plan.recall)) + 1 if ranks else 1
+    rank = np.argsort(np.argsort((q.centroids**2).sum(axis=1) / 2 - asked @ q.centroids.T, axis=1), axis=1)
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        far, cell = np.full((len(asked), k), np.inf), np.zeros((len(asked), k), np.int64)
+        for pdf in batches:
+            for i in range(0, len(pdf), 4096):
+                x = ready(pdf["v"].iloc[i : i + 4096])
+                d = (x * x).sum(axis=1) - 2 * asked @ x.T + (asked * asked).sum(axis=1)[:, None]
+                d[(x[None, :, 0] == asked[:, None, 0]) & (d <= 1e-12 * (1 + (asked * asked).sum(axis=1)[:, None]))] = np.inf  # itself
+                far = np.concatenate((far, d), axis=1)
+                cell = np.concatenate((cell, np.broadcast_to(pdf["cell"].to_numpy()[i : i + 4096], d.shape)), axis=1)
+                best = np.argpartition(far, k - 1, axis=1)[:, :k]
+                far, cell = np.take_along_axis(far, best, 1), np.take_along_axis(cell, best, 1)
+        yield pd.DataFrame({"q": np.repeat(np.arange(len(asked)), k), "dist": far.ravel(), "cell": cell.ravel()})
+
+    found = index.select("cell", "v").mapInPandas(near, "q int, dist double, cell int").where("dist < double('infinity')")
+    first = F.row_number().over(Window.partitionBy("q").orderBy("dist"))
+    found = found.withColumn("_n", first).where(F.col("_n") <= k).select("q", "cell").toPandas()  # calibration x k rows
+    needed = int(np.quantile(rank[found["q"], found["cell"]], plan.recall)) + 1 if len(found) else 1
     return min(len(q.centroids), max(plan.min_probes, needed))
 
 
@@ -153,52 +161,80 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, plan: IvfPlan | N
     kind, column = (np.float32, "array<float>") if single else (np.float64, "array<double>")
     classes = classes if single else classes.withColumn("_v", F.col("_v").cast(column))
     rows = rows if single else rows.withColumn("_v", F.col("_v").cast(column))
-    sample = _matrix(sample, d, kind)
-    quantiser = fit(sample, n_cells, plan)
+    sample = _matrix(sample, d, np.float64)
+    # around the middle and on one scale, so that squares keep their digits
+    middle = np.median(sample, axis=0)
+    scale = np.abs(sample - middle).max() or 1.0
+
+    def ready(column: pd.Series) -> np.ndarray:
+        return (_matrix(column, d, np.float64) - middle) / scale
+
+    quantiser = fit((sample - middle) / scale, n_cells, plan)
     held = spark.sparkContext.broadcast(quantiser)
-    probes = calibrated_probes(sample, quantiser, k, plan)
 
     def encoded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            cell, code = held.value.encode(_matrix(pdf["_v"], d, kind))
-            yield pd.DataFrame({"cell": cell, "node": pdf["node"], "code": [c.tobytes() for c in code], "v": pdf["_v"]})
+            cell, code, off = held.value.encode(ready(pdf["_v"]))
+            yield pd.DataFrame({"cell": cell, "node": pdf["node"], "code": [c.tobytes() for c in code], "off": off, "v": pdf["_v"]})
+
+    index = written(classes.mapInPandas(encoded, f"cell int, node long, code binary, off double, v {column}"), "ivf-index")
+    asked = rows.where(is_query).select("_id", "_v")
+    distinct = asked.groupBy("_v").agg(F.min("_id").alias("query"))
+    some = distinct.orderBy(F.xxhash64("query"), "query").limit(plan.calibration).select("_v").toPandas()["_v"]
+    probes = calibrated_probes(index, ready(some), quantiser, ready, k, plan)
+    filled = {r["cell"]: r["n"] for r in index.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # a row a cell
+    filled = np.array([filled.get(c, 0) for c in range(len(quantiser.centroids))])
 
     def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = held.value.centroids
         half = (c * c).sum(axis=1) / 2
         for pdf in batches:
-            near = np.argpartition(half - _matrix(pdf["_v"], d, kind) @ c.T, probes - 1, axis=1)[:, :probes]
-            yield pd.DataFrame({"cell": near.ravel(), "query": np.repeat(pdf["query"].to_numpy(), probes), "v": [v for v in pdf["_v"] for _ in range(probes)]})
+            for i in range(0, len(pdf), 1024):
+                part = pdf.iloc[i : i + 1024]
+                near = np.argsort(half - ready(part["_v"]) @ c.T, axis=1)
+                # more cells where these hold too few vectors
+                enough = np.maximum(probes, (filled[near].cumsum(axis=1) < k + 1).sum(axis=1) + 1)
+                visited = np.arange(near.shape[1]) < enough[:, None]
+                row = np.nonzero(visited)[0]
+                yield pd.DataFrame({"cell": near[visited], "query": part["query"].to_numpy()[row], "v": part["_v"].to_numpy()[row]})
 
-    index = written(classes.mapInPandas(encoded, f"cell int, node long, code binary, v {column}"), "ivf-index")
-    asked = rows.where(is_query).select("_id", "_v")
-    queries = asked.groupBy("_v").agg(F.min("_id").alias("query")).select("query", "_v").mapInPandas(routed, f"cell int, query long, v {column}")
-    queries = written(queries, "ivf-queries")
+    queries = written(distinct.select("query", "_v").mapInPandas(routed, f"cell int, query long, v {column}"), "ivf-queries")
 
     # at most max_cells rows each, one per cell
     sizes = index.groupBy("cell").agg(F.ceil(F.count("*") / plan.block_rows).cast("int").alias("bi")).join(queries.groupBy("cell").agg(F.ceil(F.count("*") / plan.block_queries).cast("int").alias("bj")), "cell")
     sizes = F.broadcast(sizes)
     number = lambda col, of: F.pmod(F.xxhash64(col), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = index.join(sizes, "cell").select("cell", number("node", "bi").alias("i"), every("bj").alias("j"), "node", "code", "v")
+    left = index.join(sizes, "cell").select("cell", number("node", "bi").alias("i"), every("bj").alias("j"), "node", "code", "off", "v")
     right = queries.join(sizes, "cell").select("cell", every("bi").alias("i"), number("query", "bj").alias("j"), "query", "v")
 
     def searched(block: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         if not len(block) or not len(asked):
             return pd.DataFrame({"query": [], "node": [], "dist": []})
-        x, node = _matrix(block["v"], d, kind), block["node"].to_numpy()
+        # distances and errors on the scale of the index, then true ones
+        x, node, off = ready(block["v"]), block["node"].to_numpy(), block["off"].to_numpy()
+        own, theirs = _matrix(block["v"], d, kind), _matrix(asked["v"], d, kind)
         code = np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(x), -1)
-        q, out = _matrix(asked["v"], d, kind), []
+        q, norms, m, out = ready(asked["v"]), (x * x).sum(axis=1), min(k + 1, len(x)), []
         for s in range(0, len(q), 256):
             part = q[s : s + 256]
-            approx = np.zeros((len(part), len(x)), np.float32)
+            size = (part * part).sum(axis=1)[:, None]
+            approx = np.zeros((len(part), len(x)))
             for t, c in zip(held.value.tables(part, int(block["cell"].iloc[0])), code.T, strict=True):
                 approx += t[:, c]
-            m = min(plan.rerank, len(x))
-            best = np.argpartition(approx, m - 1, axis=1)[:, :m]
-            dist = np.sqrt(((x[best].astype(np.float64) - part[:, None].astype(np.float64)) ** 2).sum(axis=2))
-            order = np.lexsort((node[best], dist), axis=1)[:, : k + 1]
-            out.append(pd.DataFrame({"query": np.repeat(asked["query"].to_numpy()[s : s + 256], order.shape[1]), "node": np.take_along_axis(node[best], order, 1).ravel(), "dist": np.take_along_axis(dist, order, 1).ravel()}))
+            approx = np.sqrt(approx)
+            most = np.partition(approx + off, m - 1, axis=1)[:, m - 1 : m]
+            passed = approx - off <= most * (1 + 1e-9) + 1e-9 * np.sqrt(norms + size)
+            some = np.flatnonzero(passed.any(axis=0))
+            far = np.where(passed[:, some], norms[some] + size - 2 * part @ x[some].T, np.inf)
+            spare = 1e-12 * (norms[some] + size)
+            row, at = np.nonzero(far - spare <= np.partition(far + spare, m - 1, axis=1)[:, m - 1 : m])
+            at = some[at]
+            dist = np.concatenate([np.sqrt(((own[at[i : i + 65536]].astype(np.float64) - theirs[s + row[i : i + 65536]].astype(np.float64)) ** 2).sum(axis=1)) for i in range(0, len(at), 65536)])
+            order = np.lexsort((node[at], dist, row))
+            row, at, dist = row[order], at[order], dist[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k + 1
+            out.append(pd.DataFrame({"query": asked["query"].to_numpy()[s + row[best]], "node": node[at[best]], "dist": dist[best]}))
         return pd.concat(out)
 
     keys = ("cell", "i", "j")
