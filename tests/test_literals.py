@@ -1,6 +1,7 @@
 """Literals that patterns need, and how many patterns a scan tries."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,18 @@ def test_patterns_are_tried_only_where_their_literals_are(spark):
     assert got == want and {i for i, _, _ in got} == {i.id for i in CATALOGUE}
     with pytest.raises(ValueError, match="62"):
         persistence.candidates(files, CATALOGUE * 3)
+
+
+def test_paths_are_asked_for_as_by_the_globs_one_by_one(spark):
+    paths = [path for path, _, _ in file_queries.SAMPLES] + ["a/b/CLAUDE.MD", "xCLAUDE.md", "CLAUDE.md\n", "CLAUDE.md\r\n", "CLAUDE.md ", "a\nb/package.json", "pacKage.json".replace("K", "K"), ".husky/a\n", ".husky/a/b", ".vscode/extensions/x/y/z", "", "/", "X.SH", "a.sh/b", ".cursor/rules/qé.sh"]
+    files = spark.createDataFrame([(p, b"") for p in paths] + [(None, b"")], "path string, content binary")
+    asked = F.filter(F.array(*[F.when(persistence.path_matches(F.col("path"), i.paths), F.lit(k)) for k, i in enumerate(CATALOGUE)]), lambda x: x.isNotNull())
+    want = {(r["path"], tuple(r["g"])) for r in files.select("path", asked.alias("g")).where(F.size("g") > 0).collect()}
+    assert {(r["path"], tuple(r["gates"])) for r in persistence.candidates(files).collect()} == want and len(want) > 30
+
+
+def test_a_path_costs_microseconds():
+    index, start = persistence.path_index(CATALOGUE), time.process_time()
+    for n in range(20_000):
+        persistence.path_gates(f"node_modules/part-{n}/lib/deep/er/index-{n}.js", index)
+    assert time.process_time() - start < 2  # one by one the globs took 15 seconds

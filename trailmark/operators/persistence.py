@@ -137,6 +137,51 @@ def literal_index(indicators: tuple[Indicator, ...]) -> tuple[ahocorasick.Automa
     return automaton, always
 
 
+LINE_END = ("\n", "\r", "\u0085", "\u2028", "\u2029")
+
+
+def path_index(indicators: tuple[Indicator, ...]) -> tuple[dict[bytes, list[tuple[bytes, int]]], re.Pattern[str] | None, list[tuple[re.Pattern[str], int]]]:
+    """All globs of all indicators, each once with a bit for every indicator
+    that has it: those without a wildcard behind ``**/`` by their last name, the
+    others as patterns, and one pattern for any of these.
+    """
+    bits: dict[str, int] = {}
+    for k, i in enumerate(indicators):
+        for p in i.paths:
+            bits[p] = bits.get(p, 0) | 1 << k
+    tails: dict[bytes, list[tuple[bytes, int]]] = {}
+    rest: list[tuple[str, int]] = []
+    for p, mask in bits.items():
+        if p.startswith("**/") and not re.search(r"[*?]", p[3:]):
+            tail = b"/" + p[3:].encode().lower()
+            tails.setdefault(tail.rpartition(b"/")[2], []).append((tail, mask))
+        else:
+            rest.append((glob_regex(p)[4:], mask))  # without the flag in front
+    end = rf"(?:(?:\r\n|[{''.join(LINE_END)}])?\Z)"  # what $ means to the JVM
+    made = [(re.compile(r[:-1] + end, re.IGNORECASE | re.ASCII), mask) for r, mask in rest]
+    whole = re.compile("|".join(f"(?:{m.pattern})" for m, _ in made), re.IGNORECASE | re.ASCII) if made else None
+    return tails, whole, made
+
+
+def path_gates(path: str, index: tuple) -> int:
+    """As bits, the indicators that ask for a path."""
+    tails, whole, made = index
+    mask = 0
+    ways = [path]
+    if path.endswith(LINE_END):
+        ways += [path[:-1], path.removesuffix("\r\n")]
+    for way in ways:
+        low = b"/" + way.encode("utf-8", "surrogatepass").lower()
+        for tail, bits in tails.get(low.rpartition(b"/")[2], ()):
+            if low.endswith(tail):
+                mask |= bits
+    if whole is not None and whole.match(path):
+        for pattern, bits in made:
+            if pattern.match(path):
+                mask |= bits
+    return mask
+
+
 def candidates(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE) -> DataFrame:
     """``(path, content, is_text, gates, may)``: files that some indicator's
     path asks for, which ones those are by number, and as bits which of them
@@ -144,12 +189,12 @@ def candidates(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE)
     """
     if len(indicators) > 62:
         raise ValueError("at most 62 indicators are scanned for at once")
-    gates = [path_matches(F.col("path"), i.paths) for i in indicators]
-    wanted = F.filter(F.array(*[F.when(g, F.lit(k)) for k, g in enumerate(gates)]), lambda x: x.isNotNull())
-    rows = files.select("path", "content", wanted.alias("gates")).where(F.size("gates") > 0)
-    head = F.substring("content", 1, MAX_FILE_BYTES)
-    rows = rows.withColumns({"content": head, "is_text": F.coalesce(F.instr(F.decode(head, "ISO-8859-1"), "\0") == 0, F.lit(False))})
-    index = files.sparkSession.sparkContext.broadcast(literal_index(indicators))  # of the catalogue's size
+    spark = files.sparkSession
+    paths, index = spark.sparkContext.broadcast(path_index(indicators)), spark.sparkContext.broadcast(literal_index(indicators))  # of the catalogue's size
+
+    @pandas_udf("long")
+    def asked(path: pd.Series) -> pd.Series:
+        return pd.Series([0 if x is None else path_gates(x, paths.value) for x in path], dtype="int64")
 
     @pandas_udf("long")
     def may(content: pd.Series) -> pd.Series:
@@ -163,8 +208,14 @@ def candidates(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE)
             out.append(mask)
         return pd.Series(out, dtype="int64")
 
+    # called non-deterministic, so that a filter on it doesn't ask it twice
+    rows = files.select("path", "content", asked.asNondeterministic()("path").alias("_asked")).where("_asked <> 0")
+    head = F.substring("content", 1, MAX_FILE_BYTES)
+    rows = rows.withColumns({"content": head, "is_text": F.coalesce(F.instr(F.decode(head, "ISO-8859-1"), "\0") == 0, F.lit(False))})
+    gates = F.expr(f"filter(sequence(0, {len(indicators) - 1}), k -> (shiftright(_asked, k) & 1L) = 1L)")
     # binary files are looked for literals in vain
-    return rows.withColumn("may", may(F.when(F.col("is_text"), F.col("content")).otherwise(F.lit(b""))))
+    text = F.when(F.col("is_text"), F.col("content")).otherwise(F.lit(b""))
+    return rows.select("path", "content", "is_text", gates.alias("gates"), may.asNondeterministic()(text).alias("may"))
 
 
 def scan_files(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE) -> DataFrame:
@@ -175,16 +226,16 @@ def scan_files(files: DataFrame, indicators: tuple[Indicator, ...] = CATALOGUE)
     Patterns are tried on files whose path asks for them and that hold one of
     their literals.
     """
-    rows = candidates(files, indicators)
-    rows = rows.select("path", "gates", "may", F.when(F.col("is_text"), F.split(F.decode("content", "UTF-8"), r"\r?\n")).otherwise(F.array().cast("array<string>")).alias("_lines"))
-    found = []
-    for k, i in enumerate(indicators):
-        line = _first_line(F.col("_lines"), i.patterns) if i.patterns else F.lit(None).cast("int")
-        asked = F.array_contains("gates", k) & (F.col("may").bitwiseAND(F.lit(1 << k).cast("long")) != 0 if i.patterns else F.lit(True))
-        one = F.struct(F.lit(i.id).alias("indicator_id"), F.lit(i.severity).alias("severity"), line.alias("line_number"), F.lit(i.title).alias("title"))
-        found.append(F.when(asked, F.when(line.isNotNull(), one) if i.patterns else one))
-    rows = rows.select("path", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("f"))
-    return rows.select("f.indicator_id", "f.severity", "path", "f.line_number", "f.title", owning_package(F.col("path")).alias("package_name"))
+    bare = sum(1 << k for k, i in enumerate(indicators) if not i.patterns)
+    rows = candidates(files, indicators).withColumn("may", F.col("may").bitwiseOR(F.lit(bare).cast("long")))
+    tried = F.filter("gates", lambda k: F.call_function("shiftright", F.col("may"), k).bitwiseAND(F.lit(1).cast("long")) == 1)
+    lines = F.when(F.col("is_text"), F.split(F.decode("content", "UTF-8"), r"\r?\n")).otherwise(F.array().cast("array<string>"))
+    rows = rows.select("path", lines.alias("_lines"), F.explode(tried).alias("_k"))
+    line = F.coalesce(*[F.when(F.col("_k") == k, _first_line(F.col("_lines"), i.patterns)) for k, i in enumerate(indicators) if i.patterns], F.lit(None).cast("int"))
+    rows = rows.select("path", "_k", line.alias("line_number")).where(F.col("line_number").isNotNull() | F.col("_k").isin([k for k, i in enumerate(indicators) if not i.patterns]))
+    said = F.array(*[F.struct(F.lit(i.id).alias("id"), F.lit(i.severity).alias("severity"), F.lit(i.title).alias("title")) for i in indicators])
+    rows = rows.withColumn("f", F.get(said, F.col("_k")))
+    return rows.select(F.col("f.id").alias("indicator_id"), "f.severity", "path", "line_number", "f.title", owning_package(F.col("path")).alias("package_name"))
 
 
 def scan_lines(texts: DataFrame, patterns: dict[str, str], text_col: str = "text") -> DataFrame:
