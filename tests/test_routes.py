@@ -5,6 +5,7 @@ import random
 from graphs import Builder
 from pyspark.sql import functions as F
 
+from trailmark import file_queries
 from trailmark.operators import blast_radius, maintainers, routes, traverse
 
 EDGE = "edge_id long, src long, dst long"
@@ -200,3 +201,16 @@ def test_counts_of_accounts_equal_their_lists(spark):
     )
     fast = maintainers.dependents(graph, reached, rights).select(slow.columns)
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect())) and fast.count() > 30
+
+
+def test_sets_side_by_side_are_the_same_sets(spark):
+    rows = [(n, w, 1 << (n * 7 + w) % 63) for n in range(5) for w in (*range(-40, 40, 3), 2**34, -(2**50))]
+    sets = spark.createDataFrame(rows, "node long, word long, bits long")
+    wide = traverse.widened(sets.unionByName(sets.withColumn("bits", F.lit(1).cast("long"))), "node")
+    assert {tuple(r) for r in traverse.narrowed(wide, "node").collect()} == {(n, w, b | 1) for n, w, b in rows}
+    assert wide.count() * 3 < len(rows)
+
+
+def test_services_are_listed_without_a_sort_of_all_pairs(spark, sf):
+    plan = file_queries.q32_services_of_accounts(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Sort [" not in plan
