@@ -6,6 +6,7 @@ import pytest
 from graphs import PINNED, chain
 from pyspark.sql import functions as F
 
+from trailmark import queries as graph_queries
 from trailmark.operators import lockfile, persistence, scan
 from trailmark.plans import build, incidents, merge
 from trailmark.sources import packs, registries, snapshot
@@ -191,3 +192,10 @@ def test_append_edges_and_crawl(spark):
     assert {tuple(r) for r in build.crawl(seeds, deps, 5, 2).collect()} == {("a", 0), ("b", 1)}
     text = spark.createDataFrame([("x" * 600,)], "t string").select(F.length(build.formats.collapse(F.col("t"), build.SUMMARY)).alias("n")).first()["n"]
     assert text == build.SUMMARY + 3
+
+
+def test_a_format_reads_its_files_once(spark, sf):
+    """Entries that can't be read are told apart in the same pass."""
+    for name in ("q38_pnpm", "q38_yarn_classic", "q38_yarn_berry", "q38_poetry", "q24_requirements", "q24_package_lock"):
+        plan = graph_queries.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lineitem") <= 1 and plan.count("Relation [") <= 3 and "Union" not in plan, name

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.keys import parse_package_spec
-from ..storage import cut
+from ..storage import stored
 
 # Bounds, name grammars, file names.
 MAX_CHARACTERS = 4_194_304
@@ -77,10 +77,15 @@ def _candidates(rows: DataFrame, ecosystem: str, name: Column, version: Column,
     return rows.select("path", F.lit(ecosystem).alias("ecosystem"), name.alias("name"), version.alias("version"), F.coalesce(dev, F.lit(False)).alias("is_dev_only"), depth.cast("int").alias("depth"), order.cast("long").alias("ord"))
 
 
-def _unread(rows: DataFrame, when: Column) -> DataFrame:
-    """Candidates that only count as unreadable: without a name."""
-    none = F.lit(None)
-    return _candidates(rows.where(when), "", none.cast("string"), none.cast("string"), F.lit(False), none, none)
+def _either(rows: DataFrame, good: Column, bad: Column | None, ecosystem: str, name: Column, version: Column, dev: Column, depth: Column, order: Column) -> DataFrame:
+    """Candidates where ``good`` holds, and where ``bad`` does those that only
+    count as unreadable, without a name: in one pass, so files are read once.
+    Without ``bad`` these are all others.
+    """
+    rows = rows.withColumn("_good", F.coalesce(good, F.lit(False)))
+    if bad is not None:
+        rows = rows.where(F.col("_good") | F.coalesce(bad, F.lit(False)))
+    return _candidates(rows, ecosystem, *[F.when(F.col("_good"), c) for c in (name, version, dev, depth, order)])
 
 
 ENTRY = "version string, dev boolean, link boolean, dependencies map<string,string>"
@@ -97,9 +102,9 @@ def npm_packages(files: DataFrame) -> DataFrame:
     tail = F.regexp_extract("e.key", r"(?s)^(?:.*/)?node_modules/(.*)$", 1)
     depth = F.size(F.split("e.key", "node_modules/")) - 2
     named = is_object & (tail != "") & ~F.coalesce(F.col("v.link"), F.lit(False))
-    good = rows.where(named & F.col("v.version").isNotNull() & ~F.col("e.key").isin(*PROTOTYPE_KEYS))
+    good = named & F.col("v.version").isNotNull() & ~F.col("e.key").isin(*PROTOTYPE_KEYS)
     bad = F.col("e.key").isin(*PROTOTYPE_KEYS) | ~is_object | (named & F.col("v.version").isNull())
-    return _candidates(good, "npm", tail, F.col("v.version"), F.col("v.dev"), depth, F.col("ord")).unionByName(_unread(rows, bad))
+    return _either(rows, good, bad, "npm", tail, F.col("v.version"), F.col("v.dev"), depth, F.col("ord"))
 
 
 def npm_tree(files: DataFrame) -> DataFrame:
@@ -110,13 +115,11 @@ def npm_tree(files: DataFrame) -> DataFrame:
     out: list[DataFrame] = []
     for depth in range(MAX_TREE_DEPTH + 1):
         rows = now.select("path", F.posexplode(F.map_entries("deps")).alias("ord", "e")).withColumn("v", F.from_json("e.value", ENTRY))
-        if depth:
-            rows = cut(rows)
-            if rows.isEmpty():
-                break
+        rows, n = stored(rows, "level")
+        if depth and not n:
+            break
         bad = F.col("e.key").isin(*PROTOTYPE_KEYS) | ~F.col("e.value").startswith("{") | F.col("v.version").isNull()
-        good = rows.where(~bad)
-        out += [_candidates(good, "npm", F.col("e.key"), F.col("v.version"), F.col("v.dev"), F.lit(depth), F.lit(depth * 1_000_000) + F.col("ord")), _unread(rows, bad)]
+        out.append(_either(rows, ~bad, bad, "npm", F.col("e.key"), F.col("v.version"), F.col("v.dev"), F.lit(depth), F.lit(depth * 1_000_000) + F.col("ord")))
         now = rows.where(~F.col("e.key").isin(*PROTOTYPE_KEYS) & F.col("v.dependencies").isNotNull()).select("path", F.col("v.dependencies").alias("deps"))
     return reduce(DataFrame.unionByName, out)
 
@@ -149,15 +152,15 @@ def _field(pattern: str) -> Column:
 def yarn_classic(files: DataFrame) -> DataFrame:
     rows = _blocks(files).withColumn("version", _field(r'^version\s+"([^"]*)"$')).where("version IS NOT NULL")
     rows = rows.withColumn("spec", parse_package_spec(_unquoted(F.split("header", ",")[0])))
-    good = _candidates(rows.where("spec IS NOT NULL"), "npm", F.col("spec.name"), F.col("version"), F.lit(False), F.lit(None), F.col("block"))
-    return good.unionByName(_unread(rows, F.col("spec").isNull()))
+    good = F.col("spec").isNotNull()
+    return _either(rows, good, None, "npm", F.col("spec.name"), F.col("version"), F.lit(False), F.lit(None), F.col("block"))
 
 
 def yarn_berry(files: DataFrame) -> DataFrame:
     rows = _blocks(files).withColumn("resolution", _unquoted(_field(r"^resolution:\s*(.+)$"))).withColumn("spec", parse_package_spec(F.regexp_extract("resolution", r"^([^:]*):", 1))).where("spec IS NOT NULL")
     rows = rows.withColumn("version", _unquoted(_field(r"^version:\s*(.+)$")))
-    good = rows.where("version IS NOT NULL AND spec.version <> 'workspace'")
-    return _candidates(good, "npm", F.col("spec.name"), F.col("version"), F.lit(False), F.lit(None), F.col("block")).unionByName(_unread(rows, F.col("version").isNull()))
+    good = F.expr("version IS NOT NULL AND spec.version <> 'workspace'")
+    return _either(rows, good, F.col("version").isNull(), "npm", F.col("spec.name"), F.col("version"), F.lit(False), F.lit(None), F.col("block"))
 
 
 def pnpm(files: DataFrame) -> DataFrame:
@@ -170,8 +173,8 @@ def pnpm(files: DataFrame) -> DataFrame:
     bare = F.regexp_replace(F.trim(F.regexp_replace(_unquoted(entry), r"\(.*$", "")), r"^/", "")
     at, slash = parse_package_spec(bare), F.when(bare.rlike(r"^.+/[^/]+$"), F.struct(F.regexp_extract(bare, r"^(.+)/[^/]+$", 1).alias("name"), F.regexp_extract(bare, r"([^/]+)$", 1).alias("version")))
     rows = rows.withColumn("spec", F.coalesce(at, slash))
-    good = _candidates(rows.where("spec IS NOT NULL"), "npm", F.col("spec.name"), F.col("spec.version"), F.lit(False), F.lit(None), F.col("pos"))
-    return good.unionByName(_unread(rows, F.col("spec").isNull()))
+    good = F.col("spec").isNotNull()
+    return _either(rows, good, None, "npm", F.col("spec.name"), F.col("spec.version"), F.lit(False), F.lit(None), F.col("pos"))
 
 
 def _logical_lines(content: Column) -> Column:
@@ -195,8 +198,8 @@ def _requirement(line: Column) -> Column:
 def requirements(files: DataFrame) -> DataFrame:
     rows = files.select("path", F.posexplode(_logical_lines(F.col("content"))).alias("pos", "text")).where("text <> '' AND NOT startswith(text, '-')")
     rows = rows.withColumn("r", _requirement(F.col("text")))
-    good = _candidates(rows.where("r.name IS NOT NULL"), "pypi", F.col("r.name"), F.col("r.version"), F.lit(False), F.lit(None), F.col("pos"))
-    return good.unionByName(_unread(rows, F.col("r.name").isNull()))
+    good = F.col("r.name").isNotNull()
+    return _either(rows, good, None, "pypi", F.col("r.name"), F.col("r.version"), F.lit(False), F.lit(None), F.col("pos"))
 
 
 def poetry(files: DataFrame) -> DataFrame:
@@ -207,7 +210,7 @@ def poetry(files: DataFrame) -> DataFrame:
     last = lambda key: F.max_by(F.coalesce(F.nullif(value(key), F.lit("")), F.nullif(other(key), F.lit(""))), F.when(F.coalesce(F.nullif(value(key), F.lit("")), F.nullif(other(key), F.lit(""))).isNotNull(), F.col("pos")))
     per = rows.groupBy("path", "block").agg(F.max(F.when(F.col("is_head"), F.col("text"))).alias("head"), last("name").alias("name"), last("version").alias("version")).where("head = '[[package]]' AND (name IS NOT NULL OR version IS NOT NULL)")
     both = F.col("name").isNotNull() & F.col("version").isNotNull()
-    return _candidates(per.where(both), "pypi", F.col("name"), F.col("version"), F.lit(False), F.lit(None), F.col("block")).unionByName(_unread(per, ~both))
+    return _either(per, both, None, "pypi", F.col("name"), F.col("version"), F.lit(False), F.lit(None), F.col("block"))
 
 
 PARSERS = {"npm-lock-v1": npm_tree, "npm-lock-v2": npm_packages, "yarn-classic": yarn_classic, "yarn-berry": yarn_berry, "pnpm": pnpm, "requirements-txt": requirements, "poetry-lock": poetry}
