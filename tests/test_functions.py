@@ -98,3 +98,9 @@ def test_forms(spark):
     r = one(spark, a=ts.identity(F.lit("pypi"), F.lit("Zope.Interface")), b=ts.flattened(F.lit("@types/Node_Fetch")), c=ts.confusable(F.lit("rnodern-vv1i05")), d=ts.substitutions(F.lit("rn1")), e=ts.scope(F.lit("npm"), F.lit("@a/b")))
     assert (r["a"], r["b"], r["c"], r["e"]) == ("zope-interface", "typesnodefetch", "modem-wllos", "a")
     assert [tuple(x) for x in r["d"]] == [("rn", "m", 1), ("1", "l", 1)]
+
+
+def test_a_range_reads_its_version_once(spark):
+    wanted = semver.range_admits(F.col("w"), F.col("v"))
+    plan = spark.createDataFrame([("^1.0.0 || 2", "1.2.3")], "w string, v string").select(wanted.alias("ok"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(v#") <= 16

@@ -7,6 +7,8 @@ identifiers first.  What can't be read has a null key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,16 +83,21 @@ def range_admits(wanted: Column, version: Column) -> Column:
     ``^``, ``~``, comparisons joined by spaces, and alternatives by ``||``.
     Null for anything else.
     """
-    key = semver_key(version)
 
     def padded(v: Column) -> Column:
         bare = F.regexp_replace(v, r"(\.[xX*])+$", "")
         return F.when(bare.rlike(r"^\d+$"), F.concat(bare, F.lit(".0.0"))).when(bare.rlike(r"^\d+\.\d+$"), F.concat(bare, F.lit(".0"))).otherwise(bare)
 
-    def clause(c: Column) -> Column:
+    def let(value: Column, f: Callable[[Column], Column]) -> Column:
+        """``f`` of a value that is computed once, however often it is used."""
+        return F.get(F.transform(F.array(value), f), 0)
+
+    def clause(key: Column, c: Column) -> Column:
         op = F.regexp_extract(c, r"^(\^|~|>=|<=|>|<|=)?", 1)
         raw = F.regexp_replace(c, r"^(\^|~|>=|<=|>|<|=)\s*v?", "")
-        low = semver_key(padded(raw))
+        return let(semver_key(padded(raw)), lambda low: compared(key, c, op, raw, low))
+
+    def compared(key: Column, c: Column, op: Column, raw: Column, low: Column) -> Column:
         partial = raw.rlike(r"^\d+(\.\d+)?(\.[xX*])*$") & ~raw.rlike(r"^\d+\.\d+\.\d+$")
         same_major = key["major"] == low["major"]
         same_minor = same_major & (key["minor"] == low["minor"])
@@ -105,5 +112,10 @@ def range_admits(wanted: Column, version: Column) -> Column:
         )
 
     tight = F.regexp_replace(F.trim(wanted), r"(\^|~|>=|<=|>|<|=)\s+", "$1")
-    choices = F.transform(F.split(tight, r"\s*\|\|\s*"), lambda c: F.forall(F.split(c, r"\s+"), clause))
-    return F.when(key.isNull(), F.lit(None).cast("boolean")).otherwise(F.exists(choices, lambda x: x))
+
+
+    def decided(key: Column) -> Column:
+        choices = F.transform(F.split(tight, r"\s*\|\|\s*"), lambda c: F.forall(F.split(c, r"\s+"), lambda x: clause(key, x)))
+        return F.when(key.isNull(), F.lit(None).cast("boolean")).otherwise(F.exists(choices, lambda x: x))
+
+    return let(semver_key(version), decided)
