@@ -148,7 +148,9 @@ def q07_timeline(spark, d):
 @query
 def q08_as_of(spark, d):
     """Exposures of the parts most depended on, as known at the start of 1998."""
-    rows = blast_radius.restrict_to_instant(q05_service_exposures(spark, d), 883612800000)
+    seeds = most_depended_on(spark, d).select(F.col("node").alias("source"), "node")
+    reached = traverse.reach(dependents(spark, d), seeds, HOPS, include_seeds=True)  # no routes are asked for
+    rows = blast_radius.restrict_to_instant(blast_radius.service_exposures(reached, resolved(spark, d)), 883612800000)
     return rows.groupBy("source", "bucket").agg(F.count("*").alias("services"), F.min("hop").alias("nearest"))
 
 
