@@ -7,6 +7,7 @@ from graphs import PINNED, chain
 from pyspark.sql import functions as F
 
 from trailmark import queries as graph_queries
+from trailmark.operators.graph import Graph
 from trailmark.operators import lockfile, persistence, scan
 from trailmark.plans import build, incidents, merge
 from trailmark.sources import packs, registries, snapshot
@@ -199,3 +200,32 @@ def test_a_format_reads_its_files_once(spark, sf):
     for name in ("q38_pnpm", "q38_yarn_classic", "q38_yarn_berry", "q38_poetry", "q24_requirements", "q24_package_lock"):
         plan = graph_queries.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("lineitem") <= 1 and plan.count("Relation [") <= 3 and "Union" not in plan, name
+
+
+def test_no_row_of_a_packument_holds_all_its_times(spark):
+    """Memory would be the square of a package's versions."""
+    n = 3000
+    doc = {"name": "a", "dist-tags": {"latest": "1.0.7"}, "time": {"created": "2000-01-01T00:00:00Z", **{f"1.0.{i}": "2001-01-01T00:00:00Z" for i in range(n)}}, "versions": {f"1.0.{i}": {"version": f"1.0.{i}", "scripts": {"install": "x"} if i == 3 else {}} for i in range(0, n, 3)}}
+    none = {"name": "b", "versions": {"1.0.0": {}}}
+    got = registries.npm_versions(spark.createDataFrame([(json.dumps(doc),), (json.dumps(none),)], "json string"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "time#" not in plan.split("Generate")[0]
+    rows = {(r["name"], r["version"]): r for r in got.collect()}
+    assert len(rows) == n + 1 and sum(r["is_unpublished"] for r in rows.values()) == n - n // 3 and ("a", "created") not in rows
+    assert [k for k, r in rows.items() if r["has_install_script"]] == [("a", "1.0.3")] and not any(r["is_latest"] for r in rows.values())
+    assert rows["b", "1.0.0"]["published_at_ms"] is None
+
+
+def test_edges_read_backwards_are_not_made_again(spark, tmp_path):
+    asked = []
+
+    class Counted(Graph):
+        def edge(self, rel):
+            asked.append(rel)
+            return super().edge(rel)
+
+    snapshot.write_tables(Counted(spark, {}, {"resolves_to": spark.createDataFrame([(1, 2, 3)], "edge_id long, src long, dst long")}), str(tmp_path / "t"))
+    back = snapshot.read_tables(spark, str(tmp_path / "t"))
+    assert [tuple(r) for r in back.edge("depended_on_by").collect()] == [(1, 3, 2)] and [tuple(r) for r in back.edge("resolves_to").collect()] == [(1, 2, 3)]
+    plan = snapshot.read_tables(spark, str(tmp_path / "t")).edge("depended_on_by")
+    assert plan.count() == 1 and asked.count("resolves_to") == 1

@@ -25,10 +25,15 @@ def npm_versions(packuments: DataFrame) -> DataFrame:
     """
     p = packuments.select(F.from_json("json", PACKUMENT).alias("p")).select("p.*")
     script = lambda v: F.exists(F.array(*[F.lit(s) for s in INSTALL_SCRIPTS]), lambda s: F.map_contains_key(F.coalesce(v["scripts"], F.create_map().cast("map<string,string>")), s))
-    live = p.select("name", F.col("`dist-tags`")["latest"].alias("latest"), "time", F.explode(F.map_entries("versions")).alias("e")).select("name", F.col("e.key").alias("version"), keys.instant_ms(F.col("time")[F.col("e.key")]).alias("published_at_ms"), script(F.col("e.value")).alias("has_install_script"), (F.col("e.key") == F.col("latest")).alias("is_latest"), F.lit(False).alias("is_unpublished"))
-    gone = F.array_except(F.array_except(F.map_keys("time"), F.coalesce(F.map_keys("versions"), F.array().cast("array<string>"))), F.array(F.lit("created"), F.lit("modified"), F.lit("unpublished")))
-    lost = p.select("name", "time", F.explode(gone).alias("version")).select("name", "version", keys.instant_ms(F.col("time")[F.col("version")]).alias("published_at_ms"), F.lit(False).alias("has_install_script"), F.lit(False).alias("is_latest"), F.lit(True).alias("is_unpublished"))
-    return live.unionByName(lost)
+    # times and manifests as rows of their own, folded by version: no row holds another's
+    time = F.transform(F.map_entries("time"), lambda e: F.struct(e["key"].alias("version"), e["value"].alias("at"), F.lit(None).cast("boolean").alias("script")))
+    live = F.transform(F.map_entries("versions"), lambda e: F.struct(e["key"].alias("version"), F.lit(None).cast("string").alias("at"), script(e["value"]).alias("script")))
+    none = F.array().cast("array<struct<version:string,at:string,script:boolean>>")
+    rows = p.withColumn("_doc", F.monotonically_increasing_id()).select("_doc", "name", F.col("`dist-tags`")["latest"].alias("latest"), F.explode(F.concat(F.coalesce(time, none), F.coalesce(live, none))).alias("e")).select("_doc", "name", "latest", "e.*")
+    per = rows.groupBy("_doc", "name", "latest", "version").agg(F.max("at").alias("at"), F.bool_or("script").alias("script"))
+    is_live = F.col("script").isNotNull()
+    per = per.where(is_live | ~F.col("version").isin("created", "modified", "unpublished"))
+    return per.select("name", "version", keys.instant_ms(F.col("at")).alias("published_at_ms"), F.coalesce("script", F.lit(False)).alias("has_install_script"), F.when(is_live, F.col("version") == F.col("latest")).otherwise(F.lit(False)).alias("is_latest"), (~is_live).alias("is_unpublished"))
 
 
 def npm_dependencies(packuments: DataFrame) -> DataFrame:
