@@ -11,7 +11,7 @@ from ..functions import formats, keys
 from ..operators.graph import Graph
 from ..operators.sweep import affects_pairs
 from ..operators.traverse import closure
-from ..storage import cut
+from ..storage import cut, stored
 from .merge import number_rows
 
 SUMMARY, RANGE = 480, 200
@@ -66,30 +66,30 @@ def build_graph(slices: dict[str, DataFrame]) -> Graph:
     """
     vkey = keys.version_key(F.col("ecosystem"), F.col("name"), F.col("version"))
     pkey = keys.package_key(F.col("ecosystem"), F.col("name"))
-    fetched = cut(slices["versions"].withColumn("key", vkey).dropDuplicates(["key"]))
+    fetched = stored(slices["versions"].withColumn("key", vkey).dropDuplicates(["key"]), "nodes")[0]
     spark = fetched.sparkSession
     res, pins = slices["resolutions"], slices["pins"].withColumn("key", vkey)
     to = res.select(F.col("to_ecosystem").alias("ecosystem"), F.col("to_name").alias("name"), F.col("to_version").alias("version"))
     referenced = to.unionByName(pins.select("ecosystem", "name", "version")).withColumn("key", vkey)
     stubs = referenced.dropDuplicates(["key"]).join(fetched.select("key"), "key", "left_anti").select("ecosystem", "name", "version", "key", F.lit(None).cast("long").alias("published_at_ms"), F.lit(False).alias("has_install_script"), F.lit(False).alias("is_complete"))
     usable, _ = split_selectable(fetched.select(*stubs.columns).unionByName(stubs))
-    versions = cut(number_rows(usable, ["key"], "id"))
+    versions = stored(number_rows(usable, ["key"], "id"), "nodes")[0]
     known = slices["packages"].withColumn("key", pkey)
     wanted = reduce(DataFrame.unionByName, [versions.select("ecosystem", "name"), slices["affects"].select("ecosystem", "name"), slices["maintainers"].select("ecosystem", "name"), slices["dependencies"].select(F.col("to_ecosystem").alias("ecosystem"), F.col("to_name").alias("name"))])
     packages = known.select("ecosystem", "name", "key", "weekly_downloads").unionByName(wanted.distinct().withColumn("key", pkey).withColumn("weekly_downloads", F.lit(None).cast("long")))
     packages, _ = split_selectable(packages.groupBy("key", "ecosystem", "name").agg(F.max("weekly_downloads").alias("weekly_downloads")))
-    packages = cut(number_rows(packages, ["key"], "id"))
+    packages = stored(number_rows(packages, ["key"], "id"), "nodes")[0]
     accounts = slices["maintainers"].select("ecosystem", "username").distinct().withColumn("key", keys.maintainer_key(F.col("ecosystem"), F.col("username")))
-    accounts = cut(number_rows(accounts, ["key"], "id"))
-    services = cut(number_rows(slices["services"].dropDuplicates(["key"]), ["key"], "id"))
+    accounts = stored(number_rows(accounts, ["key"], "id"), "nodes")[0]
+    services = stored(number_rows(slices["services"].dropDuplicates(["key"]), ["key"], "id"), "nodes")[0]
     advisories = slices["advisories"].dropDuplicates(["ghsa_id"]).withColumn("key", F.col("ghsa_id")).withColumn("summary", formats.collapse(F.col("summary"), SUMMARY))
-    advisories = cut(number_rows(advisories, ["key"], "id"))
+    advisories = stored(number_rows(advisories, ["key"], "id"), "nodes")[0]
 
     ids = lambda df, key, side: df.select(F.col("key").alias(key), F.col("id").alias(side))
     own = versions.withColumn("pkey", pkey)
     edges = {"version_of": own.join(ids(packages, "pkey", "dst"), "pkey").select(F.col("id").alias("src"), "dst")}
     r = res.select(keys.version_key(F.col("ecosystem"), F.col("name"), F.col("version")).alias("a"), keys.version_key(F.col("to_ecosystem"), F.col("to_name"), F.col("to_version")).alias("b")).distinct()
-    edges["resolves_to"] = r.join(ids(versions, "a", "src"), "a").join(ids(versions, "b", "dst"), "b").select("src", "dst")
+    edges["resolves_to"], _ = stored(r.join(ids(versions, "a", "src"), "a").join(ids(versions, "b", "dst"), "b").select("src", "dst"), "resolves-to")
     edges["depended_on_by"] = edges["resolves_to"].select(F.col("dst").alias("src"), F.col("src").alias("dst"))
     d = slices["dependencies"].select(keys.version_key(F.col("ecosystem"), F.col("name"), F.col("version")).alias("a"), keys.package_key(F.col("to_ecosystem"), F.col("to_name")).alias("b"), formats.collapse(F.col("version_range"), RANGE).alias("version_range")).distinct()
     edges["depends_on"] = d.join(ids(versions, "a", "src"), "a").join(ids(packages, "b", "dst"), "b").select("src", "dst", "version_range")
@@ -102,7 +102,7 @@ def build_graph(slices: dict[str, DataFrame]) -> Graph:
     hit = affects_pairs(f.withColumnRenamed("a", "ghsa_id"), versions).withColumnRenamed("ghsa_id", "a")
     hit = hit.join(versions.select("ecosystem", "name", "version", F.col("id").alias("dst")), ["ecosystem", "name", "version"])
     edges["affects_version"] = hit.join(ids(advisories, "a", "src"), "a").select("src", "dst").distinct()
-    edges = {k: number_rows(e, ["src", "dst", *[c for c in e.columns if c not in ("src", "dst")]], "edge_id") for k, e in edges.items()}
+    edges = {k: stored(number_rows(e, ["src", "dst", *[c for c in e.columns if c not in ("src", "dst")]], "edge_id"), k)[0] for k, e in edges.items()}
 
     partial = partial_closures(edges["resolves_to"], versions.where(~F.coalesce("is_complete", F.lit(False))).select(F.col("id").alias("node")))
     claims = package_levels(own.select(F.col("id").alias("node"), F.col("pkey").alias("package_key")), partial)

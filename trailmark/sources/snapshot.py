@@ -114,7 +114,11 @@ def write_tables(graph: Graph, path: str) -> None:
     for t in NODES:
         graph.node(t).write.mode("overwrite").parquet(f"{path}/nodes/{t}")
     for r in EDGES:
-        graph.edge(r).write.mode("overwrite").parquet(f"{path}/edges/{r}")
+        edge = graph.edge(r)
+        if r == "depended_on_by" and r not in graph.edges and "resolves_to" in graph.edges:  # written just before
+            back = graph.spark.read.schema(edge_schema("resolves_to")).parquet(f"{path}/edges/resolves_to")
+            edge = back.select("edge_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+        edge.write.mode("overwrite").parquet(f"{path}/edges/{r}")
     graph.claims().write.mode("overwrite").parquet(f"{path}/coverage")
 
 
