@@ -7,22 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions import verdict
 
+#: Rows that one task of a fold holds.  Ids that lie close together shrink to a
+#: few bytes in a shuffle, so partitions of a size in bytes hold many millions.
+ROWS_A_TASK = 500_000
 
-def fold_history(pins: DataFrame) -> DataFrame:
+
+def tasks_for(table: DataFrame) -> int:
+    """Partitions for the rows of a table, which Parquet counts in its footers."""
+    return max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS_A_TASK))
+
+
+def dealt(rows: DataFrame, tasks: int | None, *by: str) -> DataFrame:
+    return rows.repartition(tasks, *by) if tasks else rows
+
+
+def fold_history(pins: DataFrame, tasks: int | None = None) -> DataFrame:
     """``pins (service, version, revision, at_ms)`` as one row per (service,
-    version): first and last seen, and in how many revisions.
+    version): first and last seen, and in how many revisions.  ``tasks`` are
+    the partitions that pins are dealt to, each pair to one.
     """
+    pins = dealt(pins, tasks, "service", "version")
     return pins.groupBy("service", "version").agg(F.min("at_ms").alias("first_seen_ms"), F.max("at_ms").alias("last_seen_ms"), F.count_distinct("revision").alias("revisions"))
 
 
-def new_revisions(found: DataFrame, known: DataFrame) -> DataFrame:
+def new_revisions(found: DataFrame, known: DataFrame, tasks: int | None = None) -> DataFrame:
     """Revisions that an earlier run has not taken in."""
-    return found.join(known.select("service", "revision").distinct(), ["service", "revision"], "left_anti")
+    known = dealt(known.select("service", "revision"), tasks, "service", "revision").distinct()
+    return dealt(found, tasks, "service", "revision").join(known, ["service", "revision"], "left_anti")
 
 
-def extend_history(old: DataFrame, fresh: DataFrame) -> DataFrame:
+def extend_history(old: DataFrame, fresh: DataFrame, tasks: int | None = None) -> DataFrame:
     """Fold new revisions into an earlier history."""
-    both = old.unionByName(fold_history(fresh))
+    both = dealt(old.unionByName(fold_history(fresh, tasks)), tasks, "service", "version")
     return both.groupBy("service", "version").agg(F.min("first_seen_ms").alias("first_seen_ms"), F.max("last_seen_ms").alias("last_seen_ms"), F.sum("revisions").alias("revisions"))
 
 

@@ -457,8 +457,10 @@ def q22_history(spark, d):
     o = table(spark, d, "orders")
     o = o.select("o_orderkey", "o_custkey", epoch_ms(o, "o_orderdate").alias("at_ms"))
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey")
+    tasks = history.tasks_for(li)
+    li, o = li.repartition(tasks, "l_orderkey"), o.repartition(tasks, "o_orderkey")
     rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("service"), F.col("l_partkey").alias("version"), F.col("o_orderkey").alias("revision"), "at_ms")
-    return history.fold_history(rows)
+    return history.fold_history(rows, tasks)
 
 
 @query
