@@ -1,8 +1,10 @@
-"""Folds deal rows to tasks by their number, not by shuffled bytes."""
+"""Folds and ranks deal rows to tasks by their number, not by shuffled bytes."""
 
 from __future__ import annotations
 
-from trailmark.operators import history
+from pyspark.sql import functions as F
+
+from trailmark.operators import history, scan
 
 
 def test_partitions_follow_rows(spark, monkeypatch):
@@ -23,3 +25,10 @@ def test_dealt_histories_are_the_same(spark):
     # adaptive execution would put so few bytes into one partition
     folded = history.fold_history(pins, 9)
     assert folded.count() == 79 and folded.rdd.getNumPartitions() == 9
+
+
+def test_dealt_ranks_are_the_same(spark):
+    rows = spark.range(500).selectExpr("cast(id % 9 as string) path", "if(id % 3 = 0, 'exposed', 'unknown') verdict", "cast(null as int) depth", "false is_dev_only", "concat('npm:', id) package_key", "'1' version")
+    got, plain = scan.top_rows(rows, 2, 9), scan.top_rows(rows, 2)
+    assert {tuple(r) for r in got.collect()} == {tuple(r) for r in plain.collect()}
+    assert got.count() == plain.count() and got.select(F.spark_partition_id()).rdd.getNumPartitions() == 9

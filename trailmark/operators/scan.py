@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keys, verdict
 from .graph import Graph, coverage_of, is_empty
+from .history import dealt
 
 
 def advisory_index(graph: Graph) -> tuple[DataFrame, DataFrame]:
@@ -65,10 +66,12 @@ def row_order() -> list[Column]:
     return [rank, F.col("depth").asc_nulls_last(), F.col("is_dev_only"), F.col("package_key"), F.col("version").asc_nulls_last()]
 
 
-def top_rows(scanned: DataFrame, per_bucket: int = 200) -> DataFrame:
-    """The first rows of each verdict of each file, with ``rank``."""
+def top_rows(scanned: DataFrame, per_bucket: int = 200, tasks: int | None = None) -> DataFrame:
+    """The first rows of each verdict of each file, with ``rank``; ``tasks``
+    are the partitions that rows are dealt to.
+    """
     rank = F.row_number().over(Window.partitionBy("path", "verdict").orderBy(*row_order()))
-    return scanned.withColumn("rank", rank).where(F.col("rank") <= per_bucket)
+    return dealt(scanned, tasks, "path", "verdict").withColumn("rank", rank).where(F.col("rank") <= per_bucket)
 
 
 def advisory_summary(scanned: DataFrame, most: int = 3) -> DataFrame:

@@ -353,7 +353,7 @@ def _dependencies(spark: SparkSession, d: str) -> DataFrame:
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     p = table(spark, d, "part").select("p_partkey", "p_size")
     version = F.when(F.col("l_quantity") > 40, F.concat(F.col("p_size").cast("string"), F.lit(".9.9"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(".0.0")))
-    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").cast("string").alias("path"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("name"), version.alias("version")).distinct()
+    return li.join(p, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").cast("string").alias("path"), F.lit("npm").alias("ecosystem"), F.concat(F.lit("part-"), F.col("l_partkey").cast("string")).alias("name"), version.alias("version")).repartition(history.tasks_for(li), "path").distinct()
 
 
 @query
