@@ -8,6 +8,7 @@ that can't be read are counted; they never fail the file.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,6 +29,7 @@ RESERVED = ("node_modules", "favicon.ico")
 PROTOTYPE_KEYS = ("__proto__", "constructor", "prototype")
 HINTS = {"package-lock.json": "npm-lock-v2", "npm-shrinkwrap.json": "npm-lock-v2", "yarn.lock": "yarn-classic", "pnpm-lock.yaml": "pnpm", "requirements.txt": "requirements-txt", "poetry.lock": "poetry-lock"}
 OPERATORS = r"(===|==|>=|<=|~=|!=|>|<)"
+REQUIREMENT = rf"^([A-Za-z0-9._-]+)\s*(?:\[[^\]]*\])?\s*(|@.*|\(?\s*{OPERATORS}.*)$"
 FORMATS = ("npm-lock-v1", "npm-lock-v2", "yarn-classic", "yarn-berry", "pnpm", "requirements-txt", "poetry-lock")
 CANDIDATE = ["path", "ecosystem", "name", "version", "is_dev_only", "depth", "ord"]
 
@@ -65,7 +67,7 @@ def detect_format(path: Column, content: Column) -> Column:
     hint = F.lower(F.regexp_extract(path, r"([^/\\]+)$", 1))
     hinted = reduce(lambda out, k: F.when(hint == k, HINTS[k]).otherwise(out), HINTS, F.lit(None).cast("string"))
     wanted = F.filter(_logical_lines(content), lambda x: (x != "") & ~x.startswith("-"))
-    requirements = (F.size(wanted) > 0) & F.forall(wanted, lambda x: _requirement(x)["name"].isNotNull())
+    requirements = _once(wanted, lambda w: (F.size(w) > 0) & F.forall(w, lambda x: F.coalesce(_spec(x).rlike(REQUIREMENT), F.lit(False))))
     return (
         F.when((F.length(content) > MAX_CHARACTERS) | (text == ""), F.lit(None)).when(text.startswith("{"), json)
         .when(_has_line(content, r"\[\[package\]\]"), "poetry-lock").when(pnpm, "pnpm").when(berry, "yarn-berry")
@@ -183,21 +185,32 @@ def _logical_lines(content: Column) -> Column:
     return F.transform(F.split(joined, r"\r?\n"), lambda x: F.trim(F.regexp_replace(x, r"(^\s*|\s)#.*$", "")))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _spec(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(line, r";.*$", ""), r" --.*$", ""))
+
+
 def _requirement(line: Column) -> Column:
     """``struct<name, version>`` of a requirement; the name is null if the line
     is none, the version is null unless it is pinned exactly.
     """
-    spec = F.trim(F.regexp_replace(F.regexp_replace(line, r";.*$", ""), r" --.*$", ""))
-    pattern = rf"^([A-Za-z0-9._-]+)\s*(?:\[[^\]]*\])?\s*(|@.*|\(?\s*{OPERATORS}.*)$"
-    clauses = F.regexp_replace(F.regexp_extract(spec, pattern, 2), r"^\(\s*(.*)\)$", "$1")
+    return _once(_spec(line), lambda spec: _once(F.regexp_replace(F.regexp_extract(spec, REQUIREMENT, 2), r"^\(\s*(.*)\)$", "$1"), lambda clauses: _once(spec.rlike(REQUIREMENT), lambda ok: _named(spec, clauses, ok))))
+
+
+def _named(spec: Column, clauses: Column, ok: Column) -> Column:
     pins = F.filter(F.transform(F.split(clauses, ","), lambda c: F.regexp_extract(F.trim(c), r"^={2,3}\s*([^\s*=][^*]*)$", 1)), lambda v: v != "")
-    ok = spec.rlike(pattern)
-    return F.struct(F.when(ok, F.regexp_extract(spec, pattern, 1)).alias("name"), F.when(ok & ~clauses.startswith("@"), F.trim(F.try_element_at(pins, F.lit(1)))).alias("version"))
+    return F.struct(F.when(ok, F.regexp_extract(spec, REQUIREMENT, 1)).alias("name"), F.when(ok & ~clauses.startswith("@"), F.trim(F.try_element_at(pins, F.lit(1)))).alias("version"))
 
 
 def requirements(files: DataFrame) -> DataFrame:
-    rows = files.select("path", F.posexplode(_logical_lines(F.col("content"))).alias("pos", "text")).where("text <> '' AND NOT startswith(text, '-')")
-    rows = rows.withColumn("r", _requirement(F.col("text")))
+    # parsed before they are rows, else each use of a name or version above parses its line anew; of an inner
+    # explode Spark would ask for size and null beforehand, and parse all lines for each; the outer one's empty row is dropped
+    lines = F.transform(_logical_lines(F.col("content")), lambda x: F.struct(x.alias("text"), F.when((x != "") & ~x.startswith("-"), _requirement(x)).alias("r")))
+    rows = files.select("path", F.posexplode_outer(lines).alias("pos", "line")).select("path", "pos", "line.text", "line.r").where("text <> '' AND NOT startswith(text, '-')")
     good = F.col("r.name").isNotNull()
     return _either(rows, good, None, "pypi", F.col("r.name"), F.col("r.version"), F.lit(False), F.lit(None), F.col("pos"))
 

@@ -18,7 +18,7 @@ from .operators import bitemporal, blast_radius, history, introduced, lockfile,
 from .operators import graph as g
 from .oracles import ORACLES
 from .plans import build, merge, upsert
-from .plans.projection import epoch_ms, maintains, most_depended_on, named_packages, part_facts, plain_packages, project, resolved, resolves_to, table
+from .plans.projection import epoch_ms, maintains, most_depended_on, named_packages, part_facts, pins, plain_packages, project, resolved, resolves_to, table
 from .sources import edge_tables
 from .sources.registries import select_versions
 from .storage import checkpoint_dir, scratch
@@ -483,9 +483,9 @@ def q23_trace(spark, d):
 @query
 def q24_requirements(spark, d):
     """Each customer's parts written as requirements and parsed again."""
-    rows = resolved(spark, d).select("src", "dst").distinct().join(table(spark, d, "part").select(F.col("p_partkey").alias("dst"), "p_size"), "dst")
+    rows = pins(spark, d).select("src", "dst").join(table(spark, d, "part").select(F.col("p_partkey").alias("dst"), "p_size"), "dst")  # the days are not asked for
     line = F.concat(F.lit("Part_"), F.col("dst").cast("string"), F.when(F.col("p_size") > 40, F.concat(F.lit(" >= "), F.col("p_size").cast("string"))).otherwise(F.concat(F.lit("=="), F.col("p_size").cast("string"), F.lit(".0 ; python_version > '3'  # pinned"))))
-    files = rows.groupBy(F.concat(F.col("src").cast("string"), F.lit("/requirements.txt")).alias("path")).agg(F.concat(F.lit("# made\n-r other.txt\n"), F.array_join(F.sort_array(F.collect_list(line)), "\n")).alias("content"))
+    files = rows.groupBy(F.concat(F.col("src").cast("string"), F.lit("/requirements.txt")).alias("path")).agg(F.concat(F.lit("# made\n-r other.txt\n"), F.array_join(F.sort_array(F.collect_set(line)), "\n")).alias("content"))
     return lockfile.parse_lockfiles(files, ("requirements-txt",))[0].select("path", "ecosystem", "name", "version", "is_dev_only")
 
 
