@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import keys, verdict
-from .graph import Graph, coverage_of, is_empty
+from .graph import Graph, claimed_levels, is_empty
 from .history import dealt
 
 
@@ -29,8 +29,9 @@ def scan_dependencies(graph: Graph, dependencies: DataFrame) -> DataFrame:
     rows = rows.withColumn("version_key", F.when(F.col("version").isNotNull(), keys.version_key(F.col("ecosystem"), F.col("name"), F.col("version"))))
     rows = rows.join(by_version.select(F.col("key").alias("version_key"), F.col("advisories").alias("exact")), "version_key", "left")
     rows = rows.join(by_package.select(F.col("key").alias("package_key"), F.col("advisories").alias("loose")), "package_key", "left")
-    level = coverage_of(graph, "package", rows.select(F.col("package_key").alias("key"))).withColumnRenamed("key", "package_key")
-    rows = rows.join(level, "package_key")
+    # claims are joined to the rows themselves, since asking for the distinct keys first would derive all rows once more
+    claims = claimed_levels(graph, "package").withColumnRenamed("key", "package_key")
+    rows = rows.where("package_key IS NOT NULL").join(claims, "package_key", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     match = F.when(F.col("exact").isNotNull(), "exact").when(F.col("loose").isNotNull(), "package").otherwise("none")
     rows = rows.withColumn("match", match).withColumn("advisories", F.coalesce("exact", "loose", F.array().cast("array<string>"))).drop("exact", "loose")
     undecided = (F.col("match") == "package") | F.col("version").isNull()
@@ -52,8 +53,17 @@ def file_verdicts(scanned: DataFrame, report: DataFrame) -> DataFrame:
     """One row per file: the worst of its dependencies, exposure first; what
     was lost in parsing keeps it from being ``not_exposed``.
     """
-    per = scanned.groupBy("path").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("exposed", "unknown", "not_exposed")], F.flatten(F.collect_set("limits")).alias("row_limits"))
-    rows = report.join(per, "path", "left").na.fill(0, ["exposed", "unknown", "not_exposed"])
+    return folded_verdicts(report.join(verdict_counts(scanned), "path", "left"))
+
+
+def verdict_counts(scanned: DataFrame) -> DataFrame:
+    """Per file, its rows by verdict and their limits."""
+    return scanned.groupBy("path").agg(*[F.count_if(F.col("verdict") == v).alias(v) for v in ("exposed", "unknown", "not_exposed")], F.flatten(F.collect_set("limits")).alias("row_limits"), F.count("*").alias("rows"))
+
+
+def folded_verdicts(files: DataFrame) -> DataFrame:
+    """``file_verdicts`` of reports that have ``verdict_counts`` beside them."""
+    rows = files.na.fill(0, ["exposed", "unknown", "not_exposed"])
     own = report_limits()
     nothing = F.col("exposed") + F.col("unknown") + F.col("not_exposed") == 0
     worst = verdict.worst_verdict(F.col("exposed"), F.when(F.col("error").isNotNull() | nothing | (F.size(own) > 0), F.greatest(F.col("unknown"), F.lit(1))).otherwise(F.col("unknown")))
